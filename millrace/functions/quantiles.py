@@ -49,17 +49,17 @@ def _bracket(grid: Column, rank: Column, size: Column) -> tuple[Column, Column]:
     )
 
 
-def _attach(long: DataFrame, brackets: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Join values to their group's brackets.
+def attach(long: DataFrame, table: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Join (keys…, value) rows to a table with a few rows per group.
 
     Without groups there is one bracket per column and probability, so it is
     broadcast; with groups only after their number was checked. Otherwise a
     group is spread over salts by value, so one large group fills many tasks.
     """
     if small:
-        return long.join(F.broadcast(brackets), keys)
+        return long.join(F.broadcast(table), keys)
     salted = long.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
-    copies = brackets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "salt"]).drop("salt")
 
 
@@ -89,7 +89,7 @@ def exact_quantiles(
     value, inside = F.col("value"), (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
     goal = ["p", "n", "position", "rank"]
     second = (
-        _attach(long, first, keys, small)
+        attach(long, first, keys, small)
         .where(value <= F.col("high"))
         .groupBy(*keys, *goal)
         .agg(
@@ -105,7 +105,7 @@ def exact_quantiles(
     # One row per distinct value of the last bracket; everything under it is a single row.
     slot = F.when(value >= F.col("low"), value)
     counts = (
-        _attach(long, second, keys, small)
+        attach(long, second, keys, small)
         .where((value >= F.col("outer_low")) & (value <= F.col("high")))
         .groupBy(*keys, *goal, "below", slot.alias("value"))
         .agg(F.count(F.lit(1)).alias("copies"))

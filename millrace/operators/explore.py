@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from millrace.functions import numeric as N
 from millrace.functions import types as ty
 from millrace.functions import values as V
-from millrace.functions.quantiles import exact_quantiles, melt_numbers
+from millrace.functions.quantiles import BROADCAST_ROWS, attach, exact_quantiles, melt_numbers
+from millrace.functions.ranking import is_small
 from millrace.operators.checks import duplicate_rows, is_null
 from millrace.operators.correlate import correlation_matrix
 from millrace.operators.profile import value_counts
 from millrace.operators.rows import rows_of, union_all
+from millrace.session import durable_checkpoint
 
 # Bands and limits of the report.
 STRENGTH_BANDS = [(0.80, "Very Strong"), (0.60, "Strong"), (0.40, "Moderate"), (0.20, "Weak")]
@@ -170,9 +172,11 @@ def box_summary(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     boxes = _quartiles(df, [value], keys)
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     boxes = boxes.withColumns({"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach})
-    long = melt_numbers(df, [value], keys)
-    # Overall there is one box; per category Spark sizes the table itself.
-    joined = long.join(boxes if by else F.broadcast(boxes), [*keys, "column"])
+    small = True
+    if by:
+        boxes = durable_checkpoint(boxes)
+        small = is_small(boxes, BROADCAST_ROWS)
+    joined = attach(melt_numbers(df, [value], keys), boxes, [*keys, "column"], small)
     inside = F.col("value").between(F.col("fence_low"), F.col("fence_high"))
     return joined.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

@@ -124,18 +124,21 @@ def _feed_rows(state: DataFrame) -> DataFrame:
     kind = F.when(status == "production", "live").when(status == "archived", "archived").otherwise("other")
     return state.where("created_at IS NOT NULL").select(
         (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("neg_time"),
-        (status != "production").cast("int").alias("not_live"),
+        (status != "production").cast("bigint").alias("not_live"),
         "model_name",
-        (-F.col("version")).alias("neg_version"),
+        (-F.col("version")).cast("bigint").alias("neg_version"),
         kind.alias("kind"),
         status.alias("status"),
     )
 
 
+def _place(values: tuple) -> Column:
+    literals = [F.lit(v) if isinstance(v, str) else F.lit(v).cast("bigint") for v in values]
+    return F.struct(*[c.alias(n) for c, n in zip(literals, _ORDER)])
+
+
 def _after(place: tuple | None) -> Column:
-    if place is None:
-        return F.lit(True)
-    return F.struct(*_ORDER) > F.struct(*[F.lit(v) for v in place])
+    return F.lit(True) if place is None else F.struct(*_ORDER) > _place(place)
 
 
 def activity_feed(state: DataFrame, k: int = 5) -> DataFrame:
@@ -209,7 +212,7 @@ def _finish_run(rows: DataFrame, first, place: tuple):
     stop = ahead.where(~member).agg(F.min(key).alias("stop")).first()["stop"]
     run = ahead.where(member)
     if stop is not None:
-        run = run.where(key < F.struct(*[F.lit(v) for v in stop]))
+        run = run.where(key < _place(tuple(stop)))
     found = run.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("last")).first()
     if not found["n"]:
         return None
