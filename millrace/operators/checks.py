@@ -280,11 +280,11 @@ def _share_score(bad: Column, total: Column) -> Column:
     return F.lit(100.0) * (1 - F.coalesce(F.try_divide(bad, total), F.lit(0.0)))
 
 
-def _cell_results(df: DataFrame, spec: TableSpec) -> DataFrame:
+def _cell_results(df: DataFrame, spec: TableSpec, checks: list[str] | None = None) -> DataFrame:
     missing, extra = schema_gaps(df, spec)
     scored = F.col("scored")
     per_check = (
-        cell_checks(df, spec)
+        cell_checks(df, spec, checks)
         .groupBy("check")
         .agg(
             F.coalesce(F.sum(F.when(scored, F.col("checked"))), F.lit(0)).alias("checked"),
@@ -336,7 +336,7 @@ def single_check(df: DataFrame, spec: TableSpec, validator: str, parents: dict |
         return duplicate_check(df, spec)
     if validator == "foreign_key":
         return fk_check(df, spec, parents or {})
-    return _cell_results(df, spec).where(F.col("validator") == validator)
+    return _cell_results(df, spec, [validator])
 
 
 def validation_suite(tables: dict[str, DataFrame], specs: list[TableSpec]) -> DataFrame:

@@ -17,7 +17,8 @@ from millrace.functions import names
 from millrace.functions import types as ty
 from millrace.functions import values as V
 from millrace.operators.checks import duplicate_rows, is_null
-from millrace.operators.rows import batches, rows_of, union_all
+from millrace.operators.rows import batches, literal_table, rows_of, union_all
+from millrace.session import durable_checkpoint
 
 TEXT_LENGTH = 40.0
 MATCH_RATIO = 0.8
@@ -27,19 +28,22 @@ HIGH_CARDINALITY_PCT = 50.0
 BUCKETS = ["numeric", "categorical", "boolean", "datetime", "text", "high_cardinality"]
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value as text, copies) of every non-null value."""
-    chosen = columns or ty.scalar_columns(df)
+def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value as text) of every non-null cell."""
     parts = []
-    for group in batches(chosen):
+    for group in batches(columns):
         texts = [F.when(~is_null(df, c), F.col(c).cast("string")).alias(c) for c in group]
         parts.append(df.select(*texts).unpivot([], group, "column", "value"))
-    return (
-        union_all(parts).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("copies"))
-    )
+    return union_all(parts).where("value IS NOT NULL")
 
 
-def _base_row(df: DataFrame, columns: list[str]) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, value as text, copies) of every non-null value."""
+    long = _long_values(df, columns or ty.scalar_columns(df))
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _base_row(df: DataFrame, columns: list[str], start: int) -> DataFrame:
     """One row per column: position, types, rows, nulls and numeric statistics."""
     aggregates, structs = [F.count(F.lit(1)).alias("rows")], []
     nothing = F.lit(None).cast("double")
@@ -59,7 +63,7 @@ def _base_row(df: DataFrame, columns: list[str]) -> DataFrame:
         structs.append(
             F.struct(
                 F.lit(name).alias("column"),
-                F.lit(i).alias("position"),
+                F.lit(start + i).alias("position"),
                 F.lit(dtype.simpleString()).alias("physical_dtype"),
                 F.lit(ty.logical_name(dtype)).alias("declared"),
                 F.col("rows").alias("row_count"),
@@ -74,16 +78,15 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)) * 100, 2)
 
 
-def _value_flags(counts: DataFrame, text_columns: list[str]) -> DataFrame:
-    """Per column: distinct values, boolean words, mean length, date shapes, parses."""
-    value, copies = F.col("value"), F.col("copies")
-    is_text = F.col("column").isin(text_columns) if text_columns else F.lit(False)
+def _value_flags(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per column: distinct values, boolean words, and for text its length, date shapes and parses."""
+    value, copies, is_text = F.col("value"), F.col("copies"), F.col("from_text")
     shaped = F.lit(False)
     for pattern in names.DATETIME_VALUES:
         shaped = shaped | V.strip(value).rlike(pattern)
     odd = ~F.lower(value).isin(names.BOOLEAN_WORDS)
     parsed = V.parse_timestamp(value, T.StringType()).isNotNull()
-    return counts.groupBy("column").agg(
+    return counts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("unique_count"),
         F.count_if(odd).alias("odd_values"),
         F.sum(F.when(is_text, F.length(value) * copies)).alias("length_sum"),
@@ -92,15 +95,38 @@ def _value_flags(counts: DataFrame, text_columns: list[str]) -> DataFrame:
     )
 
 
-def profile_columns(df: DataFrame, dataset: str, columns: list[str] | None = None) -> DataFrame:
-    """One row per column with counts, statistics and type flags."""
-    chosen = columns or ty.scalar_columns(df)
-    base = union_all([_base_row(df, group) for group in batches(chosen)]) if len(chosen) > 200 else _base_row(df, chosen)
-    text_columns = [c for c in chosen if isinstance(ty.dtype_of(df, c), T.StringType)]
-    flags = _value_flags(value_counts(df, chosen), text_columns)
+def profile_tables(tables: dict[str, DataFrame], columns: list[tuple[str, str]] | None = None) -> DataFrame:
+    """One row per column of every table with counts, statistics and type flags.
+
+    All tables share the shuffle of (dataset, column, value) counts. The result
+    has one row per column and feeds many operators, so it is written once to
+    the checkpoint folder.
+    """
+    bases, longs = [], []
+    for name, df in tables.items():
+        chosen = [c for c in ty.scalar_columns(df) if columns is None or (name, c) in columns]
+        start = 0
+        for group in batches(chosen):
+            bases.append(_base_row(df, group, start).withColumn("dataset", F.lit(name)))
+            start += len(group)
+        texts = [c for c in chosen if isinstance(ty.dtype_of(df, c), T.StringType)]
+        from_text = F.col("column").isin(texts) if texts else F.lit(False)
+        longs.append(_long_values(df, chosen).select(F.lit(name).alias("dataset"), "column", from_text.alias("from_text"), "value"))
+    counts = (
+        union_all(longs).groupBy("dataset", "column", "from_text", "value").agg(F.count(F.lit(1)).alias("copies"))
+    )
+    flags = _value_flags(counts, ["dataset", "column"])
     # One row per column on both sides.
-    joined = base.join(F.broadcast(flags), "column", "left")
+    joined = union_all(bases).join(F.broadcast(flags), ["dataset", "column"], "left")
+    return durable_checkpoint(_finish_profile(joined).coalesce(1))
+
 
+def profile_columns(df: DataFrame, dataset: str, columns: list[str] | None = None) -> DataFrame:
+    """The profile of one table."""
+    return profile_tables({dataset: df}, None if columns is None else [(dataset, c) for c in columns])
+
+
+def _finish_profile(joined: DataFrame) -> DataFrame:
     filled = F.col("row_count") - F.col("null_count")
     unique = F.coalesce("unique_count", F.lit(0)).cast("bigint")
     dated = names.matches(F.col("column"), names.TIME) | (
@@ -120,7 +146,7 @@ def profile_columns(df: DataFrame, dataset: str, columns: list[str] | None = Non
         joined.withColumn("logical_dtype", logical)
         .withColumns({"is_boolean": boolean, "is_text": text, "distinct_values": unique, "unique_pct": unique_pct})
         .select(
-            F.lit(dataset).alias("dataset"),
+            "dataset",
             "column",
             "position",
             "logical_dtype",
@@ -276,9 +302,36 @@ def add_role(roles: DataFrame, hits: DataFrame, role: str) -> DataFrame:
     )
 
 
+def literal_fk(spark, columns: list[tuple[str, str]]) -> DataFrame:
+    """(dataset, column) of declared foreign keys."""
+    return literal_table(spark, columns, "dataset string,column string")
+
+
+def mark_foreign_keys(roles: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+    return add_role(roles, foreign_keys, "foreign_key")
+
+
 def data_dictionary(roles: DataFrame, advice: DataFrame) -> DataFrame:
     """Column facts next to the feature recommendation."""
     picked = advice.select("dataset", "column", "classification", "recommendation")
     return roles.select(
         "dataset", "column", "logical_dtype", "null_pct", "unique_count", F.array_join("roles", ",").alias("roles")
     ).join(F.broadcast(picked), ["dataset", "column"], "left")
+
+
+def detect_datetime_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, named, shaped_share, parsed_share, is_datetime) of text columns, over all values."""
+    counts = value_counts(df, columns)
+    total = counts.groupBy("column").agg(F.sum("copies").alias("filled"))
+    # One row per column on both sides.
+    joined = _value_flags(counts.withColumn("from_text", F.lit(True)), ["column"]).join(F.broadcast(total), "column")
+    named = names.matches(F.col("column"), names.TIME)
+    shaped = F.coalesce("shaped", F.lit(0)) / F.col("filled")
+    parsed = F.coalesce("parsed", F.lit(0)) / F.col("filled")
+    return joined.select(
+        "column",
+        named.alias("named"),
+        shaped.alias("shaped_share"),
+        parsed.alias("parsed_share"),
+        ((named | (shaped >= MATCH_RATIO)) & (parsed >= MATCH_RATIO)).alias("is_datetime"),
+    )

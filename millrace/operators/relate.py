@@ -192,15 +192,16 @@ def plausible_pairs(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, s
     return [(a, b, c, d) for a, b in named for c, d in named if a != c]
 
 
+def pair_table(spark, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    schema = "source_dataset string,source_column string,target_dataset string,target_column string"
+    return literal_table(spark, pairs, schema)
+
+
 def detect_relationships(tables: dict[str, DataFrame], roles: DataFrame) -> DataFrame:
     """Likely joins with their evidence, most confident first by ``join_confidence``."""
     spark = roles.sparkSession
     s_ds, s, t_ds, t = (F.col(c) for c in ("source_dataset", "source_column", "target_dataset", "target_column"))
-    named = literal_table(
-        spark,
-        plausible_pairs(tables),
-        "source_dataset string,source_column string,target_dataset string,target_column string",
-    ).where(join_plausible(s_ds, s, t_ds, t))
+    named = pair_table(spark, plausible_pairs(tables)).where(join_plausible(s_ds, s, t_ds, t))
     pair = named.columns
 
     keys = key_values(tables)
