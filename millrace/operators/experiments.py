@@ -17,6 +17,11 @@ def experiment_log(spark: SparkSession, path: str, records: list[tuple]) -> None
     spark.createDataFrame(records, SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def experiment_append(records: DataFrame, path: str) -> None:
+    """Append experiments that are already a table."""
+    records.write.mode("append").parquet(path)
+
+
 def experiment_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).orderBy("timestamp", "experiment_id")
 

@@ -23,6 +23,7 @@ TARGET_UNIQUE_PCT, TARGET_NULL_PCT = 85.0, 10.0
 KEY_UNIQUE_PCT = 90.0
 DISTINCT_RATIO = 0.95
 REQUIRED_OVERLAP = 0.95
+PAIR = ["source_dataset", "source_column", "target_dataset", "target_column"]
 DESCRIPTIVE = ["avg_rating", "completed_orders", "prep_capacity", "shift_hours", "order_size"]
 
 
@@ -169,7 +170,7 @@ def key_overlap(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     which side holds the key. ``pairs`` has at most one row per pair of
     key-like columns, so it is broadcast.
     """
-    pair = ["source_dataset", "source_column", "target_dataset", "target_column"]
+    pair = PAIR
     small = F.broadcast(pairs.select(*pair).distinct())
 
     def side(prefix: str) -> DataFrame:
@@ -280,7 +281,7 @@ def foreign_key_columns(relationships: DataFrame) -> DataFrame:
 
 def merge_plan(relationships: DataFrame) -> DataFrame:
     """One recommended join per column pair, ranked by confidence."""
-    pair = ["source_dataset", "source_column", "target_dataset", "target_column"]
+    pair = PAIR
     kind = F.col("cardinality")
     strategy = (
         F.when(kind == "many_to_one", "enrich_source_with_target")

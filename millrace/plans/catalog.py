@@ -12,6 +12,7 @@ from millrace.plans.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SOURCE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -23,6 +24,7 @@ def query(name: str, sql: str | None = None):
 
         run.__name__ = name
         QUERIES[name] = run
+        SOURCE[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             ORACLES[name] = sql
         return fn

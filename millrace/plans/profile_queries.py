@@ -12,6 +12,7 @@ from millrace.operators import relate as R
 from millrace.operators import scoring as S
 from millrace.operators.rows import union_all
 from millrace.plans.catalog import query, rounded, union_sql
+from millrace.plans.cleaning import action_order
 from millrace.plans.quality_queries import BOTH as DIRTY_BOTH
 from millrace.plans.quality_queries import CATEGORY_SQL, ORDER_COLUMNS, SPECS, suite
 from millrace.plans.tables import with_views
@@ -376,20 +377,21 @@ PLAUSIBLE_SQL = f"""NOT (sc = 'id' AND tc = 'id') AND CASE
     WHEN sc = 'id' AND tc <> 'id' THEN {NEAR(_single('sd'), _single(_entity('tc')))}
     WHEN tc = 'id' AND sc <> 'id' THEN {NEAR(_single('td'), _single(_entity('sc')))}
     ELSE {_single(_entity('sc'))} = {_single(_entity('tc'))} END"""
-PAIRS_SQL = "SELECT * FROM (VALUES " + ", ".join(str(p) for p in CONSIDERED) + ") AS v(sd, sc, td, tc)"
+
+
+CANDIDATE_PAIRS = "SELECT source_dataset AS sd, source_column AS sc, target_dataset AS td, target_column AS tc FROM candidates"
 
 
 @query(
     "name_similarity",
-    f"""SELECT sd AS source_dataset, sc AS source_column, td AS target_dataset, tc AS target_column,
-       CAST({SIMILARITY_SQL} AS DOUBLE) AS similarity, {PLAUSIBLE_SQL} AS plausible FROM ({PAIRS_SQL})""",
+    WITH
+    + f""",\n{PROFILE},\n{CANDIDATES}
+SELECT sd AS source_dataset, sc AS source_column, td AS target_dataset, tc AS target_column,
+       CAST({SIMILARITY_SQL} AS DOUBLE) AS similarity FROM ({CANDIDATE_PAIRS})""",
 )
 def _(t):
-    pairs = R.pair_table(t.spark, R.plausible_pairs(star(t)))
-    args = [F.col(c) for c in pairs.columns]
-    return pairs.select(
-        "*", R.name_similarity(*args).alias("similarity"), R.join_plausible(*args).alias("plausible")
-    )
+    pairs = R.join_candidates(profile_of(t)).select(*R.PAIR)
+    return pairs.select("*", R.name_similarity(*[F.col(c) for c in R.PAIR]).alias("similarity"))
 
 
 CONFIDENCE = "n * 0.40 + overlap * 0.30 + card * 0.15 + d * 0.10 + overlap * 0.05"
@@ -426,12 +428,14 @@ def _(t):
 
 @query(
     "join_plausibility",
-    f"""SELECT sd AS source_dataset, sc AS source_column, td AS target_dataset, tc AS target_column
-        FROM ({PAIRS_SQL}) WHERE {PLAUSIBLE_SQL}""",
+    WITH
+    + f""",\n{PROFILE},\n{CANDIDATES}
+SELECT sd AS source_dataset, sc AS source_column, td AS target_dataset, tc AS target_column FROM ({CANDIDATE_PAIRS})
+WHERE {KEYISH.format(c="sc")} AND {KEYISH.format(c="tc")} AND {PLAUSIBLE_SQL}""",
 )
 def _(t):
-    pairs = R.pair_table(t.spark, R.plausible_pairs(star(t)))
-    return pairs.where(R.join_plausible(*[F.col(c) for c in pairs.columns]))
+    pairs = R.join_candidates(profile_of(t)).select(*R.PAIR)
+    return pairs.where(R.join_plausible(*[F.col(c) for c in R.PAIR]))
 
 
 @query(
@@ -851,6 +855,24 @@ def _(t):
     return D.approval_manifest(calibrated_of(t))
 
 
+ORDER_OF = (
+    "CASE action WHEN 'REMOVE_DUPLICATES' THEN 1 WHEN 'IMPUTE' THEN 2 WHEN 'FIX_GPS' THEN 5 WHEN 'REPAIR_FOREIGN_KEY' THEN 6 "
+    "WHEN 'REMOVE_OUTLIERS' THEN 8 WHEN 'KEEP' THEN 10 WHEN 'LEAVE_UNCHANGED' THEN 10 END"
+)
+
+
+@query(
+    "action_order",
+    WITH_CALIBRATED
+    + f""",\nmanifest AS (SELECT printf('DEC-%03d', row_number() OVER (ORDER BY {URGENCY}, confidence DESC, dataset,
+       coalesce("column", ''), action, rationale)) AS decision_id, * FROM calibrated)
+SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY {ORDER_OF}, decision_id) AS step, decision_id, "column",
+       action AS verb, {ORDER_OF} AS place FROM manifest WHERE {ORDER_OF} IS NOT NULL""",
+)
+def _(t):
+    return action_order(D.approval_manifest(calibrated_of(t)), force_approve_all=True)
+
+
 @query(
     "decision_summary",
     WITH_CALIBRATED

@@ -72,6 +72,12 @@ VIEWS = {
                l_returnflag AS return_flag, l_linestatus AS line_status, l_discount AS discount, l_tax AS tax,
                l_extendedprice * (1 - l_discount) * (1 + l_tax) / 1000 AS charge
         FROM {lineitem}""",
+    # One row per order with model inputs; the id is unique.
+    "order_inputs": """
+        SELECT o_orderkey AS id, o_totalprice AS order_value, CAST(o_custkey % 20 AS BIGINT) AS current_load,
+               CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey % 11) / 100e0 END AS discount,
+               3e0 + (o_custkey % 21) / 10e0 AS avg_rating
+        FROM {orders}""",
     # Renamed star schema, for join inference and column roles.
     "orders_star": """
         SELECT o_orderkey AS id, o_custkey AS customer_id, o_totalprice AS total_amount, o_orderstatus AS order_status,
