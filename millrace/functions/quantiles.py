@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.types import quoted
 from millrace.session import durable_checkpoint
 
 GRID = 400
@@ -24,12 +25,12 @@ SALTS = 32
 
 def melt_numbers(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """Long form (by…, column, value) of numeric columns, nulls and NaN dropped."""
-    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
+    numbers = [F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
     slim = df.select(*by, *numbers)
     if len(columns) == 1:
-        long = slim.select(*by, F.lit(columns[0]).alias("column"), F.col(columns[0]).alias("value"))
+        long = slim.select(*by, F.lit(columns[0]).alias("column"), F.col(quoted(columns[0])).alias("value"))
     else:
-        long = slim.unpivot(list(by), columns, "column", "value")
+        long = slim.unpivot(list(by), [quoted(c) for c in columns], "column", "value")
     return long.where("value IS NOT NULL")
 
 

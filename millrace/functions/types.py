@@ -11,6 +11,11 @@ MOMENT = (T.TimestampType, T.TimestampNTZType, T.DateType)
 SCALAR = INTEGRAL + FRACTIONAL + MOMENT + (T.StringType, T.BooleanType)
 
 
+def quoted(name: str) -> str:
+    """Name that Spark reads literally, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def dtype_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 

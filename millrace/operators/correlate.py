@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import numeric as N
 from millrace.functions import types as ty
 from millrace.functions import values as V
 from millrace.operators.rows import batches, rows_of, union_all
@@ -15,34 +14,47 @@ from millrace.operators.rows import batches, rows_of, union_all
 PAIRS_PER_PASS = 600
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    return V.to_number(F.col(name), ty.dtype_of(df, name))
+def _pair_sql(i: int, j: int, filled: bool) -> str:
+    """Pearson correlation over complete pairs; a side without spread gives null.
+
+    ``covar_pop`` skips incomplete pairs; the variances are restricted to the
+    same pairs unless both columns are known to be filled, where they are shared.
+    """
+    a, b = f"c{i}", f"c{j}"
+    if filled:
+        return f"try_divide(covar_pop({a}, {b}), sqrt(var_pop({a})) * sqrt(var_pop({b})))"
+    return (
+        f"try_divide(covar_pop({a}, {b}), sqrt(var_pop({a}) FILTER (WHERE {b} IS NOT NULL))"
+        f" * sqrt(var_pop({b}) FILTER (WHERE {a} IS NOT NULL)))"
+    )
 
 
 def upper_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x, y, x_position, y_position, pairs, r) for every column pair, x before y."""
     chosen = columns or ty.numeric_columns(df)
-    numbered = list(combinations(enumerate(chosen), 2))
+    numbers = df.select(*[V.to_number(F.col(ty.quoted(c)), ty.dtype_of(df, c)).alias(f"c{i}") for i, c in enumerate(chosen)])
+    optional = {i for i, f in enumerate(df.select(*[ty.quoted(c) for c in chosen]).schema.fields) if f.nullable}
     parts = []
-    for group in batches(numbered, PAIRS_PER_PASS):
+    for group in batches(list(combinations(range(len(chosen)), 2)), PAIRS_PER_PASS):
         aggregates, structs = [], []
-        for i, ((px, x), (py, y)) in enumerate(group):
-            a, b = _number(df, x), _number(df, y)
+        for i, j in group:
+            filled = i not in optional and j not in optional
+            both = "count(1)" if filled else f"count_if(c{i} IS NOT NULL AND c{j} IS NOT NULL)"
             aggregates += [
-                F.count_if(a.isNotNull() & b.isNotNull()).alias(f"n{i}"),
-                N.guarded_corr(a, b).alias(f"r{i}"),
+                F.expr(both).alias(f"n_{i}_{j}"),
+                F.expr(_pair_sql(i, j, filled)).alias(f"r_{i}_{j}"),
             ]
             structs.append(
                 F.struct(
-                    F.lit(x).alias("x"),
-                    F.lit(y).alias("y"),
-                    F.lit(px).alias("x_position"),
-                    F.lit(py).alias("y_position"),
-                    F.col(f"n{i}").alias("pairs"),
-                    F.col(f"r{i}").alias("r"),
+                    F.lit(chosen[i]).alias("x"),
+                    F.lit(chosen[j]).alias("y"),
+                    F.lit(i).alias("x_position"),
+                    F.lit(j).alias("y_position"),
+                    F.col(f"n_{i}_{j}").alias("pairs"),
+                    F.col(f"r_{i}_{j}").alias("r"),
                 )
             )
-        parts.append(rows_of(df.agg(*aggregates), structs))
+        parts.append(rows_of(numbers.agg(*aggregates), structs))
     return union_all(parts)
 
 

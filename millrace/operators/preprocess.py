@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 from millrace.functions import types as ty
 from millrace.functions import values as V
 from millrace.functions.quantiles import quantile_row
-from millrace.functions.ranking import is_small, sorted_codes
+from millrace.functions.ranking import is_small
 from millrace.operators import encode as E
 from millrace.operators.correlate import correlated_columns
-from millrace.operators.rows import union_all
+from millrace.operators.rows import rows_of, union_all
 
 CODES_SCHEMA = "feature string, category string, code bigint"
 CORRELATION_LIMIT = 0.95
@@ -91,9 +91,12 @@ class TablePreprocessor(Estimator, _PreprocessorParams, DefaultParamsReadable, D
         continuous = [
             c for c in model.all_features() if c not in one_hot_names and c not in ordinal and c not in booleans
         ]
+        # One pass gives the scaler and tells which features vary.
+        features = model.all_features()
+        stats = {r["column"]: r for r in feature_spread(encoded, features).collect()}
+        varying = [c for c in features if stats[c]["low"] is not None and stats[c]["low"] < stats[c]["high"]]
         if continuous:
-            stats = E.scaler_fit(encoded, continuous).collect()
-            state["scale"] = {r["column"]: [r["mean"] or 0.0, r["std"] or 0.0] for r in stats}
+            state["scale"] = {c: [stats[c]["mean"] or 0.0, stats[c]["std"] or 0.0] for c in continuous}
             # The median of a column is the value filled in, in scaled terms.
             row = quantile_row(encoded, {f"m{i}": (c, 0.5) for i, c in enumerate(continuous)}).first()
             for i, c in enumerate(continuous):
@@ -101,25 +104,31 @@ class TablePreprocessor(Estimator, _PreprocessorParams, DefaultParamsReadable, D
                 value = row[f"m{i}"]
                 state["medians"][c] = 0.0 if value is None else (value - mean) / (std if std > 0 else 1.0)
         model.state_value = state
-        state["selected"] = self._select(model, dataset, label)
+        state["selected"] = self._select(model, dataset, label, varying or features)
         model.state_value = state
         return model
 
-    def _select(self, model: TablePreprocessorModel, dataset: DataFrame, label: str) -> list[str]:
+    def _select(self, model: TablePreprocessorModel, dataset: DataFrame, label: str, kept: list[str]) -> list[str]:
         frame = model.feature_frame(dataset, label if label in dataset.columns else None)
-        features = model.all_features()
-        constant = {r["column"] for r in E.constant_columns(frame, features).where("is_constant").collect()}
-        kept = [c for c in features if c not in constant]
         if len(kept) > 1:
             close = {r["column"] for r in correlated_columns(frame, kept, CORRELATION_LIMIT).collect()}
             kept = [c for c in kept if c not in close]
-        kept = kept or features
         trees = self.getOrDefault("importanceTrees")
         if trees and label in dataset.columns:
             kept = [r["feature"] for r in importance_rank(frame, kept, label, trees).collect()]
         return kept
 
 
+def feature_spread(df: DataFrame, features: list[str]) -> DataFrame:
+    """(column, mean, std, low, high) of every feature in one scan."""
+    measures = {"mean": F.avg, "std": F.stddev_pop, "low": F.min, "high": F.max}
+    aggregates, structs = [], []
+    for i, name in enumerate(features):
+        aggregates += [fn(F.col(ty.quoted(name))).alias(f"{what}{i}") for what, fn in measures.items()]
+        structs.append(F.struct(F.lit(name).alias("column"), *[F.col(f"{w}{i}").alias(w) for w in measures]))
+    return rows_of(df.agg(*aggregates), structs)
+
+
 def _codes(raw: DataFrame, ordinal: list[str]) -> DataFrame:
     spark = raw.sparkSession
     parts = [spark.createDataFrame([], CODES_SCHEMA)]

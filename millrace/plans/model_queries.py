@@ -102,10 +102,10 @@ def _(t):
     "latest_per_family",
     WITH_STATE
     + f"""SELECT {SHOWN}, versions FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS rn,
-       count(*) OVER (PARTITION BY model_name) AS versions FROM state) WHERE rn = 1 AND versions <= 6""",
+       count(*) OVER (PARTITION BY model_name) AS versions FROM state WHERE mae > 70) WHERE rn = 1 AND versions <= 2""",
 )
 def _(t):
-    return shown(R.latest_per_family(state(t), 6))
+    return shown(R.latest_per_family(state(t).where("mae > 70")))
 
 
 @query(
@@ -126,7 +126,7 @@ breaks AS (SELECT *, CASE WHEN status = 'Archived' AND lag(status) OVER (ORDER B
 runs AS (SELECT *, sum(fresh) OVER (ORDER BY pos) AS run FROM breaks),
 first_live AS (SELECT model_name, min(pos) AS pos FROM runs WHERE status = 'Production' GROUP BY 1),
 happened AS (
-    SELECT min(created_at) AS at, 1 AS quiet, CASE WHEN count(*) > 1 THEN count(*) || ' ' || min(model_name) || ' models archived'
+    SELECT min(created_at) AS happened_at, 1 AS quiet, CASE WHEN count(*) > 1 THEN count(*) || ' ' || min(model_name) || ' models archived'
         ELSE min(model_name) || ' v' || min(version) || ' archived' END AS label FROM runs WHERE status = 'Archived' GROUP BY run
     UNION ALL SELECT r.created_at, 0, r.model_name || ' v' || version || ' promoted to Production' FROM runs r JOIN first_live USING (model_name, pos)
     UNION ALL SELECT created_at, 1, model_name || ' v' || version || ' staging' FROM runs WHERE status = 'Staging')"""
@@ -136,7 +136,7 @@ happened AS (
     "activity_feed",
     EVENTS
     + f""",\n{FEED}
-SELECT row_number() OVER (ORDER BY at DESC, quiet, label) AS position, label, strftime(at, '%Y-%m-%d %H:%M:%S') AS event_time
+SELECT row_number() OVER (ORDER BY happened_at DESC, quiet, label) AS position, label, strftime(happened_at, '%Y-%m-%d %H:%M:%S') AS event_time
 FROM happened ORDER BY position LIMIT 5""",
 )
 def _(t):
@@ -187,11 +187,11 @@ def logged(t):
     "experiment_list",
     EVENTS
     + """\nSELECT model_name || '-' || version AS experiment_id, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS timestamp, model_name,
-       'default' AS dataset_version, '{"runs":"' || count(*) || '"}' AS hyperparameters, round(avg(mae), 4) AS mae,
+       'default' AS dataset_version, '{"runs":"' || count(*) || '"}' AS hyperparameters, round(avg(mae), 6) AS mae,
        CAST(count(*) AS DOUBLE) AS training_time_seconds, version AS model_version FROM registry_events GROUP BY model_name, version""",
 )
 def _(t):
-    return rounded(L.experiment_flat(L.experiment_list(t.spark, logged(t)), ["mae"]), 4)
+    return rounded(L.experiment_flat(L.experiment_list(t.spark, logged(t)), ["mae"]))
 
 
 @query(
