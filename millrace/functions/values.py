@@ -17,7 +17,11 @@ OUTPUT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # Words read as booleans, and slash date layouts.
 TRUE_WORDS = ["true", "1", "1.0", "yes"]
 FALSE_WORDS = ["false", "0", "0.0", "no"]
-SLASH_FORMATS = ["d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "d/M/yyyy"]
+SLASH_FORMATS = [
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+]
 
 # Years 1 to 9999, in seconds; values of 1e12 and more are milliseconds.
 EPOCH_RANGE = (-62135596800, 253402300799)
@@ -79,7 +83,10 @@ def parse_timestamp(c: Column, dtype: T.DataType | None = None) -> Column:
         return _from_epoch(c)
     text = blank_to_null(c)
     digits = text.rlike(r"^[+-]?\d{1,18}$")
-    slashed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in SLASH_FORMATS])
+    # The shape picks the layout, so that a failing parse stays rare.
+    slashed = F
+    for shape, layout in SLASH_FORMATS:
+        slashed = slashed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}"), text.try_cast("timestamp"))
     return (
         F.when(digits, _from_epoch(F.when(digits, text).try_cast("bigint")))

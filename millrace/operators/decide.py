@@ -224,7 +224,7 @@ def decision_summary(recommendations: DataFrame) -> DataFrame:
     return (
         recommendations.select(sets.alias("s"), "confidence")
         .groupBy("s.kind", "s.name")
-        .agg(F.count(F.lit(1)).alias("decisions"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+        .agg(F.count(F.lit(1)).alias("decisions"), F.round(F.avg("confidence"), 10).alias("mean_confidence"))
     )
 
 

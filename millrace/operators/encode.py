@@ -49,7 +49,7 @@ def encoding_plan(
     """(column, feature_type, strategy) from names, types and cardinality."""
     kinds = {f.name: feature_type(f.name, f.dataType, target) for f in df.schema.fields}
     fixed = [F.struct(F.lit(n).alias("column"), F.lit(k).alias("feature_type")) for n, k in kinds.items()]
-    base = df.sparkSession.range(1).select(F.inline(F.array(*fixed)))
+    base = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*fixed)))
     nominal = [n for n, k in kinds.items() if k == "Categorical" and n.lower() not in ordinal]
     categorical = F.col("feature_type") == "Categorical"
     if not nominal:
@@ -73,7 +73,7 @@ def encoding_plan_auto(df: DataFrame) -> DataFrame:
     parts = []
     if numeric:
         rows = [F.struct(F.lit(c).alias("column"), F.lit("Numerical").alias("feature_type")) for c in numeric]
-        plain = df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+        plain = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
         parts.append(plain.withColumn("strategy", F.lit(NO_ENCODING)))
     if texts:
         few = F.when(F.col("categories") <= AUTO_ONE_HOT_LIMIT, ONE_HOT).otherwise(ORDINAL)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,40 +55,48 @@ INTENTS = {
 }
 DEFAULT_INTENT = "general_chat"
 WHOLE_WORDS = {"predict"}
+LOW = "__lower"
 
 
-def _any_of(phrases: list[str]) -> str:
-    return "(" + "|".join(re.escape(p) for p in phrases) + ")"
+def _shortest(phrases: list[str]) -> list[str]:
+    """Phrases that contain no other one: a text holds any phrase exactly if it holds one of these."""
+    return [p for p in phrases if not any(q != p and q in p for q in phrases)]
 
 
-def intent_tags(message: Column) -> Column:
-    """Every tag whose keywords occur in the message; the default tag when none does."""
-    low = F.lower(message)
-    found = F.array_compact(F.array(*[F.when(low.rlike(_any_of(words)), F.lit(tag)) for tag, words in TAGS.items()]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(DEFAULT_TAG)))
+def _contains_any(text: Column, phrases: list[str]) -> Column:
+    return reduce(or_, [text.contains(p) for p in _shortest(phrases)])
 
 
-def _pattern(phrases: list[str], whole_words: bool) -> str:
-    if whole_words:
-        single = [p for p in phrases if " " not in p]
-    else:
-        single = [p for p in phrases if p in WHOLE_WORDS]
-    rest = [p for p in phrases if p not in single]
-    parts = ([r"\b" + _any_of(single) + r"\b"] if single else []) + ([_any_of(rest)] if rest else [])
-    return "(" + "|".join(parts) + ")"
+def _whole_word(text: Column, words: list[str]) -> Column:
+    return text.rlike(r"\b(" + "|".join(re.escape(w) for w in words) + r")\b")
 
 
-def intent_first(message: Column, whole_words: bool = True) -> Column:
-    """The first matching intent.
+def intent_tags(df: DataFrame, text: str) -> DataFrame:
+    """Add ``tags``: every tag whose keywords occur in the message, else the default tag.
+
+    The lower-case text is a column of its own, so it is made once per row.
+    """
+    low = F.col(LOW)
+    found = F.array_compact(F.array(*[F.when(_contains_any(low, words), F.lit(tag)) for tag, words in TAGS.items()]))
+    tags = F.when(F.size(F.col("tags")) > 0, F.col("tags")).otherwise(F.array(F.lit(DEFAULT_TAG)))
+    tagged = df.withColumn(LOW, F.lower(text)).withColumn("tags", found).withColumn("tags", tags)
+    return tagged.drop(LOW)
+
+
+def intent_first(df: DataFrame, text: str, whole_words: bool = True) -> DataFrame:
+    """Add ``intent``: the first matching intent.
 
     One-word triggers match whole words, so that "which" is no greeting;
     ``whole_words=False`` matches them anywhere, except the bare "predict".
     """
-    low = F.lower(strip(message))
-    chain = F
+    low, chain = F.col(LOW), F
     for intent, phrases in INTENTS.items():
-        chain = chain.when(low.rlike(_pattern(phrases, whole_words)), intent)
-    return chain.otherwise(DEFAULT_INTENT)
+        words = [p for p in phrases if (" " not in p if whole_words else p in WHOLE_WORDS)]
+        rest = [p for p in phrases if p not in words]
+        tests = ([_whole_word(low, words)] if words else []) + ([_contains_any(low, rest)] if rest else [])
+        chain = chain.when(reduce(or_, tests), intent)
+    lowered = df.withColumn(LOW, F.lower(strip(F.col(text))))
+    return lowered.withColumn("intent", chain.otherwise(DEFAULT_INTENT)).drop(LOW)
 
 
 def last_n_turns(df: DataFrame, conversation: str, turn: str, n: int = 20) -> DataFrame:

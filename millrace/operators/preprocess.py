@@ -33,7 +33,7 @@ from millrace.functions import values as V
 from millrace.functions.quantiles import quantile_row
 from millrace.functions.ranking import is_small
 from millrace.operators import encode as E
-from millrace.operators.correlate import correlated_columns
+from millrace.operators.correlate import filled_matrix
 from millrace.operators.rows import rows_of, union_all
 
 CODES_SCHEMA = "feature string, category string, code bigint"
@@ -111,8 +111,9 @@ class TablePreprocessor(Estimator, _PreprocessorParams, DefaultParamsReadable, D
     def _select(self, model: TablePreprocessorModel, dataset: DataFrame, label: str, kept: list[str]) -> list[str]:
         frame = model.feature_frame(dataset, label if label in dataset.columns else None)
         if len(kept) > 1:
-            close = {r["column"] for r in correlated_columns(frame, kept, CORRELATION_LIMIT).collect()}
-            kept = [c for c in kept if c not in close]
+            r = filled_matrix(frame, kept)
+            close = {j for j in range(len(kept)) for i in range(j) if abs(r[i][j]) > CORRELATION_LIMIT}
+            kept = [c for j, c in enumerate(kept) if j not in close]
         trees = self.getOrDefault("importanceTrees")
         if trees and label in dataset.columns:
             kept = [r["feature"] for r in importance_rank(frame, kept, label, trees).collect()]

@@ -2,8 +2,8 @@
 
 Numeric statistics come from one aggregate. Distinct counts, repeats and the
 value-based type flags come from (column, value) counts: each column is
-counted by value with partial aggregation, so one shuffle serves all columns
-and a constant column costs one row per task.
+counted by value with partial aggregation, so one shuffle per value type
+serves all columns and a constant column costs one row per task.
 """
 
 from __future__ import annotations
@@ -78,46 +78,80 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)) * 100, 2)
 
 
-def _value_flags(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Per column: distinct values, boolean words, and for text its length, date shapes and parses."""
-    value, copies, is_text = F.col("value"), F.col("copies"), F.col("from_text")
+def _text_flags(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per text column: distinct values, boolean words, length, date shapes and parses."""
+    value, copies = F.col("value"), F.col("copies")
     shaped = F.lit(False)
     for pattern in names.DATETIME_VALUES:
         shaped = shaped | V.strip(value).rlike(pattern)
-    odd = ~F.lower(value).isin(names.BOOLEAN_WORDS)
     parsed = V.parse_timestamp(value, T.StringType()).isNotNull()
     return counts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("unique_count"),
-        F.count_if(odd).alias("odd_values"),
-        F.sum(F.when(is_text, F.length(value) * copies)).alias("length_sum"),
-        F.sum(F.when(is_text & shaped, copies)).alias("shaped"),
-        F.sum(F.when(is_text & parsed, copies)).alias("parsed"),
+        F.count_if(~F.lower(value).isin(names.BOOLEAN_WORDS)).alias("odd_values"),
+        F.sum(F.length(value) * copies).alias("length_sum"),
+        F.sum(F.when(shaped, copies)).alias("shaped"),
+        F.sum(F.when(parsed, copies)).alias("parsed"),
     )
 
 
+def _plain_flags(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per number or timestamp column: distinct values, and values other than 0 and 1."""
+    nothing = F.lit(None).cast("bigint")
+    return counts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("unique_count"), F.count_if(~F.col("value").isin(0, 1)).alias("odd_values")
+    ).select(*keys, "unique_count", "odd_values", *[nothing.alias(c) for c in ("length_sum", "shaped", "parsed")])
+
+
+def _typed_values(df: DataFrame, dataset: str, columns: list[str], kind: str) -> DataFrame:
+    """(dataset, column, value) of every non-null cell, as one Spark type."""
+    parts = []
+    for group in batches(columns):
+        cells = []
+        for c in group:
+            cell = F.col(c)
+            if ty.is_moment(ty.dtype_of(df, c)):
+                cell = F.unix_micros(cell.cast("timestamp"))
+            cells.append(F.when(~is_null(df, c), cell.cast(kind)).alias(c))
+        parts.append(df.select(*cells).unpivot([], group, "column", "value"))
+    return union_all(parts).where("value IS NOT NULL").select(F.lit(dataset).alias("dataset"), "column", "value")
+
+
+def _kind(dtype: T.DataType) -> str:
+    if ty.is_integral(dtype) or ty.is_moment(dtype):
+        return "bigint"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    return "string"
+
+
 def profile_tables(tables: dict[str, DataFrame], columns: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per column of every table with counts, statistics and type flags.
 
-    All tables share the shuffle of (dataset, column, value) counts. The result
-    has one row per column and feeds many operators, so it is written once to
-    the checkpoint folder.
+    All tables share the shuffles of (dataset, column, value) counts: one for
+    whole numbers and timestamps, one for fractions and one for text, so that
+    numbers travel as eight bytes. The result has one row per column and feeds
+    many operators, so it is written once to the checkpoint folder.
     """
-    bases, longs = [], []
+    bases: list[DataFrame] = []
+    values: dict[str, list[DataFrame]] = {"bigint": [], "double": [], "string": []}
     for name, df in tables.items():
         chosen = [c for c in ty.scalar_columns(df) if columns is None or (name, c) in columns]
         start = 0
         for group in batches(chosen):
             bases.append(_base_row(df, group, start).withColumn("dataset", F.lit(name)))
             start += len(group)
-        texts = [c for c in chosen if isinstance(ty.dtype_of(df, c), T.StringType)]
-        from_text = F.col("column").isin(texts) if texts else F.lit(False)
-        longs.append(_long_values(df, chosen).select(F.lit(name).alias("dataset"), "column", from_text.alias("from_text"), "value"))
-    counts = (
-        union_all(longs).groupBy("dataset", "column", "from_text", "value").agg(F.count(F.lit(1)).alias("copies"))
-    )
-    flags = _value_flags(counts, ["dataset", "column"])
+        for kind, parts in values.items():
+            mine = [c for c in chosen if _kind(ty.dtype_of(df, c)) == kind]
+            if mine:
+                parts.append(_typed_values(df, name, mine, kind))
+    keys = ["dataset", "column"]
+    flags = []
+    for kind, parts in values.items():
+        if parts:
+            counts = union_all(parts).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("copies"))
+            flags.append(_text_flags(counts, keys) if kind == "string" else _plain_flags(counts, keys))
     # One row per column on both sides.
-    joined = union_all(bases).join(F.broadcast(flags), ["dataset", "column"], "left")
+    joined = union_all(bases).join(F.broadcast(union_all(flags)), keys, "left")
     return durable_checkpoint(_finish_profile(joined).coalesce(1))
 
 
@@ -324,7 +358,7 @@ def detect_datetime_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = value_counts(df, columns)
     total = counts.groupBy("column").agg(F.sum("copies").alias("filled"))
     # One row per column on both sides.
-    joined = _value_flags(counts.withColumn("from_text", F.lit(True)), ["column"]).join(F.broadcast(total), "column")
+    joined = _text_flags(counts, ["column"]).join(F.broadcast(total), "column")
     named = names.matches(F.col("column"), names.TIME)
     shaped = F.coalesce("shaped", F.lit(0)) / F.col("filled")
     parsed = F.coalesce("parsed", F.lit(0)) / F.col("filled")

@@ -30,4 +30,4 @@ def literal_table(spark, rows: list[tuple], schema: str) -> DataFrame:
     structs = [
         F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)]) for row in rows
     ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -61,7 +63,25 @@ def train_regressor(
 ) -> PipelineModel:
     """Fit preprocessing and one regressor on the rows that have a label."""
     pipeline = make_pipeline(name, label, ignored, importance_trees, **overrides)
-    return pipeline.fit(train.where(F.col(label).isNotNull()))
+    with kept_in_memory(train.where(F.col(label).isNotNull())) as rows:
+        return pipeline.fit(rows)
+
+
+@contextmanager
+def kept_in_memory(df: DataFrame):
+    """Hold a training table across the many passes of a fit; it spills to disk when large.
+
+    An input of fewer partitions than cores is spread first.
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if held.rdd.getNumPartitions() < parallelism:
+        held.unpersist()
+        held = df.repartition(parallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
 
 
 # ------------------------------------------------------------------ evaluation
@@ -173,12 +193,14 @@ def grid_search(
         numFolds=folds,
         parallelism=parallelism,
     )
-    fitted = search.fit(df.where(F.col(label).isNotNull()).withColumn("__fold", fold_of(F.col(key), folds)))
-    rows = [
+    numbered = df.where(F.col(label).isNotNull()).withColumn("__fold", fold_of(F.col(key), folds))
+    with kept_in_memory(numbered) as rows:
+        fitted = search.fit(rows)
+    scores = [
         (json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(score))
         for m, score in zip(maps, fitted.avgMetrics)
     ]
-    ranked = sorted(rows, key=lambda r: r[1])
+    ranked = sorted(scores, key=lambda r: r[1])
     table = df.sparkSession.createDataFrame(
         [(name, i + 1, params, score) for i, (params, score) in enumerate(ranked)],
         "model_name string, config_rank int, parameters string, mean_mae double",

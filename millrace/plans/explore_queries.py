@@ -258,7 +258,8 @@ TAG_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_contains(w)} THEN '{g}' END
     f"SELECT conv_id, turn, CASE WHEN len({TAG_LIST}) > 0 THEN array_to_string({TAG_LIST}, ',') ELSE 'health' END AS tags FROM conversations",
 )
 def _(t):
-    return t("conversations").select("conv_id", "turn", F.array_join(M.intent_tags(F.col("text")), ",").alias("tags"))
+    tagged = M.intent_tags(t("conversations"), "text")
+    return tagged.select("conv_id", "turn", F.array_join("tags", ",").alias("tags"))
 
 
 @query(
@@ -266,7 +267,7 @@ def _(t):
     f"SELECT doc_id, CASE WHEN len({TAG_LIST}) > 0 THEN array_to_string({TAG_LIST}, ',') ELSE 'health' END AS tags FROM documents",
 )
 def _(t):
-    return t("documents").select("doc_id", F.array_join(M.intent_tags(F.col("text")), ",").alias("tags"))
+    return M.intent_tags(t("documents"), "text").select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
 def _intent_sql(whole: bool) -> str:
@@ -282,12 +283,12 @@ def _intent_sql(whole: bool) -> str:
 
 @query("intent_first", f"SELECT conv_id, turn, {_intent_sql(True)} AS intent FROM conversations")
 def _(t):
-    return t("conversations").select("conv_id", "turn", M.intent_first(F.col("text")).alias("intent"))
+    return M.intent_first(t("conversations"), "text").select("conv_id", "turn", "intent")
 
 
 @query("intent_first_anywhere", f"SELECT conv_id, turn, {_intent_sql(False)} AS intent FROM conversations")
 def _(t):
-    return t("conversations").select("conv_id", "turn", M.intent_first(F.col("text"), False).alias("intent"))
+    return M.intent_first(t("conversations"), "text", False).select("conv_id", "turn", "intent")
 
 
 @query(
@@ -359,11 +360,11 @@ DRIFT = ["order_value", "current_load", "avg_rating"]
     "drift_baseline",
     DELIVERIES
     + union_sql(
-        [f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std FROM deliveries" for c in DRIFT]
+        [f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM deliveries" for c in DRIFT]
     ),
 )
 def _(t):
-    return rounded(W.drift_baseline(t("deliveries"), DRIFT), 4)
+    return rounded(W.drift_baseline(t("deliveries"), DRIFT))
 
 
 def drift(t):
@@ -387,12 +388,12 @@ DRIFT_SQL = (
 @query(
     "drift_scan",
     DELIVERIES
-    + "SELECT * REPLACE (round(baseline_mean, 4) AS baseline_mean, round(current_mean, 4) AS current_mean, round(shift, 4) AS shift) FROM ("
+    + "SELECT * REPLACE (round(baseline_mean, 6) AS baseline_mean, round(current_mean, 6) AS current_mean, round(shift, 6) AS shift) FROM ("
     + DRIFT_SQL
     + ")",
 )
 def _(t):
-    return rounded(drift(t), 4)
+    return rounded(drift(t))
 
 
 @query(

@@ -12,7 +12,7 @@ from millrace.operators import registry as R
 from millrace.operators import train as M
 from millrace.operators.preprocess import TablePreprocessor, importance_rank
 from millrace.plans.catalog import query, rounded, union_sql
-from millrace.plans.quality_queries import _scratch as scratch
+from millrace.plans.quality_queries import scratch
 from millrace.plans.tables import with_views
 
 EVENTS = with_views("registry_events")
@@ -299,6 +299,20 @@ def _(t):
     return rounded(M.regression_metrics(model.transform(test), "charge"))
 
 
+@query("train_regressor_forest")
+def _(t):
+    train, test = split_tables(t)
+    model = M.train_regressor("RandomForestRegressor", train, "charge", ["id"], numTrees=10)
+    return rounded(M.regression_metrics(model.transform(test), "charge"))
+
+
+@query("train_regressor_boosted")
+def _(t):
+    train, test = split_tables(t)
+    model = M.train_regressor("XGBRegressor", train, "charge", ["id"], maxIter=5, maxDepth=3, subsamplingRate=0.8)
+    return rounded(M.regression_metrics(model.transform(test), "charge"))
+
+
 @query("global_importance")
 def _(t):
     train, _ = split_tables(t)

@@ -14,8 +14,11 @@ from millrace.operators.rows import union_all
 from millrace.plans.catalog import query, rounded, union_sql
 from millrace.plans.cleaning import action_order
 from millrace.plans.quality_queries import BOTH as DIRTY_BOTH
+from millrace.plans.quality_queries import scratch
 from millrace.plans.quality_queries import CATEGORY_SQL, ORDER_COLUMNS, SPECS, suite
 from millrace.plans.tables import with_views
+from millrace.sources.files import manifest_read
+from millrace.sources.sinks import sink_report
 
 # Columns of each star table with their physical and logical types.
 STAR = {
@@ -873,13 +876,27 @@ def _(t):
     return action_order(D.approval_manifest(calibrated_of(t)), force_approve_all=True)
 
 
+@query(
+    "manifest_read",
+    WITH_CALIBRATED
+    + """\nSELECT dataset, "column", action, priority, confidence, rationale, 'PENDING_APPROVAL' AS status FROM calibrated""",
+)
+def _(t):
+    # A manifest is one document: a few decisions per column of the schema.
+    manifest = D.approval_manifest(calibrated_of(t)).withColumnRenamed("dataset", "dataset_id")
+    path = f"{scratch(t)}/manifest"
+    document = manifest.agg(F.collect_list(F.struct(*manifest.columns)).alias("manifest"))
+    sink_report(document, path)
+    return manifest_read(t.spark, path).drop("decision_id", "details")
+
+
 @query(
     "decision_summary",
     WITH_CALIBRATED
     + "\n"
     + union_sql(
         [
-            f"SELECT '{k}' AS kind, {c} AS name, count(*) AS decisions, round(avg(confidence), 4) AS mean_confidence "
+            f"SELECT '{k}' AS kind, {c} AS name, count(*) AS decisions, round(avg(confidence), 10) AS mean_confidence "
             f"FROM calibrated GROUP BY ALL"
             for k, c in (("priority", "priority"), ("action", "action"), ("total", "'all'"))
         ]

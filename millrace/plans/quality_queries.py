@@ -75,7 +75,7 @@ def parsed_sql(column: str) -> str:
 # ---------------------------------------------------------------------- scans
 
 
-def _scratch(t) -> str:
+def scratch(t) -> str:
     """A new folder for round trips: below the shared checkpoint folder where one is named."""
     import tempfile
     import uuid
@@ -91,7 +91,7 @@ def _scratch(t) -> str:
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
 )
 def _(t):
-    path = f"{_scratch(t)}/orders_csv"
+    path = f"{scratch(t)}/orders_csv"
     slim = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     sinks.sink_table(slim, path, "csv")
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
@@ -155,7 +155,7 @@ def _(t):
     "SELECT c_mktsegment, count(*) AS rows, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment",
 )
 def _(t):
-    path = f"{_scratch(t)}/customers"
+    path = f"{scratch(t)}/customers"
     sinks.sink_table(t("customer"), path, "parquet", ["c_mktsegment"])
     back = t.spark.read.parquet(path)
     return back.groupBy("c_mktsegment").agg(
@@ -168,7 +168,7 @@ def _(t):
     "SELECT l_returnflag AS flag, count(*) AS rows FROM lineitem GROUP BY l_returnflag",
 )
 def _(t):
-    path = f"{_scratch(t)}/report"
+    path = f"{scratch(t)}/report"
     found = t("lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("rows"))
     sinks.sink_report(found, path)
     return t.spark.read.schema("flag string, rows bigint").json(path)
@@ -179,7 +179,7 @@ def _(t):
     "SELECT c_nationkey, count(*) * 2 AS rows FROM customer GROUP BY c_nationkey",
 )
 def _(t):
-    path = f"{_scratch(t)}/metrics"
+    path = f"{scratch(t)}/metrics"
     per_nation = t("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("rows"))
     sinks.sink_append(per_nation, path)
     sinks.sink_append(per_nation, path)
@@ -193,7 +193,7 @@ def _(t):
 
 @query("rollback_table")
 def _(t):
-    path = _scratch(t)
+    path = scratch(t)
     sinks.sink_table(t("customer"), f"{path}/raw")
     sinks.sink_table(t("customer").where("c_acctbal > 0"), f"{path}/processed")
     entry = sinks.rollback_entry(t.spark, "customer", f"{path}/raw", f"{path}/processed")

@@ -130,12 +130,16 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._made: dict[str, DataFrame] = {}
         # Results must not depend on the time zone of the machine.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __call__(self, name: str) -> DataFrame:
-        if name in VIEWS:
-            return self._view(name)
+        if name not in self._made:
+            self._made[name] = self._view(name) if name in VIEWS else self._base(name)
+        return self._made[name]
+
+    def _base(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         zoned = [
             F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)

@@ -1,6 +1,6 @@
 import pytest
-from conftest import rows
-from delivery_specs import SPECS
+from tests.conftest import rows
+from tests.delivery_specs import SPECS
 from pyspark.sql import functions as F
 
 from millrace.operators import clean as K

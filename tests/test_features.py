@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from tests.conftest import rows
 from pyspark.sql import functions as F
 
 from millrace import ForeignKey
@@ -182,13 +182,13 @@ def test_exploration_edges(spark):
 )
 def test_messages(spark, message, tags, first):
     df = spark.createDataFrame([(message,)], "m string")
-    got = df.select(M.intent_tags(F.col("m")), M.intent_first(F.col("m"))).first()
-    assert (got[0], got[1]) == (tags, first)
+    got = M.intent_first(M.intent_tags(df, "m"), "m").first()
+    assert (got["tags"], got["intent"]) == (tags, first)
 
 
 def test_plain_contains_reads_which_as_greeting(spark):
     df = spark.createDataFrame([("which model",)], "m string")
-    assert df.select(M.intent_first(F.col("m"), whole_words=False)).first()[0] == "greeting"
+    assert M.intent_first(df, "m", whole_words=False).first()["intent"] == "greeting"
 
 
 def test_last_turns(spark):

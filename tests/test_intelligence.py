@@ -1,4 +1,4 @@
-from conftest import rows
+from tests.conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import advise as A

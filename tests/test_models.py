@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from tests.conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators import experiments as L

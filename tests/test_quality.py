@@ -1,5 +1,5 @@
-from conftest import rows
-from delivery_specs import ORDERS, RESTAURANTS, SPECS
+from tests.conftest import rows
+from tests.delivery_specs import ORDERS, RESTAURANTS, SPECS
 from pyspark.sql import functions as F
 
 from millrace import ColumnSpec, TableSpec

@@ -5,7 +5,7 @@ import statistics
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import rows
+from tests.conftest import rows
 from pyspark.sql import functions as F
 
 import millrace.functions.quantiles as Q
