@@ -17,7 +17,7 @@ from millrace.functions import names
 from millrace.functions import types as ty
 from millrace.functions import values as V
 from millrace.operators.checks import duplicate_rows, is_null
-from millrace.operators.rows import batches, literal_table, rows_of, union_all
+from millrace.operators.rows import batches, literal_table, union_all
 from millrace.session import durable_checkpoint
 
 TEXT_LENGTH = 40.0
@@ -43,35 +43,48 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _base_row(df: DataFrame, columns: list[str], start: int) -> DataFrame:
-    """One row per column: position, types, rows, nulls and numeric statistics."""
-    aggregates, structs = [F.count(F.lit(1)).alias("rows")], []
-    nothing = F.lit(None).cast("double")
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _null_sql(df: DataFrame, column: str) -> str:
+    name = ty.quoted(column)
+    if isinstance(ty.dtype_of(df, column), (T.FloatType, T.DoubleType)):
+        return f"({name} IS NULL OR isnan({name}))"
+    return f"({name} IS NULL)"
+
+
+def _base_row(df: DataFrame, dataset: str, columns: list[str], start: int) -> DataFrame:
+    """One row per column: position, types, rows, nulls and numeric statistics.
+
+    Wide tables make many expressions, so they are handed over as SQL text.
+    """
+    aggregates, structs = ["count(1) AS rows"], []
     for i, name in enumerate(columns):
         dtype = ty.dtype_of(df, name)
-        aggregates.append(F.count_if(is_null(df, name)).alias(f"null{i}"))
-        stats = [nothing] * 4
+        aggregates.append(f"count_if({_null_sql(df, name)}) AS null{i}")
+        stats = ["CAST(NULL AS DOUBLE)"] * 4
         if ty.is_numeric(dtype):
-            number = V.to_number(F.col(name), dtype)
+            number = f"nanvl(CAST({ty.quoted(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
             aggregates += [
-                F.min(number).alias(f"min{i}"),
-                F.max(number).alias(f"max{i}"),
-                F.avg(number).alias(f"mean{i}"),
-                F.stddev_samp(number).alias(f"std{i}"),
+                f"min({number}) AS min{i}",
+                f"max({number}) AS max{i}",
+                f"avg({number}) AS mean{i}",
+                f"stddev_samp({number}) AS std{i}",
             ]
-            stats = [F.col(f"{s}{i}") for s in ("min", "max", "mean", "std")]
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(start + i).alias("position"),
-                F.lit(dtype.simpleString()).alias("physical_dtype"),
-                F.lit(ty.logical_name(dtype)).alias("declared"),
-                F.col("rows").alias("row_count"),
-                F.col(f"null{i}").alias("null_count"),
-                *[s.alias(n) for s, n in zip(stats, ("min", "max", "mean", "std"))],
-            )
-        )
-    return rows_of(df.agg(*aggregates), structs)
+            stats = [f"{s}{i}" for s in ("min", "max", "mean", "std")]
+        values = {
+            "dataset": _literal(dataset),
+            "column": _literal(name),
+            "position": str(start + i),
+            "physical_dtype": _literal(dtype.simpleString()),
+            "declared": _literal(ty.logical_name(dtype)),
+            "row_count": "rows",
+            "null_count": f"null{i}",
+            **dict(zip(("min", "max", "mean", "std"), stats)),
+        }
+        structs.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")")
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -108,12 +121,11 @@ def _typed_values(df: DataFrame, dataset: str, columns: list[str], kind: str) ->
     for group in batches(columns):
         cells = []
         for c in group:
-            cell = F.col(c)
-            if ty.is_moment(ty.dtype_of(df, c)):
-                cell = F.unix_micros(cell.cast("timestamp"))
-            cells.append(F.when(~is_null(df, c), cell.cast(kind)).alias(c))
-        parts.append(df.select(*cells).unpivot([], group, "column", "value"))
-    return union_all(parts).where("value IS NOT NULL").select(F.lit(dataset).alias("dataset"), "column", "value")
+            name = ty.quoted(c)
+            cell = f"unix_micros(CAST({name} AS TIMESTAMP))" if ty.is_moment(ty.dtype_of(df, c)) else name
+            cells.append(f"CASE WHEN NOT {_null_sql(df, c)} THEN CAST({cell} AS {kind}) END AS {name}")
+        parts.append(df.selectExpr(*cells).unpivot([], [ty.quoted(c) for c in group], "column", "value"))
+    return union_all(parts).selectExpr(f"{_literal(dataset)} AS dataset", "column", "value").where("value IS NOT NULL")
 
 
 def _kind(dtype: T.DataType) -> str:
@@ -138,7 +150,7 @@ def profile_tables(tables: dict[str, DataFrame], columns: list[tuple[str, str]]
         chosen = [c for c in ty.scalar_columns(df) if columns is None or (name, c) in columns]
         start = 0
         for group in batches(chosen):
-            bases.append(_base_row(df, group, start).withColumn("dataset", F.lit(name)))
+            bases.append(_base_row(df, name, group, start))
             start += len(group)
         for kind, parts in values.items():
             mine = [c for c in chosen if _kind(ty.dtype_of(df, c)) == kind]

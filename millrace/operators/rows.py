@@ -23,11 +23,21 @@ def batches(items: list, size: int = WIDE_BATCH) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
 def literal_table(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A lookup table held in the plan itself, so that no task reads Python data."""
-    names = [part.split()[0] for part in schema.split(",")]
-    types = [part.split()[1] for part in schema.split(",")]
+    fields = [part.split() for part in schema.split(",")]
     structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)]) for row in rows
+        "named_struct("
+        + ", ".join(f"'{name}', CAST({_sql_literal(v)} AS {kind})" for v, (name, kind) in zip(row, fields))
+        + ")"
+        for row in rows
     ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    return spark.range(0, 1, 1, 1).selectExpr(f"inline(array({', '.join(structs)}))")
