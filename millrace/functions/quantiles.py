@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.ranking import all_salts, is_small, task_salt
 from millrace.functions.types import quoted
 from millrace.session import durable_checkpoint
 
@@ -20,7 +21,6 @@ GRID = 400
 ACCURACY = 4000
 DIRECT_BELOW = 4 * GRID
 BROADCAST_ROWS = 100_000
-SALTS = 32
 
 
 def melt_numbers(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -55,12 +55,12 @@ def attach(long: DataFrame, table: DataFrame, keys: list[str], small: bool) -> D
 
     Without groups there is one bracket per column and probability, so it is
     broadcast; with groups only after their number was checked. Otherwise a
-    group is spread over salts by value, so one large group fills many tasks.
+    group is spread over salts, so one large group fills many tasks.
     """
     if small:
         return long.join(F.broadcast(table), keys)
-    salted = long.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = long.withColumn("salt", task_salt())
+    copies = table.withColumn("salt", all_salts())
     return salted.join(copies, [*keys, "salt"]).drop("salt")
 
 
@@ -85,7 +85,7 @@ def exact_quantiles(
     small = True
     if by:
         first = durable_checkpoint(first)
-        small = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        small = is_small(first, BROADCAST_ROWS)
 
     value, inside = F.col("value"), (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
     goal = ["p", "n", "position", "rank"]

@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.session import durable_checkpoint
 
 SMALL_ROWS = 100_000
+SALTS = 32
 
 
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """Whether a table has at most ``rows`` rows; stops counting there."""
-    return df.limit(rows + 1).count() <= rows
+    return df.limit(max(rows, 0) + 1).count() <= rows
+
+
+def task_salt() -> Column:
+    """A salt from the number of the reading task.
+
+    It spreads equal rows as well as equal keys, and a task that runs again
+    gives the same salt whatever order its rows arrive in.
+    """
+    return F.pmod(F.spark_partition_id(), F.lit(SALTS))
+
+
+def all_salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, limit: int = SMALL_ROWS) -> DataFrame:
+    """Left-join a table with one row per key.
+
+    A table that counting showed to be small is broadcast. Otherwise the rows
+    are salted and every salt gets the table, so a frequent key fills many tasks.
+    """
+    if is_small(table, limit):
+        return rows.join(F.broadcast(table), key, "left")
+    salted = rows.withColumn("salt", task_salt())
+    return salted.join(table.withColumn("salt", all_salts()), [key, "salt"], "left").drop("salt")
 
 
 def sorted_codes(values: DataFrame, column: str) -> tuple[DataFrame, bool]:

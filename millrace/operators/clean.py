@@ -15,11 +15,12 @@ from millrace.functions import names
 from millrace.functions import types as ty
 from millrace.functions import values as V
 from millrace.functions.quantiles import quantile_row
-from millrace.functions.ranking import sorted_codes
+from millrace.functions.ranking import all_salts, is_small, sorted_codes, task_salt
 from millrace.operators.checks import LATITUDE_RANGE, LONGITUDE_RANGE, is_null, paired_keys, parent_keys
 from millrace.operators.profile import value_counts
 from millrace.operators.rows import rows_of
 
+BROADCAST_KEYS = 1_000_000
 MISSING_TEXT = "Unknown"
 IDENTIFIER_WORDS = ["id", "restaurant", "rider", "customer", "order"]
 SIGMAS = 3
@@ -161,10 +162,21 @@ def gps_drop(df: DataFrame, column: str, axis: str = "latitude") -> DataFrame:
 
 
 def _marked(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -> tuple[DataFrame, Column, Column]:
+    """Rows joined to the distinct parent keys.
+
+    Keys are broadcast when counting them showed few. Otherwise child rows are
+    salted and every salt gets the keys, so a key, or null, with a large share
+    of the rows fills many tasks.
+    """
     key, parent_key = paired_keys(df, column, parent, parent_column)
     keys = parent_keys(parent, parent_key)
-    joined = df.withColumn("child_key", key)
-    joined = joined.join(keys, joined["child_key"] == keys["parent_key"], "left")
+    child = df.withColumn("child_key", key)
+    if is_small(keys, BROADCAST_KEYS):
+        joined = child.join(F.broadcast(keys), F.col("child_key") == F.col("parent_key"), "left")
+    else:
+        copies = keys.withColumn("parent_salt", all_salts())
+        same = (F.col("child_key") == F.col("parent_key")) & (F.col("child_salt") == F.col("parent_salt"))
+        joined = child.withColumn("child_salt", task_salt()).join(copies, same, "left")
     return joined, F.col("child_key"), F.col("child_key").isNotNull() & F.col("parent_key").isNull()
 
 

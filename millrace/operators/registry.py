@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.ranking import lookup
+
 PRODUCTION, ARCHIVED = "Production", "Archived"
 
 
@@ -43,16 +45,13 @@ def registry_state(events: DataFrame) -> DataFrame:
     )
     families = versions.groupBy("model_name").agg(F.max("promoted").alias("family_promoted"))
     demoted = (F.col("own") == PRODUCTION) & (F.col("family_promoted") > F.col("latest"))
-    return (
-        versions.withColumns({"latest": latest, "own": own})
-        .join(families, "model_name", "left")
-        .select(
-            "model_name",
-            "version",
-            F.when(F.coalesce(demoted, F.lit(False)), ARCHIVED).otherwise(F.col("own")).alias("status"),
-            F.col("first.created_at").alias("created_at"),
-            F.col("first.mae").alias("mae"),
-        )
+    dated = lookup(versions.withColumns({"latest": latest, "own": own}), families, "model_name")
+    return dated.select(
+        "model_name",
+        "version",
+        F.when(F.coalesce(demoted, F.lit(False)), ARCHIVED).otherwise(F.col("own")).alias("status"),
+        F.col("first.created_at").alias("created_at"),
+        F.col("first.mae").alias("mae"),
     )
 
 

@@ -30,11 +30,13 @@ def monitor_stream(
     """
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        row = monitor_batch(batch, prediction, inputs, bounds)
+        held = batch.persist() if baseline is not None else batch
+        row = monitor_batch(held, prediction, inputs, bounds)
         _with_batch(row, batch_id).write.mode("overwrite").parquet(f"{output}/monitoring/batch={batch_id}")
         if baseline is not None:
-            drift = drift_any(drift_scan(baseline, batch))
+            drift = drift_any(drift_scan(baseline, held))
             _with_batch(drift, batch_id).write.mode("overwrite").parquet(f"{output}/drift/batch={batch_id}")
+            held.unpersist()
 
     writer = predictions.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -67,13 +67,25 @@ def test_gps(spark):
     assert [r[0] for r in K.gps_drop(df, "latitude").collect()] == [12.97, None]
 
 
-def test_foreign_keys(spark):
+@pytest.mark.parametrize("broadcast_keys", [1_000_000, 0])
+def test_foreign_keys(spark, monkeypatch, broadcast_keys):
+    monkeypatch.setattr(K, "BROADCAST_KEYS", broadcast_keys)
     child = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,)], "k double")
     parent = spark.createDataFrame([(1,), (2,)], "id int")
     assert rows(K.fk_flag(child, "k", parent, "id"), "k") == [(None, False), ("1", False), ("2", False), ("3", True)]
     assert rows(K.fk_repair(child, "k", parent, "id"), "k") == [(None,), ("1",), ("2",)]
 
 
+def test_hot_keys_are_salted(spark, monkeypatch):
+    """A third of the rows on one key and a third without key, against a parent with repeats."""
+    monkeypatch.setattr(K, "BROADCAST_KEYS", 0)
+    child = spark.range(0, 3000, 1, 9).select(F.expr("CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN id END").alias("k"))
+    parent = spark.range(0, 1500).union(spark.range(0, 1500))
+    kept = K.fk_repair(child, "k", parent, "id")
+    assert kept.count() == 1000 + 1000 + 500
+    assert K.fk_flag(child, "k", parent, "id").where("k_is_orphan").count() == 500
+
+
 def test_text_and_scaling(spark):
     df = spark.createDataFrame([(" a\t", 1.0), (None, 3.0)], "t string, n double")
     assert [r[0] for r in K.trim_whitespace(df, "t").select("t").collect()] == ["a", None]
