@@ -14,7 +14,7 @@ from millrace.plans.tables import BASE  # noqa: E402
 from tools.compare import canonical  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
 # A run of all of them takes several minutes; MILLRACE_ALL_QUERIES=1 asks for it.
 CORE = [
@@ -55,6 +55,7 @@ def test_entry(spark):
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) == len(catalog.SOURCE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @needs_data
