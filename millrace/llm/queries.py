@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_codec, license_scan, line_rules
+from millrace.llm import bpe_codec, license_scan, line_rules, token_counts
 from millrace.llm.catalog import query
 from millrace.llm.common import documents
 
@@ -18,6 +18,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest_documents(documents(spark, sf_dir), WORD_BPE)
 
 
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), PIECE_BPE)
+
+
 @query("op8_license_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
