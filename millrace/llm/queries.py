@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe_codec, license_scan, line_rules, token_counts
+from millrace.llm import bpe_codec, license_scan, line_rules, substring_dedup, suffix_dedup, token_counts
 from millrace.llm.catalog import query
 from millrace.llm.common import documents
 
@@ -13,11 +14,23 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated_words(documents(spark, sf_dir), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op2_bpe_codec")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest_documents(documents(spark, sf_dir), WORD_BPE)
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir), window=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), PIECE_BPE)
