@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_codec, license_scan, line_rules, substring_dedup, suffix_dedup, token_counts
+from millrace.llm import bpe_codec, license_scan, line_rules, minhash_dedup, substring_dedup, suffix_dedup, token_counts
 from millrace.llm.catalog import query
 from millrace.llm.common import documents
 
@@ -41,6 +41,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
+@query("op9_minhash_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 LINE_RULES_SQL = r"""
 WITH d AS (SELECT coalesce(doc_id, 9223372036854775807) AS o, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t
            FROM {table}),
