@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_codec, license_scan, line_rules, minhash_dedup, substring_dedup, suffix_dedup, token_counts
+from millrace.llm import bpe_codec, embedding_dedup, license_scan, line_rules, minhash_dedup, substring_dedup, suffix_dedup, token_counts
 from millrace.llm.catalog import query
 from millrace.llm.common import documents
 
@@ -31,6 +31,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op4_embedding_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), PIECE_BPE)
