@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_codec, embedding_dedup, license_scan, line_rules, minhash_dedup, substring_dedup, suffix_dedup, token_counts
+from millrace.llm import bpe_codec, embedding_dedup, license_scan, line_rules, minhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
 from millrace.llm.catalog import query
 from millrace.llm.common import documents
 
@@ -36,6 +36,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_index(documents(spark, sf_dir), WORD_BPE, end_id=2)
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), PIECE_BPE)
