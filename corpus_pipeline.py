@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.llm.catalog import importable
 from millrace.llm.common import documents, stored
 from millrace.llm.line_rules import quality_rules
+from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.packing import pack_documents
+from millrace.llm.queries import WORD_BPE
+from millrace.llm.suffix_dedup import without_repeats
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +19,36 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs).where("kept").select(docs.columns)
 
 
-STAGES = [("quality rules", rules_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    importable(spark)
+    found = near_duplicates(docs)
+    dropped = found.where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 100-byte strings that occur earlier; n_chars follows."""
+    importable(spark)
+    out = without_repeats(docs, window=100)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in bins of 2,048 tokens."""
+    importable(spark)
+    return pack_documents(docs, WORD_BPE, capacity=2048)
+
+
+STAGES = [
+    ("quality rules", rules_stage),
+    ("near duplicates", near_stage),
+    ("repeated strings", repeats_stage),
+    ("packing", packing_stage),
+]
+# SQL cannot express suffix sorting over whole texts or best-fit packing; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

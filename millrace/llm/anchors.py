@@ -276,10 +276,13 @@ def union_of(pairs: np.ndarray) -> np.ndarray:
     return np.stack((pairs[firsts, 0], reach[np.append(firsts[1:], len(pairs)) - 1]), 1)
 
 
-def _apply(kind: Windows, finish: Callable, made: pa.Schema) -> Callable:
+def _apply(kind: Windows, finish: Callable, made: pa.Schema, carried: int) -> Callable:
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        extra = [f"c{i}" for i in range(carried)]
         if not texts.num_rows:
-            return made.empty_table()
+            return pa.Table.from_arrays(
+                [pa.array([], f.type) for f in made] + [texts.column(c) for c in extra], names=[*made.names, *extra]
+            )
         copies: set[int] = set()
         spans: dict[int, list[bytes]] = {}
         for which, value, pairs in zip(*(told.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -297,19 +300,24 @@ def _apply(kind: Windows, finish: Callable, made: pa.Schema) -> Callable:
             else:
                 gone = np.zeros((0, 2), np.int64)
             rows.append((None if d == LAST_ID else d, *finish(units, gone)))
-        return pa.Table.from_batches([batch_of(made, *map(list, zip(*rows)))], made)
+        done = batch_of(made, *map(list, zip(*rows)))
+        return pa.Table.from_arrays([*done.columns, *(texts.column(c) for c in extra)], names=[*made.names, *extra])
 
     return run
 
 
-def remove_repeats(df: DataFrame, kind: Windows, finish: Callable, made: pa.Schema, text: str, doc_id: str) -> DataFrame:
-    """One row per document: ``finish(units, removed spans)`` in the columns of ``made`` after the id."""
+def remove_repeats(
+    df: DataFrame, kind: Windows, finish: Callable, made: pa.Schema, text: str, doc_id: str, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per document: ``finish(units, removed spans)`` in the columns of ``made`` after the id, then those to carry."""
     spark = df.sparkSession
     parts = parallelism(spark)
     t = F.coalesce(F.col(text), F.lit(""))
-    keyed = df.select(order_id(doc_id).alias("d"), t.alias("t")).withColumn("k", F.xxhash64("d", "t"))
+    extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    keyed = df.select(order_id(doc_id).alias("d"), t.alias("t"), *extra).withColumn("k", F.xxhash64("d", "t"))
     keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("d"), F.lit(4 * parts)))
-    texts = keyed.select("chunk", "d", "k", "t").repartition(parts, "chunk")
+    names = [f"c{i}" for i in range(len(carry))]
+    texts = keyed.select("chunk", "d", "k", "t", *names).repartition(parts, "chunk")
     # Exact copies of a text in a document of smaller id need no search.
     digests = keyed.select("chunk", "d", "k", F.md5("t").alias("m"))
     firsts = digests.groupBy("m").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
@@ -331,6 +339,11 @@ def remove_repeats(df: DataFrame, kind: Windows, finish: Callable, made: pa.Sche
     dealt = segments.repartition(parts, "h").sortWithinPartitions("h")
     spans = dealt.mapInArrow(_search(kind), sql(SPANS))
     told = spans.unionByName(copies.withColumn("spans", F.lit(None).cast("binary")))
-    out = beside(told, _apply(kind, finish, made), sql(made))
-    first = made.names[0]
-    return out.withColumn(first, F.col(first).cast(df.schema[doc_id].dataType)).withColumnRenamed(first, doc_id)
+    kinds = "".join(f", {n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
+    out = beside(told, _apply(kind, finish, made, len(carry)), sql(made) + kinds)
+    first, *rest = made.names
+    return out.select(
+        F.col(first).cast(df.schema[doc_id].dataType).alias(doc_id),
+        *rest,
+        *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)],
+    )

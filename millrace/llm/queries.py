@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_codec, embedding_dedup, license_scan, line_rules, minhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
+from millrace.llm import bpe_codec, embedding_dedup, license_scan, line_rules, minhash_dedup, packing, substring_dedup, suffix_dedup, token_counts, token_files
 from millrace.llm.catalog import query
 from millrace.llm.common import documents
 
@@ -46,6 +46,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), PIECE_BPE)
 
 
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), WORD_BPE, capacity=2048)
+
+
 @query("op8_license_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm.anchors import Windows, mixed, remove_repeats
 
@@ -225,3 +226,37 @@ def remove_repeated_bytes(df: DataFrame, window: int = 100, text: str = "text",
     document with equal results.
     """
     return remove_repeats(df, ByteWindows(window), _finish, MADE, text, doc_id)
+
+
+TEXT = pa.schema([("d", pa.int64()), ("kept_text", pa.string())])
+
+
+def whole_characters(raw: bytes, gone: np.ndarray) -> np.ndarray:
+    """Spans without the characters that they hold in part only."""
+    out = []
+    for a, b in gone.tolist():
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _finish_text(raw: bytes, gone: np.ndarray):
+    return (_finish(raw, whole_characters(raw, gone))[3].decode(),)
+
+
+def without_repeats(df: DataFrame, window: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``df`` with repeated strings taken out of the text, in whole characters; documents left empty are dropped.
+
+    What counts as repeated is as in ``remove_repeated_bytes``. Documents that
+    were empty before stay.
+    """
+    others = tuple(c for c in df.columns if c not in (text, doc_id))
+    was_empty = F.coalesce(F.col(text), F.lit("")) == ""
+    marked = df.withColumn("__empty", was_empty)
+    out = remove_repeats(marked, ByteWindows(window), _finish_text, TEXT, text, doc_id, (*others, "__empty"))
+    out = out.where(F.col("__empty") | (F.col("kept_text") != "")).withColumn(text, F.col("kept_text"))
+    return out.select(df.columns)
