@@ -31,29 +31,25 @@ RANKS = pa.schema([("pass", pa.int64()), ("id", pa.int64()), ("part", pa.int64()
 FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
 
 
-def unit_rows(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of a list column scaled to length 1, in double precision, and the rows they come from.
-
-    Rows that are null or zero, or that hold null or non-finite numbers, are left
-    out; so are rows whose length differs from the longest.
-    """
-    rows = [np.array(x, np.float64) if x else np.zeros(0) for x in column.to_pylist()]
-    width = max(map(len, rows), default=0)
-    fit = [i for i, x in enumerate(rows) if len(x) == width and width]
-    if not fit:
-        return np.zeros((0, 0)), np.zeros(0, np.int64)
-    m = np.array([rows[i] for i in fit])
-    with np.errstate(over="ignore", invalid="ignore"):
+def unit_rows(vectors: list) -> list[bytes | None]:
+    """Vectors scaled to length 1, as double-precision bytes; none where one is zero, empty or not finite."""
+    out: list[bytes | None] = [None] * len(vectors)
+    sizes = np.array([len(v) for v in vectors])
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == width)
+        m = np.array([vectors[i] for i in rows], np.float64)
         top = np.abs(m).max(axis=1)
         good = np.isfinite(top) & (top > 0)
         m = m[good] / top[good, None]  # no overflow when squared
-    return m / np.sqrt((m * m).sum(axis=1))[:, None], np.array(fit, np.int64)[good]
+        m /= np.sqrt((m * m).sum(axis=1))[:, None]
+        for i, x in zip(rows[good].tolist(), m, strict=True):
+            out[i] = x.tobytes()
+    return out
 
 
 def _vectors(batches):
     for batch in batches:
-        m, rows = unit_rows(batch.column(1))
-        yield batch_of(VECTORS, batch.column(0).take(pa.array(rows)), [x.tobytes() for x in m])
+        yield batch_of(VECTORS, batch.column(0), unit_rows(batch.column(1).to_pylist()))
 
 
 def _keys(passes: int, seed: int):
@@ -198,7 +194,7 @@ def near_vectors(
     rows = df.select(order_id(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("e"))
     valid = rows.where((F.col("id") != LAST_ID) & F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull()))
     vectors = valid.mapInArrow(_vectors, sql(VECTORS))
-    vectors = stored(vectors.groupBy("id").agg(F.min("v").alias("v")))
+    vectors = stored(vectors.where(F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v")))
     keys = vectors.mapInArrow(_keys(passes, seed), sql(KEYS))
     ordered = keys.repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
     places = stored(ordered.mapInArrow(_ranks, sql(RANKS)))
