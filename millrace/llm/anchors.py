@@ -43,6 +43,7 @@ SEGMENTS = pa.schema(
         ("start", pa.int64()),
         ("stop", pa.int64()),
         ("seg", pa.binary()),
+        ("also", pa.binary()),
     ]
 )
 SPANS = pa.schema([("chunk", pa.int64()), ("kind", pa.int64()), ("value", pa.int64()), ("spans", pa.binary())])
@@ -178,20 +179,24 @@ def _segments(kind: Windows) -> Callable:
         chunk = texts.column("chunk")[0].as_py()
         ids, keys, units = _texts(kind, texts, control)
         seen: dict[tuple, int] = {}
-        out: list[tuple] = []
+        out: list[list] = []
+        sure: list[list] = []
 
         def tell(h: int, i: int, first: int, stop: int) -> None:
             piece = kind.piece(units[i], first, stop)
             before = seen.get((h, piece))
             if before is None:
-                seen[h, piece] = ids[i]
-            elif before != ids[i] or kind.same_document:
+                seen[h, piece] = len(out)
+                out.append([h, ids[i], keys[i], chunk, first, stop, piece, None])
+            elif out[before][1] == ids[i] and not kind.same_document:
+                # The same windows of the same document share their fate: only their places go along.
+                out[before][7] = (out[before][7] or b"") + first.to_bytes(8, "little")
+            else:
+                sure.append([keys[i], ids[i], keys[i], chunk, first, stop, None, None])
                 # The chunk holds the same windows earlier; spans that touch are one.
-                if out and out[-1][6] is None and out[-1][2] == keys[i] and out[-1][4] <= first <= out[-1][5]:
-                    first = out.pop()[4]
-                out.append((keys[i], ids[i], keys[i], chunk, first, stop, None))
-                return
-            out.append((h, ids[i], keys[i], chunk, first, stop, piece))
+                if len(sure) > 1 and sure[-2][2] == keys[i] and sure[-2][4] <= first <= sure[-2][5]:
+                    sure[-2][5] = max(stop, sure[-2][5])
+                    sure.pop()
 
         for text, first, count, h in kind.runs(units):
             place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
@@ -207,6 +212,7 @@ def _segments(kind: Windows) -> Callable:
                         tell(xxhash.xxh3_64_intdigest(piece) - 2**63, i, j, j + kind.window)
                 else:
                     tell(key, i, a, a + n - 1 + kind.window)
+        out += sure
         return pa.Table.from_batches([batch_of(SEGMENTS, *map(list, zip(*out)))] if out else [], SEGMENTS)
 
     return run
@@ -230,6 +236,17 @@ def _search(kind: Windows) -> Callable:
         pieces = table.column("seg").filter(pa.array(~sure)).to_pylist()
         row, window = kind.search(h[rows], d[rows], start[rows], pieces)
         row = rows[row]
+        order = np.argsort(row, kind="stable")
+        row, window = row[order], window[order]
+        extra_row, extra = [row], [window]
+        also = table.column("also")
+        for r in np.flatnonzero(~also.is_null().to_numpy()).tolist():
+            a, b = np.searchsorted(row, (r, r + 1)).tolist()
+            if a < b:
+                places = np.frombuffer(also[r].as_py(), "<i8")[:, None] + (window[a:b] - start[r])[None, :]
+                extra.append(places.ravel())
+                extra_row.append(np.full(places.size, r))
+        row, window = np.concatenate(extra_row), np.concatenate(extra)
         # Windows that follow each other in a document make one span.
         order = np.lexsort((window, row))
         row, window = row[order], window[order]
