@@ -69,6 +69,10 @@ def to_boolean(c: Column) -> Column:
     return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
 
 
+#: A day as eight digits; as seconds it would lie in the first year of the epoch.
+COMPACT_DATE = r"^(19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"
+
+
 def _from_epoch(number: Column) -> Column:
     millis = F.abs(number) >= MILLIS_FROM
     seconds = F.when(millis, number / F.lit(1000.0)).otherwise(number.cast("double"))
@@ -76,7 +80,7 @@ def _from_epoch(number: Column) -> Column:
 
 
 def parse_timestamp(c: Column, dtype: T.DataType | None = None) -> Column:
-    """Epoch seconds or milliseconds, day-first slash dates and ISO text to a timestamp."""
+    """Epoch numbers, compact days, ISO text, day-first dates with slashes or dashes and month names to a timestamp."""
     if dtype is not None and ty.is_moment(dtype):
         return c.cast("timestamp")
     if dtype is not None and ty.is_numeric(dtype):
@@ -88,9 +92,14 @@ def parse_timestamp(c: Column, dtype: T.DataType | None = None) -> Column:
     for shape, layout in SLASH_FORMATS:
         slashed = slashed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}"), text.try_cast("timestamp"))
+    named = F.initcap(F.regexp_replace(F.regexp_replace(text, r"([A-Za-z]{3})[A-Za-z]*\.?", "$1"), r"\s*,?\s+", " "))
     return (
-        F.when(digits, _from_epoch(F.when(digits, text).try_cast("bigint")))
+        F.when(text.rlike(COMPACT_DATE), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+        .when(digits, _from_epoch(F.when(digits, text).try_cast("bigint")))
         .when(text.contains("/"), slashed)
+        .when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}"), F.try_to_timestamp(text, F.lit("d-M-yyyy[ H:mm[:ss]]")))
+        .when(text.rlike(r"^[A-Za-z]{3,9}\.? +\d{1,2},? "), F.try_to_timestamp(named, F.lit("MMM d yyyy[ H:mm[:ss]]")))
+        .when(text.rlike(r"^\d{1,2} +[A-Za-z]{3,9}\.?,? "), F.try_to_timestamp(named, F.lit("d MMM yyyy[ H:mm[:ss]]")))
         .otherwise(iso)
     )
 

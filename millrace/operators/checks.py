@@ -163,7 +163,7 @@ def target_violations(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row (row_count, duplicate_rows, rows_in_groups): copies beyond the first, and all copies."""
-    groups = df.groupBy(*(columns or ty.scalar_columns(df))).agg(F.count(F.lit(1)).alias("copies"))
+    groups = df.groupBy(*ty.row_digest(df, columns)).agg(F.count(F.lit(1)).alias("copies"))
     n = F.col("copies")
     return groups.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("row_count"),

@@ -33,18 +33,32 @@ def _with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame, key: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Remove copies: whole rows, or all but the first row of a key in the given order.
+    """Remove copies: whole rows, nested cells included, or all but the first row of a key in the given order.
 
     The first row is a minimum over (order, row), so it is found with partial
-    aggregation and a repeated key never fills one task.
+    aggregation and a repeated key never fills one task. Nulls come last, so a
+    row with missing cells does not win over a full one.
     """
     if not key:
-        return df.dropDuplicates(ty.scalar_columns(df))
+        maps = {c: f"__{i}" for i, c in enumerate(df.columns) if ty.holds_map(ty.dtype_of(df, c))}
+        wide = df.withColumns({t: ty.comparable(F.col(c), ty.dtype_of(df, c)) for c, t in maps.items()})
+        return wide.dropDuplicates([maps.get(c, c) for c in df.columns]).drop(*maps.values())
     rest = [c for c in df.columns if c not in key]
     lead = [c for c in (order or []) if c in rest]
     body = [*lead, *[c for c in rest if c not in lead]]
-    first = df.groupBy(*key).agg(F.min(F.struct(*body)).alias("first"))
-    return first.select(*[F.col(c) if c in key else F.col("first")[c].alias(c) for c in df.columns])
+    if not body:
+        return df.dropDuplicates(key)
+    cells = [
+        F.struct(F.col(c).isNull().alias("absent"), ty.comparable(F.col(c), ty.dtype_of(df, c)).alias("value")).alias(f"c{i}")
+        for i, c in enumerate(body)
+    ]
+    nested = [c for c in body if ty.holds_map(ty.dtype_of(df, c))]
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*body), F.struct(*cells)).alias("first")) if nested else df.groupBy(*key).agg(
+        F.min(F.struct(*cells)).alias("first")
+    )
+    if nested:
+        return first.select(*[F.col(c) if c in key else F.col("first")[c].alias(c) for c in df.columns])
+    return first.select(*[F.col(c) if c in key else F.col("first")[f"c{body.index(c)}"]["value"].alias(c) for c in df.columns])
 
 
 # ----------------------------------------------------------------- imputation

@@ -12,8 +12,9 @@ from millrace.operators.rows import union_all
 
 
 def _by_id(df: DataFrame, key: str, columns: list[str], prefix: str) -> DataFrame:
-    """One row per id with the compared columns as text; equal ids keep the smallest row."""
-    texts = [F.when(~is_null(df, c), F.col(c).cast("string")).alias(c) for c in columns]
+    """One row per id (null is one of them) with the compared columns as text; equal ids keep the smallest row."""
+    plain = {c: ty.comparable(F.col(c), ty.dtype_of(df, c)) for c in columns}
+    texts = [F.when(~is_null(df, c), plain[c].cast("string")).alias(c) for c in columns]
     slim = df.select(V.normalize_key(F.col(key), ty.dtype_of(df, key)).alias("record_id"), *texts)
     return slim.groupBy("record_id").agg(F.min(F.struct(*columns)).alias(prefix))
 
@@ -34,9 +35,10 @@ def change_type(before: Column, after: Column) -> Column:
 
 
 def cell_diff(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
-    """(record_id, column, before, after, change_type) of every changed cell."""
-    columns = [c for c in ty.scalar_columns(raw) if c in cleaned.columns and c != key]
-    old, new = _by_id(raw, key, columns, "old"), _by_id(cleaned, key, columns, "new")
+    """(record_id, column, before, after, change_type) of every changed cell, nested cells included."""
+    columns = [c for c in raw.columns if c in cleaned.columns and c != key]
+    old = _by_id(raw, key, columns, "old")
+    new = _by_id(cleaned, key, columns, "new").withColumnRenamed("record_id", "other_id")
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col("old")[c].alias("before"), F.col("new")[c].alias("after"))
@@ -45,7 +47,7 @@ def cell_diff(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
     )
     before, after = F.col("cell.before"), F.col("cell.after")
     return (
-        old.join(new, "record_id")
+        old.join(new, old["record_id"].eqNullSafe(new["other_id"]))
         .select("record_id", F.explode(cells).alias("cell"))
         .where(~_canonical(before).eqNullSafe(_canonical(after)))
         .select(

@@ -144,7 +144,7 @@ class _TableRun:
         df = self.df
         if verb == "REMOVE_DUPLICATES":
             key = [column] if column else None
-            self.df = durable_checkpoint(clean.drop_duplicates(df, key))
+            self.df = durable_checkpoint(clean.drop_duplicates(df, key, list(self.spec.timestamps)))
             return self._count()
         if verb == "IMPUTE" and column:
             value = clean.fill_values(df, [column]).first()[0]

@@ -37,11 +37,15 @@ def sink_append(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row (rows, checksum): independent of row order, sensitive to repeated rows."""
-    hashed = F.xxhash64(*[F.col(c) for c in sorted(ty.scalar_columns(df))]).cast("decimal(38,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(hashed), F.lit(0)).cast("string").alias("checksum")
-    )
+    """One row (rows, checksum): independent of row order, sensitive to repeated rows, nulls and nested cells.
+
+    The checksum joins two sums of independent 64-bit hashes.
+    """
+    first, second = ty.row_digest(df)
+    total = lambda c: F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0)).cast("string")
+    hashed = df.select(first, second)
+    checksum = F.concat_ws("/", total(F.col("digest_1")), total(F.col("digest_2")))
+    return hashed.agg(F.count(F.lit(1)).alias("rows"), checksum.alias("checksum"))
 
 
 def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
