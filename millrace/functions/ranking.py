@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.session import durable_checkpoint
 
 SMALL_ROWS = 100_000
-SALTS = 32
+#: Salts at least; a larger cluster takes one for each of its shuffle partitions.
+LEAST_SALTS = 32
 
 
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
@@ -17,17 +18,23 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return df.limit(max(rows, 0) + 1).count() <= rows
 
 
+def salts() -> int:
+    session = SparkSession.getActiveSession()
+    partitions = int(session.conf.get("spark.sql.shuffle.partitions")) if session else LEAST_SALTS
+    return max(LEAST_SALTS, partitions)
+
+
 def task_salt() -> Column:
     """A salt from the number of the reading task.
 
     It spreads equal rows as well as equal keys, and a task that runs again
     gives the same salt whatever order its rows arrive in.
     """
-    return F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    return F.pmod(F.spark_partition_id(), F.lit(salts()))
 
 
 def all_salts() -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return F.explode(F.sequence(F.lit(0), F.lit(salts() - 1)))
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, limit: int = SMALL_ROWS) -> DataFrame:

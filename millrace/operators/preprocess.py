@@ -264,10 +264,11 @@ class _ModelReader(MLReader):
 
 
 def importance_rank(df: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 42) -> DataFrame:
-    """(feature, importance, importance_rank) of a random forest, largest first."""
+    """(feature, importance, importance_rank) of a random forest, largest first; a null feature counts as 0."""
     from millrace.operators.explain import importance_table
 
-    assembled = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip").transform(df)
+    whole = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    assembled = VectorAssembler(inputCols=features, outputCol="__features").transform(whole)
     forest = RandomForestRegressor(
         featuresCol="__features", labelCol=label, numTrees=trees, seed=seed, predictionCol="__prediction"
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions import types as ty
 from millrace.operators.features import split_bucket
 from millrace.operators.preprocess import TablePreprocessor
 from millrace.operators.rows import union_all
@@ -46,6 +47,9 @@ GRIDS = {
 MAPE_FLOOR = 1e-8
 METRICS = ["mae", "rmse", "r2", "mape"]
 
+#: Partitions that training rows are dealt to; a larger table wants more, and then fits other, equally good trees.
+FIT_PARTITIONS = 16
+
 
 def make_estimator(name: str, label: str, **overrides):
     if name not in ESTIMATORS:
@@ -68,16 +72,16 @@ def train_regressor(
 
 
 @contextmanager
-def kept_in_memory(df: DataFrame):
+def kept_in_memory(df: DataFrame, partitions: int = FIT_PARTITIONS):
     """Hold a training table across the many passes of a fit; it spills to disk when large.
 
-    An input of fewer partitions than cores is spread first.
+    Bagging and subsampling draw per partition and row, so rows are dealt to a
+    stated number of partitions by a hash of their cells and put in its order:
+    the same rows give the same trees on any machine and file layout.
     """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if held.rdd.getNumPartitions() < parallelism:
-        held.unpersist()
-        held = df.repartition(parallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    digest = ty.row_digest(df)
+    placed = df.withColumns({"__1": digest[0], "__2": digest[1]}).repartition(partitions, "__1")
+    held = placed.sortWithinPartitions("__1", "__2").drop("__1", "__2").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield held
     finally:

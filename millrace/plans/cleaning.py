@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from contextlib import suppress
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +129,7 @@ class _TableRun:
         self.name, self.df, self.spec, self.parents = name, df, spec, parents
         self.rows = df.count()
         self.notes: list[list] = []
+        self.fills: dict = {}
 
     def _count(self) -> int:
         return self.df.count()
@@ -135,11 +138,39 @@ class _TableRun:
         before, after, status, error = self.rows, self.rows, "SUCCESS", None
         if column is not None and column not in self.df.columns:
             status, error = "FAILED", f"no column {column}"
+        elif missing := self._missing(verb, column):
+            status, error = "FAILED", missing
         else:
-            after = self._apply(verb, column, details)
+            held = self.df
+            try:
+                after = self._apply(verb, column, details)
+            except Exception as reason:  # the audit names it, and the other actions go on
+                self.df, after, status = held, before, "FAILED"
+                error = f"{type(reason).__name__}: {str(reason).splitlines()[0][:200]}"
         self.rows = after
         self.notes.append([self.name, column, verb, status, before, after, error])
 
+    def _missing(self, verb: str, column: str | None) -> str | None:
+        """What an action lacks to be carried out."""
+        if column is None and verb != "REMOVE_DUPLICATES":
+            return "no column given"
+        if verb in ("REPAIR_FOREIGN_KEY", "FLAG_FOREIGN_KEY"):
+            fk = next((k for k in self.spec.foreign_keys if k.column == column), None)
+            if fk is None:
+                return f"{column} is no declared foreign key"
+            if fk.parent not in self.parents:
+                return f"no table {fk.parent}"
+        return None
+
+    def gather_fills(self, columns: list[str]) -> None:
+        """Values for neighbouring imputations, which do not depend on each other, from one set of scans."""
+        self.fills = {}
+        present = list(dict.fromkeys(c for c in columns if c in self.df.columns))
+        if len(present) > 1:
+            with suppress(Exception):  # each is then tried, and failed, on its own
+                row = clean.fill_values(self.df, present).first().asDict()
+                self.fills = {c: row[f"fill_{c}"] for c in present}
+
     def _apply(self, verb: str, column: str | None, details: dict) -> int:
         df = self.df
         if verb == "REMOVE_DUPLICATES":
@@ -147,7 +178,7 @@ class _TableRun:
             self.df = durable_checkpoint(clean.drop_duplicates(df, key, list(self.spec.timestamps)))
             return self._count()
         if verb == "IMPUTE" and column:
-            value = clean.fill_values(df, [column]).first()[0]
+            value = self.fills.pop(column) if column in self.fills else clean.fill_values(df, [column]).first()[0]
             self.df = clean.apply_fill(df, column, F.lit(value))
         elif verb == "FIX_DATATYPE" and column:
             self.df = clean.fix_datatype(df, column, details.get("target_dtype", "string"))
@@ -215,8 +246,12 @@ def clean_tables(
         parents = {**tables, **result.tables}
         run = _TableRun(spec.name, tables[spec.name], spec, parents)
         mine = [d for d in decisions if d["dataset"] == spec.name]
-        for verb, column, details in _steps(mine, run.df, spec):
-            if verb not in ("KEEP", "LEAVE_UNCHANGED"):
+        steps = [s for s in _steps(mine, run.df, spec) if s[0] not in ("KEEP", "LEAVE_UNCHANGED")]
+        for verb, group in groupby(steps, key=lambda s: s[0]):
+            group = list(group)
+            if verb == "IMPUTE":
+                run.gather_fills([column for _, column, _ in group])
+            for _, column, details in group:
                 run.step(verb, column, details)
         for fk in spec.foreign_keys:
             if fk.column in run.df.columns and (spec.name, fk.column) not in handled:

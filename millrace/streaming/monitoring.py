@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.operators.monitor import drift_any, drift_scan, monitor_batch
+from millrace.session import durable_checkpoint
 
 
 def _with_batch(rows: DataFrame, batch_id: int) -> DataFrame:
@@ -26,8 +27,11 @@ def monitor_stream(
     """Write one monitoring record per micro-batch, and a drift record when a baseline is given.
 
     Every batch overwrites its own folder, so a batch that is run again after a
-    failure leaves one record.
+    failure leaves one record. The baseline, a row per feature, is worked out
+    once before the stream starts.
     """
+    if baseline is not None:
+        baseline = durable_checkpoint(baseline)
 
     def record(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist() if baseline is not None else batch

@@ -212,3 +212,25 @@ def test_fingerprint_counts_repeats(spark):
     assert sinks.table_fingerprint(once).first()["checksum"] != sinks.table_fingerprint(twice).first()["checksum"]
     shuffled = spark.range(3).orderBy(F.desc("id"))
     assert sinks.table_fingerprint(once).first() == sinks.table_fingerprint(shuffled).first()
+
+
+def test_failed_actions_are_named_and_the_rest_goes_on(spark):
+    from millrace import TableSpec
+    from millrace.plans.cleaning import clean_tables
+
+    rows = spark.createDataFrame([(1, [1], None, " a "), (2, [2], 4.0, "b"), (3, [2], 6.0, "b")], "id long, n array<int>, v double, t string")
+    manifest = spark.createDataFrame(
+        [
+            ("d1", "x", "n", "IMPUTE", "APPROVED"),
+            ("d2", "x", "v", "IMPUTE", "APPROVED"),
+            ("d3", "x", "t", "TRIM_WHITESPACE", "APPROVED"),
+            ("d4", "x", "gone", "FORMAT_STRING", "APPROVED"),
+            ("d5", "x", "id", "REPAIR_FOREIGN_KEY", "APPROVED"),
+        ],
+        "decision_id string, dataset string, column string, action string, status string",
+    )
+    result = clean_tables({"x": rows}, [TableSpec("x", id_column="id")], manifest)
+    status = {r["column"]: r["status"] for r in result.audit_trail(spark).collect()}
+    assert (status["v"], status["t"], status["gone"], status["id"]) == ("SUCCESS", "SUCCESS", "FAILED", "FAILED")
+    assert [r["v"] for r in result.tables["x"].orderBy("id").collect()] == [5.0, 4.0, 6.0]
+    assert [r["t"] for r in result.tables["x"].orderBy("id").collect()][0] == "a"
