@@ -35,7 +35,7 @@ SKETCH = pa.schema(
     [("d", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("halves", pa.list_(pa.int64())), ("sig", pa.binary())]
 )
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-PAIRS = pa.schema([("g", pa.int64()), ("x", pa.int64()), ("ys", pa.list_(pa.int64()))])
+PAIRS = pa.schema([("g", pa.int64()), ("x", pa.int64()), ("ys", pa.list_(pa.int64())), ("need", pa.list_(pa.int64()))])
 
 
 def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -110,8 +110,9 @@ def _candidates(batches):
         halves = np.array(table.column("halves").to_pylist(), np.int64).reshape(-1, 2 * HALVES)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, MINHASHES)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
-        out: list[tuple] = []
+        out: list[list] = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            start = len(out)
             left = a + np.flatnonzero(role[a:b] == 1)
             right = a + np.flatnonzero(role[a:b] == 0)
             for x in left.tolist():
@@ -125,7 +126,9 @@ def _candidates(batches):
                 first = (same[:, :HALVES].argmax(axis=1) == i[x]) & (same[:, HALVES:].argmax(axis=1) == j[x])
                 ys = ys[first]
                 if len(ys):
-                    out.append((int(g[x]), int(d[x]), d[ys].tolist()))
+                    out.append([int(g[x]), int(d[x]), d[ys].tolist(), []])
+            if len(out) > start:  # the documents to verify are named once for the whole block
+                out[start][3] = list({y for row in out[start:] for y in (row[1], *row[2])})
         if out:
             yield batch_of(PAIRS, *map(list, zip(*out)))
 
@@ -176,9 +179,8 @@ def _verify(percent: int):
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links among pairs (group g, x, its partners ys); a group's documents are sent to it once each."""
-    listed = pairs.select("g", F.explode("ys").alias("y"))
-    need = pairs.select("g", F.col("x").alias("y")).unionByName(listed).distinct()
+    """Links among pairs (group g, x, its partners ys); a group's documents (need) are sent to it once each."""
+    need = pairs.select("g", F.explode("need").alias("y")).distinct()
     docs = need.join(texts, need["y"] == texts["d"]).select("g", "d", "t")
     return docs.groupBy("g").cogroup(pairs.toDF(*pairs.columns).groupBy("g")).applyInArrow(_verify(percent), sql(LINKS))
 
@@ -211,10 +213,12 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     buckets = stored(keys.join(met, "key"))
     involved = buckets.select("d").distinct()
     texts = stored(rows.join(involved, "d", "left_semi"))
-    # First round: each document against the smallest one that shares a key.
-    stars = buckets.where("d <> first").groupBy("d").agg(F.min(F.struct("first", "n")).alias("s"))
-    salt = F.pmod(F.xxhash64("d"), F.ceil(F.col("s.n") / BLOCK))
-    stars = stars.select(F.xxhash64("s.first", salt).alias("g"), F.col("d").alias("x"), F.array("s.first").alias("ys"))
+    # First round: each document against the smallest one of each of its keys.
+    stars = buckets.where("d <> first").groupBy("d", "first").agg(F.max("n").alias("n"))
+    salt = F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / BLOCK))
+    stars = stars.select(
+        F.xxhash64("first", salt).alias("g"), F.col("d").alias("x"), F.array("first").alias("ys"), F.array("d", "first").alias("need")
+    )
     links = stored(verified_links(stars, texts, percent))
     labels = components(links)
     # Second round: keys that still hold several components.
