@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions.ranking import lookup
+from millrace.session import durable_checkpoint
 
 PRODUCTION, ARCHIVED = "Production", "Archived"
 
@@ -115,7 +117,6 @@ def training_history(state: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- activity feed
 
 _ORDER = ["neg_time", "not_live", "model_name", "neg_version"]
-_CHUNK = 1000
 
 
 def _feed_rows(state: DataFrame) -> DataFrame:
@@ -131,92 +132,75 @@ def _feed_rows(state: DataFrame) -> DataFrame:
     )
 
 
-def _place(values: tuple) -> Column:
-    literals = [F.lit(v) if isinstance(v, str) else F.lit(v).cast("bigint") for v in values]
-    return F.struct(*[c.alias(n) for c, n in zip(literals, _ORDER)])
+def _numbered_runs(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``run``: neighbours of the newest-first order share it if they agree in kind and family.
 
-
-def _after(place: tuple | None) -> Column:
-    return F.lit(True) if place is None else F.struct(*_ORDER) > _place(place)
+    Rows are range-partitioned by the order and written to the checkpoint
+    folder. Each partition compares neighbours on its own; its first row is
+    compared with the last row before it, of which there is one per partition.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable_checkpoint(rows.repartitionByRange(partitions, *_ORDER).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy(*_ORDER)
+    mark = F.struct("kind", "model_name")
+    beside = placed.withColumn("before", F.lag(mark).over(inside)).withColumn("place", F.row_number().over(inside))
+    starts = (F.col("kind") == "other") | ~mark.eqNullSafe(F.col("before"))
+    beside = beside.withColumn("starts", starts.cast("bigint"))
+    order = F.struct(*_ORDER)
+    borders = beside.groupBy("part").agg(
+        F.sum("starts").alias("runs"),
+        F.min_by(F.struct("kind", "model_name"), order).alias("head"),
+        F.max_by(F.struct("kind", "model_name"), order).alias("tail"),
+    )
+    by_part = Window.orderBy("part")  # one row per partition
+    previous = F.lag("tail").over(by_part)
+    joined = (F.col("head.kind") != "other") & F.col("head").eqNullSafe(previous) & previous.isNotNull()
+    borders = borders.withColumn("joins", joined.cast("bigint"))
+    total = F.sum(F.col("runs") - F.col("joins")).over(by_part.rowsBetween(Window.unboundedPreceding, 0))
+    borders = borders.select("part", (total - F.col("runs") + F.col("joins")).alias("offset"), "joins")
+    numbered = beside.join(F.broadcast(borders), "part")
+    own = F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumn("run", F.col("offset") + own - F.col("joins")).drop("before", "place", "starts", "offset", "joins")
 
 
 def activity_feed(state: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` latest registry events: (label, event_time), newest first.
 
-    Versions are read from the newest on. Neighbouring archived versions of a
-    family form one event dated at its oldest; only the first Production entry
-    of a family is an event. The walk takes bounded chunks of the newest rows,
-    and finishes a run that leaves its chunk by one aggregate over the table,
-    so neither the driver nor a task holds a run.
+    Neighbouring archived versions of a family form one event dated at its
+    oldest; only the first Production entry of a family is an event. Runs are
+    numbered in the cluster, so the number of jobs does not depend on the data.
     """
-    spark = state.sparkSession
-    rows = _feed_rows(state)
-    events: list[tuple[int, int, str]] = []
-    live_families: set[str] = set()
-    place: tuple | None = None
-
-    def add_run(first, count: int, oldest: int, version: int) -> None:
-        family = first["model_name"]
-        if first["kind"] == "archived":
-            label = f"{count} {family} models archived" if count > 1 else f"{family} v{version} archived"
-            events.append((oldest, 1, label))
-        elif first["kind"] == "live":
-            if family not in live_families:
-                live_families.add(family)
-                events.append((first["neg_time"], 0, f"{family} v{-first['neg_version']} promoted to Production"))
-        else:
-            events.append((first["neg_time"], 1, f"{family} v{-first['neg_version']} {first['status']}"))
-
-    def enough() -> bool:
-        # Later rows are older than the place reached, so k events at or before it settle the answer.
-        done = [e for e in events if place is not None and e[0] < place[0]]
-        return len(done) >= k
-
-    while not enough():
-        chunk = rows.where(_after(place)).orderBy(*_ORDER).limit(_CHUNK).collect()
-        if not chunk:
-            break
-        i = 0
-        while i < len(chunk):
-            first, j = chunk[i], i + 1
-            same = lambda r: first["kind"] != "other" and (r["kind"], r["model_name"]) == (  # noqa: B023, E731
-                first["kind"],
-                first["model_name"],
-            )
-            while j < len(chunk) and same(chunk[j]):
-                j += 1
-            last = chunk[j - 1]
-            count, oldest, version = j - i, last["neg_time"], -last["neg_version"]
-            place = tuple(last[c] for c in _ORDER)
-            if j == len(chunk) == _CHUNK and first["kind"] != "other":
-                rest = _finish_run(rows, first, place)
-                if rest is not None:
-                    count, oldest, version, place = count + rest[0], rest[1], rest[2], rest[3]
-            add_run(first, count, oldest, version)
-            i = j
-        if len(chunk) < _CHUNK:
-            break
-    best = sorted(events)[:k]
-    table = spark.createDataFrame(
-        [(n + 1, label, -t) for n, (t, _, label) in enumerate(best)], "position int, label string, micros bigint"
+    rows = _numbered_runs(_feed_rows(state))
+    order = F.struct(*_ORDER)
+    name, version = F.col("model_name"), (-F.col("neg_version")).cast("string")
+    archived = (
+        rows.where("kind = 'archived'")
+        .groupBy("run", "model_name")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last"))
+        .select(
+            F.col("last.neg_time").alias("at"),
+            F.lit(1).alias("rank"),
+            F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit(" "), name, F.lit(" models archived")))
+            .otherwise(F.concat(name, F.lit(" v"), (-F.col("last.neg_version")).cast("string"), F.lit(" archived")))
+            .alias("label"),
+        )
+    )
+    live = (
+        rows.where("kind = 'live'")
+        .groupBy("model_name")
+        .agg(F.min(order).alias("first"))
+        .select(
+            F.col("first.neg_time").alias("at"),
+            F.lit(0).alias("rank"),
+            F.concat(name, F.lit(" v"), (-F.col("first.neg_version")).cast("string"), F.lit(" promoted to Production")).alias("label"),
+        )
+    )
+    other = rows.where("kind = 'other'").select(
+        F.col("neg_time").alias("at"), F.lit(1).alias("rank"), F.concat(name, F.lit(" v"), version, F.lit(" "), "status").alias("label")
     )
-    return table.select("position", "label", F.timestamp_micros("micros").alias("event_time"))
-
-
-def _finish_run(rows: DataFrame, first, place: tuple):
-    """(count, oldest, version, place) of the rest of a run that starts before ``place``."""
-    key = F.struct(*_ORDER)
-    member = (F.col("kind") == first["kind"]) & (F.col("model_name") == first["model_name"])
-    ahead = rows.where(_after(place))
-    stop = ahead.where(~member).agg(F.min(key).alias("stop")).first()["stop"]
-    run = ahead.where(member)
-    if stop is not None:
-        run = run.where(key < _place(tuple(stop)))
-    found = run.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("last")).first()
-    if not found["n"]:
-        return None
-    last = tuple(found["last"])
-    return found["n"], last[0], -last[3], last
+    best = archived.unionByName(live).unionByName(other).orderBy("at", "rank", "label").limit(k)
+    position = F.row_number().over(Window.orderBy("at", "rank", "label"))  # k rows
+    return best.select(position.alias("position"), "label", F.timestamp_micros(-F.col("at")).alias("event_time"))
 
 
 def dataset_summary(df: DataFrame, dataset: str) -> DataFrame:

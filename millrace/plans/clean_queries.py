@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import checks as C
 from millrace.operators import clean as K
 from millrace.operators import diff as X
-from millrace.operators.rows import literal_table
+from millrace.operators.rows import literal_table, union_all
 from millrace.plans.catalog import query, rounded, union_sql
 from millrace.plans.cleaning import clean_tables
 from millrace.plans.quality_queries import CUSTOMER_COLUMNS, ORDER_COLUMNS, SPECS, parsed_sql
@@ -377,8 +377,41 @@ def _(t):
     return X.diff_summary(*diff_sides(t), "id")
 
 
-@query("table_fingerprint")
+@query(
+    "table_fingerprint",
+    """SELECT 'copy' AS case, count(*) AS rows, true AS same FROM embeddings UNION ALL SELECT 'nested cell', count(*), false FROM embeddings
+       UNION ALL SELECT 'repeated row', count(*) + 1, false FROM embeddings UNION ALL SELECT 'null label', count(*), false FROM embeddings""",
+)
 def _(t):
     from millrace.sources.sinks import table_fingerprint
 
-    return table_fingerprint(t("lineitem"))
+    table = t("embeddings")
+    one = F.col("vec_id") == table.agg(F.min("vec_id")).first()[0]
+    cases = {
+        "copy": table.repartition(3),
+        "nested cell": table.withColumn("embedding", F.when(one, F.reverse("embedding")).otherwise(F.col("embedding"))),
+        "repeated row": table.unionByName(table.where(one)),
+        "null label": table.withColumn("label", F.when(~one, F.col("label"))),
+    }
+    base = table_fingerprint(table).select(F.col("checksum").alias("before"))
+    rows = [
+        table_fingerprint(df).crossJoin(F.broadcast(base)).select(  # one row each
+            F.lit(case).alias("case"), "rows", (F.col("checksum") == F.col("before")).alias("same")
+        )
+        for case, df in cases.items()
+    ]
+    return union_all(rows)
+
+
+@query(
+    "drop_duplicates_nested",
+    """SELECT vec_id, CAST(round(list_sum(list_transform(embedding, lambda x: x * 1000)), 2) AS DOUBLE) AS total, label FROM embeddings
+       UNION ALL SELECT vec_id, 0.0, label FROM embeddings WHERE vec_id % 3 = 0""",
+)
+def _(t):
+    table = t("embeddings")
+    third = table.where("vec_id % 3 = 0")
+    zeros = third.withColumn("embedding", F.array(F.lit(0.0).cast("float")))
+    rows = K.drop_duplicates(table.unionByName(third).unionByName(zeros).unionByName(zeros))
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * 1000), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("vec_id", F.round(total, 2).alias("total"), "label")

@@ -294,10 +294,10 @@ def _(t):
 @query(
     "last_n_turns",
     """SELECT conv_id, turn, role, recency FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS recency
-       FROM conversations) WHERE recency <= 20""",
+       FROM conversations) WHERE recency <= 3""",
 )
 def _(t):
-    return M.last_n_turns(t("conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "recency")
+    return M.last_n_turns(t("conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role", "recency")
 
 
 # ------------------------------------------------------- monitoring and drift

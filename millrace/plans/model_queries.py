@@ -146,6 +146,27 @@ def _(t):
     return feed.withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"))
 
 
+# Two families that take turns in Production: two events, however long the table.
+TURNS = "SELECT CASE WHEN seq % 2 = 0 THEN 'Even' ELSE 'Odd' END AS model_name, seq AS version, created_at, 'Production' AS status FROM registry_events"
+
+
+@query(
+    "activity_feed_alternating",
+    EVENTS
+    + f""", turns AS ({TURNS}),
+last_one AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY created_at DESC, version DESC) AS rn FROM turns)
+SELECT row_number() OVER (ORDER BY created_at DESC, model_name || ' v' || version) AS position,
+    model_name || ' v' || version || ' promoted to Production' AS label, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS event_time
+FROM last_one WHERE rn = 1""",
+)
+def _(t):
+    family = F.when(F.col("seq") % 2 == 0, "Even").otherwise("Odd")
+    rows = t("registry_events").select(
+        family.alias("model_name"), F.col("seq").alias("version"), "created_at", F.lit("Production").alias("status")
+    )
+    return R.activity_feed(rows).withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(
     "dataset_summary",
     with_views("dirty_orders")
@@ -362,7 +383,15 @@ def _(t):
     return rounded(M.batch_score(test, path, "LinearRegression", version))
 
 
-@query("monitor_stream")
+@query(
+    "monitor_stream",
+    with_views("deliveries")
+    + """
+SELECT 0 AS batch_id, count(charge) AS prediction_count, round(avg(charge), 4) AS mean_prediction,
+    round(stddev_pop(charge), 4) AS std_prediction, round(min(charge), 4) AS min_prediction, round(max(charge), 4) AS max_prediction,
+    2 * count(*) - count(order_size) - count(discount) AS missing_inputs,
+    count(*) FILTER (WHERE order_size < 1 OR order_size > 45) AS out_of_range_inputs FROM deliveries""",
+)
 def _(t):
     from millrace.operators.monitor import drift_baseline
     from millrace.streaming.monitoring import monitor_stream

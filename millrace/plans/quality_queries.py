@@ -107,9 +107,12 @@ def _(t):
     return C.union_all([files.row_count(df, name) for name, df in found.items()])
 
 
-@query("scan_discover")
+@query(
+    "scan_discover",
+    union_sql([f"SELECT '{name}' AS dataset, '{name}.parquet' AS relative_path" for name in sorted(BASE)]),
+)
 def _(t):
-    return files.scan_discover(t.spark, t.folder, "*.parquet")
+    return files.scan_discover(t.spark, t.folder, "*.parquet").drop("bytes")
 
 
 @query(
@@ -191,7 +194,7 @@ def _(t):
     return sinks.file_checksums(t.spark, t.folder, "*.parquet")
 
 
-@query("rollback_table")
+@query("rollback_table", "SELECT 'customer' AS dataset, count(*) AS restored_rows, true AS raw_unchanged FROM customer")
 def _(t):
     path = scratch(t)
     sinks.sink_table(t("customer"), f"{path}/raw")

@@ -100,8 +100,7 @@ def brute_feed(entries, k=5):
 
 
 @pytest.mark.parametrize("chunk, archived_share", [(1000, 0.5), (3, 0.5), (3, 0.95), (7, 0.9), (2, 1.0)])
-def test_feed_equals_walk(spark, monkeypatch, chunk, archived_share):
-    monkeypatch.setattr(R, "_CHUNK", chunk)
+def test_feed_equals_walk(spark, chunk, archived_share):
     rng = random.Random(chunk)
     entries = [
         (rng.choice("AAAAAB"), i, rng.randint(0, 60), "Archived" if rng.random() < archived_share else rng.choice(["Production", "Staging"]))
