@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,6 @@ def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _longs(column: Column) -> Column:
-    return column.cast("long")
-
-
 def with_rules(
     df: DataFrame,
     text: str = "text",
@@ -31,42 +29,59 @@ def with_rules(
     All is worked out inside the row: window hashes are sorted with their
     places, neighbours of equal hash are repeats, and the words they cover are
     the summed gaps between repeats, at most ``window`` each. Null text has no
-    words and fails. Nothing is shuffled.
+    words and fails. Nothing is shuffled. Each step is bound to a name inside
+    one expression, so that a filter on a rule can be pushed down without the
+    steps being written out again and again.
     """
-    own = {c for c in df.columns}
-    t, words, hashes, wins, ranked, places = ("__t", "__words", "__hashes", "__wins", "__ranked", "__places")
-    gap = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn(t, gap).withColumn(words, F.filter(F.split(t, WORD_GAP), lambda w: w != ""))
-    out = out.withColumn("n_words", _longs(F.size(words)))
-    out = out.withColumn("word_chars", _longs(F.length(F.translate(t, GAP_CHARS, ""))))
-    out = out.withColumn("n_symbols", _longs(_count(F.col(t), SYMBOLS)))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0)
-    out = out.withColumn("__lines", lines)
-    out = out.withColumn("n_dup_lines", _longs(F.size("__lines") - F.size(F.array_distinct("__lines"))))
-    out = out.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+    def rules(t: Column) -> Column:
+        words = F.filter(F.split(t, WORD_GAP), lambda w: w != "")
+        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0)
+        values = [
+            F.length(F.translate(t, GAP_CHARS, "")),
+            _count(t, SYMBOLS),
+            _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        ]
+        counted = lambda h: [F.size(h), *values, _repeated_words(h, window)]
+        return _let(
+            F.transform(words, lambda w: F.xxhash64(w)),
+            lambda h: F.struct(*[v.cast("long").alias(n) for v, n in zip(counted(h), new, strict=True)]),
+        )
+
+    def judged(r: Column) -> Column:
+        failed = (r["n_words"] < min_words) | (r["n_repeat_words"] * 100 > r["n_words"] * max_repeat_percent)
+        return F.struct(*[r[n].alias(n) for n in new], failed.alias("base_failed"))
+
+    out = df.withColumn("__rules", _let(_let(F.coalesce(F.col(text), F.lit("")), rules), judged))
+    names = [*new, "base_failed"]
+    return out.select(*[c for c in df.columns if c not in names], *[F.col("__rules")[n].alias(n) for n in names])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _repeated_words(hashes: Column, window: int) -> Column:
+    """Words in windows that occur twice or more, from the word hashes of a text."""
     starts = F.sequence(F.lit(1), F.size(hashes) - F.lit(window - 1))
-    each = F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(hashes), i, window)))
-    none = F.array().cast("array<bigint>")
-    out = out.withColumn(wins, F.when(F.size(hashes) >= window, each).otherwise(none))
-    repeated = F.size(F.array_distinct(wins)) < F.size(wins)
-    pairs = F.sort_array(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn(ranked, F.when(repeated, pairs))
-    beside = F.transform(
-        ranked,
-        lambda x, i: F.when(
-            F.get(F.col(ranked), i - 1)["h"].eqNullSafe(x["h"]) | F.get(F.col(ranked), i + 1)["h"].eqNullSafe(x["h"]), x["i"]
-        ),
-    )
-    out = out.withColumn(places, F.sort_array(F.filter(beside, lambda x: x.isNotNull())))
-    covered = F.transform(
-        places, lambda p, i: F.least(F.lit(window), F.coalesce(F.get(F.col(places), i + 1) - p, F.lit(window)))
-    )
-    total = F.aggregate(covered, F.lit(0), lambda a, x: a + x)
-    out = out.withColumn("n_repeat_words", _longs(F.coalesce(total, F.lit(0))))
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    out = out.withColumn("base_failed", failed)
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*[c for c in df.columns if c not in new and c in own], *new)
+    wins = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window)))
+
+    def beside(ranked: Column) -> Column:
+        twin = lambda x, i, step: F.get(ranked, i + step)["h"].eqNullSafe(x["h"])
+        marked = F.transform(ranked, lambda x, i: F.when(twin(x, i, -1) | twin(x, i, 1), x["i"]))
+        return F.sort_array(F.filter(marked, lambda x: x.isNotNull()))
+
+    def covered(places: Column) -> Column:
+        gap = F.transform(places, lambda p, i: F.least(F.lit(window), F.coalesce(F.get(places, i + 1) - p, F.lit(window))))
+        return F.aggregate(gap, F.lit(0), lambda a, x: a + x)
+
+    def total(w: Column) -> Column:
+        ranked = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), _let(_let(ranked, beside), covered)).otherwise(0)
+
+    return F.when(F.size(hashes) >= window, _let(wins, total)).otherwise(0)
 
 
 def line_table(df: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
