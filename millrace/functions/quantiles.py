@@ -5,10 +5,17 @@ buffer. Here a bounded sketch brackets the wanted rank, a second sketch inside
 the bracket narrows it again, and only the few values left are sorted and
 counted. Each round is a scan with partial aggregation, so nothing but the
 last bracket is shuffled by value, and the interpolated result is exact.
+
+Without groups the brackets are a few numbers, so each round is one aggregate
+of one row for all columns and probabilities, with the brackets as literals.
 """
 
 from __future__ import annotations
 
+import math
+import sys
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +28,8 @@ GRID = 400
 ACCURACY = 4000
 DIRECT_BELOW = 4 * GRID
 BROADCAST_ROWS = 100_000
+#: Values of a bracket that are read to settle an ungrouped quantile.
+LAST_VALUES = 10_000
 
 
 def melt_numbers(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -64,11 +73,135 @@ def attach(long: DataFrame, table: DataFrame, keys: list[str], small: bool) -> D
     return salted.join(copies, [*keys, "salt"]).drop("salt")
 
 
+@dataclass
+class _Search:
+    """A quantile that is being narrowed down: the values at ``rank`` and ``rank + 1`` lie in ``low``…``high``."""
+
+    column: str
+    position: float
+    size: int
+    low: float
+    high: float
+    first: float | None = None
+    second: float | None = None
+    below: int = 0
+
+    @property
+    def rank(self) -> int:
+        return math.floor(self.position)
+
+    @property
+    def found(self) -> bool:
+        return self.first is not None
+
+    @property
+    def middle(self) -> float:
+        top = sys.float_info.max
+        half = max(self.low, -top) / 2 + min(self.high, top) / 2
+        return half if self.low <= half < self.high else math.nextafter(self.high, -math.inf)
+
+    def settle(self, first: float, second: float) -> None:
+        self.first, self.second = first, second
+
+    def value(self) -> float:
+        if self.first == self.second:  # also where both are infinite
+            return self.first
+        return self.first + (self.position - self.rank) * (self.second - self.first)
+
+
+def _grid_cut(grid: list[float], rank: int, size: int) -> tuple[float, float]:
+    """As ``_bracket``, on numbers."""
+    if size < DIRECT_BELOW:
+        return grid[0], grid[GRID]
+    low = max(math.floor(rank * GRID / size) - 2, 0)
+    high = min(math.ceil((rank + 2) * GRID / size) + 2, GRID)
+    return grid[low], grid[high]
+
+
+def _narrow(numbers: DataFrame, searches: list[_Search]) -> None:
+    """One scan for all open searches: counts below and inside, a grid inside, and both sides of the middle."""
+    aggregates = []
+    for i, s in enumerate(searches):
+        x = F.col(s.column)
+        inside = x.between(F.lit(s.low), F.lit(s.high))
+        left = inside & (x <= F.lit(s.middle))
+        aggregates += [
+            F.count_if(x < F.lit(s.low)).alias(f"b{i}"),
+            F.count_if(inside).alias(f"n{i}"),
+            _grid(F.when(inside, x)).alias(f"g{i}"),
+            F.count_if(left).alias(f"l{i}"),
+            F.max(F.when(left, x)).alias(f"p{i}"),
+            F.min(F.when(inside & ~left, x)).alias(f"q{i}"),
+        ]
+    row = numbers.agg(*aggregates).first()
+    for i, s in enumerate(searches):
+        s.below, inside, left = row[f"b{i}"], row[f"n{i}"], row[f"l{i}"]
+        at, old = s.rank - s.below, (s.low, s.high)
+        if inside <= LAST_VALUES:
+            s.size = inside
+            continue
+        s.low, s.high = _grid_cut(row[f"g{i}"], at, inside)
+        s.size = LAST_VALUES + 1
+        if (s.low, s.high) == old:  # few values, often repeated: halve the range instead
+            if at + 1 == left:
+                s.settle(row[f"p{i}"], row[f"q{i}"])
+            elif at + 1 < left:
+                s.high = row[f"p{i}"]
+            else:
+                s.low = row[f"q{i}"]
+
+
+def _searched(df: DataFrame, wanted: list[tuple[str, float]]) -> dict[tuple[str, float], tuple[int, float | None]]:
+    """(column, p) -> (count, quantile), exact; a fixed number of rounds but for values that repeat very often."""
+    names = {c: f"x{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in wanted))}
+    null = F.lit(None).cast("double")
+    numbers = df.select(*[F.nanvl(F.col(quoted(c)).cast("double"), null).alias(x) for c, x in names.items()])
+    row = numbers.agg(*[f(F.col(x)).alias(k + x) for x in names.values() for k, f in (("n", F.count), ("g", _grid))]).first()
+    searches: dict[tuple[str, float], _Search] = {}
+    for c, p in wanted:
+        n = row["n" + names[c]]
+        if n:
+            position = p * (n - 1)
+            low, high = _grid_cut(row["g" + names[c]], math.floor(position), n)
+            searches[c, p] = _Search(names[c], position, LAST_VALUES + 1, low, high)
+    while True:
+        for s in searches.values():
+            if not s.found and s.low == s.high:
+                s.settle(s.low, s.low)
+        wide = [s for s in searches.values() if not s.found and s.size > LAST_VALUES]
+        if not wide:
+            break
+        _narrow(numbers, wide)
+    last = [s for s in searches.values() if not s.found]
+    if last:
+        inside = [
+            F.when(F.col(s.column).between(F.lit(s.low), F.lit(s.high)), F.struct(F.lit(i).alias("i"), F.col(s.column).alias("v")))
+            for i, s in enumerate(last)
+        ]
+        values = numbers.select(F.explode(F.array_compact(F.array(*inside))).alias("e"))
+        counts = values.groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
+        by_search: dict[int, list] = {}
+        for r in counts.collect():  # at most LAST_VALUES a search
+            by_search.setdefault(r["i"], []).append((r["v"], r["n"]))
+        for i, s in enumerate(last):
+            at, run, found = s.rank - s.below, 0, []
+            for v, n in sorted(by_search[i]):
+                run += n
+                while len(found) < 2 and run > at + len(found):
+                    found.append(v)
+            s.settle(found[0], found[-1])
+    return {(c, p): (row["n" + names[c]], searches[c, p].value() if (c, p) in searches else None) for c, p in wanted}
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float], by: list[str] = ()
 ) -> DataFrame:
     """(by…, column, p, n, quantile) with linear interpolation between ranks."""
     by = list(by)
+    if not by:
+        found = _searched(df, [(c, float(p)) for c in columns for p in probabilities])
+        rows = [(c, p, n, q) for (c, p), (n, q) in found.items() if n]
+        return literal_rows(df, rows, "column string, p double, n bigint, quantile double")
     keys = [*by, "column"]
     long = melt_numbers(df, columns, by)
     position = F.col("p") * (F.col("n") - 1)
@@ -82,10 +215,8 @@ def exact_quantiles(
     low, high = _bracket(F.col("grid"), F.col("rank"), F.col("n"))
     first = first.select(*keys, "p", "n", "position", "rank", low.alias("low"), high.alias("high"))
 
-    small = True
-    if by:
-        first = durable_checkpoint(first)
-        small = is_small(first, BROADCAST_ROWS)
+    first = durable_checkpoint(first)
+    small = is_small(first, BROADCAST_ROWS)
 
     value, inside = F.col("value"), (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
     goal = ["p", "n", "position", "rank"]
@@ -131,11 +262,15 @@ def exact_quantiles(
 
 def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """One row with a column per ``alias -> (column, probability)``; null where no value exists."""
-    columns = sorted({c for c, _ in wanted.values()})
-    probabilities = sorted({float(p) for _, p in wanted.values()})
-    quantiles = exact_quantiles(df, columns, probabilities)
-    picks = [
-        F.max(F.when((F.col("column") == c) & (F.col("p") == float(p)), F.col("quantile"))).alias(alias)
-        for alias, (c, p) in wanted.items()
-    ]
-    return quantiles.agg(*picks)
+    found = _searched(df, [(c, float(p)) for c, p in dict.fromkeys(wanted.values())])
+    cells = [(found[c, float(p)][1], alias) for alias, (c, p) in wanted.items()]
+    return df.sparkSession.range(0, 1, 1, 1).select(*[F.lit(q).cast("double").alias(alias) for q, alias in cells])
+
+
+def literal_rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table held in the plan."""
+    fields = [part.split() for part in schema.split(", ")]
+    cell = lambda v, kind, name: F.lit(v).cast(kind).alias(name)
+    structs = [F.struct(*[cell(v, kind, name) for v, (name, kind) in zip(row, fields, strict=True)]) for row in rows]
+    empty = F.array().cast(f"array<struct<{', '.join(f'{n}:{k}' for n, k in fields)}>>")
+    return df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*structs) if structs else empty))

@@ -96,6 +96,21 @@ def test_quantiles_are_exact(spark, size):
         assert got[p] == pytest.approx(np.percentile(values, p * 100), rel=1e-12)
 
 
+def test_quantiles_narrowed_many_times(spark, monkeypatch):
+    """Brackets of repeated, infinite and close values are narrowed to the end."""
+    monkeypatch.setattr(Q, "LAST_VALUES", 2)
+    rng = random.Random(11)
+    values = [rng.choice([1.0, 1.0, 2.0, 2.0, float("-inf"), rng.random()]) for _ in range(4000)]
+    df = column(spark, values, "double").repartition(3)
+    ps = [0.0, 0.3, 0.5, 0.6, 0.9, 1.0]
+    got = {r["p"]: r["quantile"] for r in Q.exact_quantiles(df, ["v"], ps).collect()}
+    ordered = sorted(values)
+    for p in ps:
+        at = p * (len(values) - 1)
+        low, high = ordered[int(at)], ordered[min(int(at) + 1, len(values) - 1)]
+        assert got[p] == pytest.approx(low if low == high else low + (at - int(at)) * (high - low), rel=1e-12)
+
+
 @pytest.mark.parametrize("broadcast_rows", [100_000, 0])
 def test_grouped_quantiles_with_a_hot_group(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(Q, "BROADCAST_ROWS", broadcast_rows)
