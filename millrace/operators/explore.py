@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions import numeric as N
 from millrace.functions import types as ty
@@ -189,14 +190,13 @@ def box_summary(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
 def frequency_table(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
     """(column, value, rows, pct): the most frequent values, null shown as Missing."""
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    parts = []
-    for name in columns:
-        text = F.coalesce(F.col(name).cast("string"), F.lit(MISSING)).alias("value")
-        counted = df.select(text).groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
-        best = counted.orderBy(F.desc("rows"), "value").limit(top)
-        parts.append(best.select(F.lit(name).alias("column"), "value", "rows"))
+    cells = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value")) for c in columns]
+    # One scan and one shuffle for all columns; the rank limit acts in every task.
+    counted = df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("rows"), "value"))
+    best = counted.withColumn("place", place).where(F.col("place") <= top).drop("place")
     pct = F.round(F.col("rows") / F.col("total") * 100, 2)
-    return union_all(parts).crossJoin(F.broadcast(total)).select("column", "value", "rows", pct.alias("pct"))
+    return best.crossJoin(F.broadcast(total)).select("column", "value", "rows", pct.alias("pct"))
 
 
 def calendar_columns(df: DataFrame, timestamp: str) -> DataFrame:
