@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LAST_ID, batch_of, order_id, parallelism, stored
+from millrace.llm.common import LAST_ID, batch_of, drop_stored, order_id, parallelism, stored
 from millrace.llm.components import components
 from millrace.llm.minhash_dedup import _groups
 from millrace.llm.token_counts import sql
@@ -218,6 +218,7 @@ def near_vectors(
     )
     dealt = dealt.repartition(parts, "g").sortWithinPartitions("g")
     found = stored(dealt.mapInArrow(_windows(threshold), sql(FOUND)))
+    drop_stored(spark, places)
     labels = stored(components(found.select(F.col("id").alias("a"), F.col("least").alias("b"))))
     sizes = labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = labels.join(sizes, "component").join(vectors, "id")

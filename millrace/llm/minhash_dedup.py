@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LAST_ID, as_bytes, batch_of, order_id, parallelism, stored, word_hashes
+from millrace.llm.common import LAST_ID, as_bytes, batch_of, drop_stored, order_id, parallelism, stored, word_hashes
 from millrace.llm.components import components
 from millrace.llm.token_counts import sql
 
@@ -245,6 +245,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     pairs = stored(blocks.mapInArrow(_candidates, sql(PAIRS)))
     more = stored(verified_links(pairs, texts, percent))
     final = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    for done in (single, buckets, texts, links, named, pairs, more):
+        drop_stored(spark, done)
     # Every document follows the representative of its set.
     member = full.select("d", "s1", "s2").join(reps, ["s1", "s2"]).groupBy("d").agg(F.min("rep").alias("rep"))
     member = member.join(final, member["rep"] == final["id"], "left").select(

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LAST_ID, as_bytes, batch_of, order_id, parallelism, shared_folder, stored
+from millrace.llm.common import LAST_ID, as_bytes, batch_of, drop_stored, order_id, parallelism, shared_folder, stored
 from millrace.llm.token_counts import sql
 
 SCALE = 20
@@ -266,6 +266,7 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int = 2, text: s
     table = spark.createDataFrame([(int(i), int(freq[i])) for i in used], "token long, frequency long")
     table.coalesce(1).write.parquet(f"{folder}/frequencies")
     tokens.mapInArrow(_encoded(freq, offsets), sql(CHUNKS)).write.parquet(f"{folder}/chunks")
+    drop_stored(spark, tokens)
 
 
 def read_coder(spark: SparkSession, folder: str) -> np.ndarray:
