@@ -58,6 +58,8 @@ def normalize_key(c: Column, dtype: T.DataType | None = None) -> Column:
     number = F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
     return (
         F.when(text.rlike(WHOLE_TEXT) & whole.isNotNull(), whole)
+        # Too long for a decimal: the digits themselves, so that different keys stay different.
+        .when(text.rlike(WHOLE_TEXT), F.regexp_replace(F.regexp_extract(text, r"^([+-]?\d+)", 1), r"^\+?(-?)0*(?=\d)", "$1"))
         .when((F.abs(number) < 9e15) & (number % 1 == 0), number.cast("bigint").cast("string"))
         .when(number.isNotNull() & ~F.isnan(number), number.cast("string"))
         .otherwise(text)

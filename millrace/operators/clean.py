@@ -22,6 +22,7 @@ from millrace.operators.rows import rows_of
 
 BROADCAST_KEYS = 1_000_000
 MISSING_TEXT = "Unknown"
+# Words that mark a column as an identifier.
 IDENTIFIER_WORDS = ["id", "restaurant", "rider", "customer", "order"]
 SIGMAS = 3
 STANDARDIZED_SLACK = 0.1

@@ -77,3 +77,10 @@ def test_diff_of_null_ids_and_nested_cells(spark):
 def test_timestamp_layouts(spark, text, want):
     df = spark.range(1).select(V.parse_timestamp(F.lit(text)).cast("timestamp_ntz").alias("t"))
     assert df.first()["t"] == want
+
+
+def test_long_keys_stay_apart(spark):
+    a, b = "1" * 40, "1" * 39 + "2"
+    df = spark.createDataFrame([(a,), (b,), ("00" + a + ".0",), (" 007.0 ",)], "k string")
+    got = [r["n"] for r in df.select(V.normalize_key(F.col("k")).alias("n")).collect()]
+    assert got == [a, b, a, "7"]
