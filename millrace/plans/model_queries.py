@@ -383,6 +383,70 @@ def _(t):
     return rounded(M.batch_score(test, path, "LinearRegression", version))
 
 
+# A label that is an exact linear function, so that what a linear fit must predict is known.
+EXACT_VIEW = (
+    with_views("deliveries")
+    + """, exact AS (SELECT id, coalesce(order_size, 0) AS a, coalesce(prep_capacity, 0) AS b,
+    7 + 3 * coalesce(order_size, 0) - 0.5 * coalesce(prep_capacity, 0) AS charge,
+    CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '-42'), 1, 4) AS INTEGER) < 13107 AS held FROM deliveries)
+"""
+)
+
+
+def exact_tables(t):
+    a, b = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("order_size", "prep_capacity"))
+    df = t("deliveries").select("id", a.alias("a"), b.alias("b"), (7 + 3 * a - 0.5 * b).alias("charge"))
+    held = G.split_bucket(F.col("id")) < int(65536 * 0.2)
+    return df.where(~held), df.where(held)
+
+
+def _exact_metrics(t, name, **params):
+    train, test = exact_tables(t)
+    return M.regression_metrics(M.train_regressor(name, train, "charge", ["id"], **params).transform(test), "charge")
+
+
+@query(
+    "train_regressor_exact",
+    EXACT_VIEW + "SELECT count(*) AS rows, 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS mape FROM exact WHERE held",
+)
+def _(t):
+    return rounded(_exact_metrics(t, "LinearRegression"), 4)
+
+
+BETTER = EXACT_VIEW + "SELECT count(*) AS rows, true AS better_than_mean, true AS finite FROM exact WHERE held"
+
+
+def _invariants(metrics):
+    return metrics.select("rows", (F.col("r2") > 0.5).alias("better_than_mean"), (~F.isnan("rmse")).alias("finite"))
+
+
+@query("forest_invariants", BETTER)
+def _(t):
+    return _invariants(_exact_metrics(t, "RandomForestRegressor", numTrees=10))
+
+
+@query("boosted_invariants", BETTER)
+def _(t):
+    return _invariants(_exact_metrics(t, "XGBRegressor", maxIter=8, maxDepth=3))
+
+
+@query("importance_invariants", "SELECT 'a' AS feature, 1 AS importance_rank, true AS adds_up")
+def _(t):
+    train, _ = exact_tables(t)
+    table = importance_rank(train.withColumn("c", F.pmod("id", F.lit(7)).cast("double")), ["a", "b", "c"], "charge", trees=10)
+    total = table.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return table.where("importance_rank = 1").crossJoin(F.broadcast(total)).select(  # one row each
+        "feature", "importance_rank", (F.col("total") == 1).alias("adds_up")
+    )
+
+
+@query("save_load_exact", EXACT_VIEW + "SELECT id, round(charge, 4)::DOUBLE AS prediction FROM exact WHERE held")
+def _(t):
+    train, test = exact_tables(t)
+    path, _ = M.save_model(M.train_regressor("LinearRegression", train, "charge", ["id"]), t.spark, scratch(t), "LinearRegression")
+    return M.load_model(path).transform(test).select("id", F.round("prediction", 4).alias("prediction"))
+
+
 @query(
     "monitor_stream",
     with_views("deliveries")
