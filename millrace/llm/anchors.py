@@ -327,8 +327,7 @@ def remove_repeats(
     df: DataFrame, kind: Windows, finish: Callable, made: pa.Schema, text: str, doc_id: str, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per document: ``finish(units, removed spans)`` in the columns of ``made`` after the id, then those to carry."""
-    spark = df.sparkSession
-    parts = parallelism(spark)
+    parts = parallelism(df)
     t = F.coalesce(F.col(text), F.lit(""))
     extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     keyed = df.select(order_id(doc_id).alias("d"), t.alias("t"), *extra).withColumn("k", F.xxhash64("d", "t"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAST_ID = 2**63 - 1
+PARTITION_BYTES = 64 << 20
 #: What separates words: space and the control characters tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -56,8 +57,15 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parallelism(df: DataFrame) -> int:
+    """Shuffle partitions for a table: those of the session, or one for each ``PARTITION_BYTES`` of input if that is more.
+
+    The size is the one the optimizer knows of the input files. Sources of
+    unknown size, which it takes for endless, use the session's setting.
+    """
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(session, -(-known // PARTITION_BYTES)) if known < 1 << 50 else session
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -190,7 +190,7 @@ def near_vectors(
     are one vector, the least by its numbers.
     """
     spark = df.sparkSession
-    parts = parallelism(spark)
+    parts = parallelism(df)
     rows = df.select(order_id(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("e"))
     valid = rows.where((F.col("id") != LAST_ID) & F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull()))
     vectors = valid.mapInArrow(_vectors, sql(VECTORS))

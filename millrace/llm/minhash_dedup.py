@@ -194,7 +194,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     apart; rows that repeat an id are one node, linked by any of its texts.
     """
     spark = df.sparkSession
-    parts = parallelism(spark)
+    parts = parallelism(df)
     rows = df.select(order_id(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     sketches = stored(rows.mapInArrow(_sketches, sql(SKETCH)))
     full = sketches.where(f"n > 0 and d <> {LAST_ID}")

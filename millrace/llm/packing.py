@@ -126,8 +126,7 @@ def pack_documents(
     sources conflict with none. A document without tokens has one row without a
     bin. Null ids and repeated rows are documents of their own.
     """
-    spark = df.sparkSession
-    parts = parallelism(spark)
+    parts = parallelism(df)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(order_id(doc_id).alias("d"), F.xxhash64(t).alias("k"), F.col(source).cast("string").alias("source"), t.alias("t"))
     lengths = stored(rows.mapInArrow(_lengths(path), sql(LENGTHS)))

@@ -212,8 +212,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", doc_id: str = "do
     Null text is empty and counts 0; null ids and repeated rows pass through.
     """
     check_model(path)
-    spark = df.sparkSession
-    parts = parallelism(spark)
+    parts = parallelism(df)
     rows = df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     # Both uses below name the same exchange, which runs once.
     blocks = rows.mapInArrow(_blocks, sql(BLOCKS)).repartition(parts, "block")

@@ -248,7 +248,7 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int = 2, text: s
     per id of the vocabulary and one per partition.
     """
     spark = df.sparkSession
-    parts = parallelism(spark)
+    parts = parallelism(df)
     rows = df.select(order_id(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ordered = rows.repartitionByRange(parts, "d").withColumn("k", F.xxhash64("t")).sortWithinPartitions("d", "k").select("d", "t")
     tokens = stored(ordered.mapInArrow(_tokens(path, end_id), sql(TOKENS)))
