@@ -30,6 +30,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def codec_pattern() -> regex.Pattern:
+    # The splitting pattern of the vocabulary file, as far as lower-case ASCII goes.
+    return regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+
+
 class SuffixAutomaton:
     """Generalised suffix automaton over symbol strings; each state knows the strings (tokens) that end in it."""
 
@@ -125,9 +130,8 @@ class BpeCodec:
         automaton.close()
         self.automaton = automaton
         self.fits: dict[int, bool] = {}
-        # The splitting pattern of the vocabulary file, as far as ASCII goes. Other text is folded
-        # and split by the tokenizer's own steps, whose Unicode tables are those of its release.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+        # Text beyond ASCII is folded and split by the tokenizer's own steps, whose Unicode tables are those of its release.
+        self.pieces = codec_pattern()
         steps = Tokenizer.from_file(path)
         self.fold, self.cut = steps.normalizer.normalize_str, steps.pre_tokenizer.pre_tokenize_str
         self.byte_of = {c: b for b, c in enumerate(shown)}

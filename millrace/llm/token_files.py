@@ -17,8 +17,11 @@ checkpoints where a decoder starts, then all words (32 bits).
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe_codec import byte_alphabet
 from millrace.llm.common import LAST_ID, as_bytes, batch_of, drop_stored, order_id, parallelism, shared_folder, stored
 from millrace.llm.token_counts import sql
 
@@ -35,6 +39,8 @@ BLOCK = 1 << 15
 #: Ids in a chunk, at least, unless its partition ends.
 CHUNK = 1 << 20
 CACHE_WORDS = 700_000
+#: Below it, no letter composes with another and classes are the same in all Unicode releases.
+PLAIN_END = "\u0250"
 LOW = np.uint64(1 << 31)
 MAGIC = b"rANS"
 HEAD = struct.Struct("<4sIIII")
@@ -151,8 +157,20 @@ class Coder:
         return ids
 
 
+def plain_pattern() -> re.Pattern:
+    """The splitting pattern of the vocabulary file, on text below ``PLAIN_END``."""
+    letters, numbers = ("".join(chr(c) for c in range(ord(PLAIN_END)) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+    spaces = r"\x09-\x0D\x20\x85\xA0"
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+
+
 class Library:
-    """The tokenizers library with a memory of words: no token spans a gap, so words are encoded apart."""
+    """The tokenizers library with a memory of words and pre-tokens.
+
+    No token spans a gap or two pre-tokens, so each is encoded once. Pre-tokens
+    go straight to the library's BPE model; words beyond Latin letters are folded and split by the library's own steps, and words that may hold special
+    strings go through the whole library.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -161,7 +179,30 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.split, self.shown = plain_pattern(), byte_alphabet()
+        self.fold, self.cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode()
+        if "<|" in text:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+        if max(text) < PLAIN_END and "İ" not in text:  # nothing to compose, and its classes never change
+            found = self.split.findall(text.lower())
+            return b"".join([self.pieces.get(p) or self.piece(p, "".join(map(self.shown.__getitem__, p.encode()))) for p in found])
+        folded = self.cut(self.fold(text))
+        return b"".join([self.pieces.get("\n" + p) or self.piece("\n" + p, p) for p, _ in folded])
+
+    def piece(self, key: str, shown: str) -> bytes:
+        """Ids of a pre-token, given with a character for each byte."""
+        packed = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self.pieces) >= CACHE_WORDS:
+            self.pieces.clear()
+        self.pieces[key] = packed
+        return packed
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         """Ids of texts as little-endian 32-bit integers."""
@@ -169,10 +210,10 @@ class Library:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        for words in split:
+            for w in words:
+                if w not in known:
+                    known[w] = self.word(w)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
