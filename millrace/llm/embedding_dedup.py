@@ -1,10 +1,12 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by sorted passes over random trees of the vectors' own sample.
 
-Each pass hashes a vector by the signs of random projections, read as one bit
-string, and sorts all vectors by it, so close vectors tend to lie close. Vectors
-are compared by cosine within their block of the order and with the next one.
-Components of the links that are too large for such windows are compared whole,
-in blocks, so that no window limits their links.
+Equal vectors are one. Each pass routes a vector down a tree of centres, drawn
+from the vectors, to the nearest centre at every level, so dense parts of the
+space are cut as finely as they are full. All vectors are sorted by their leaf
+and compared by cosine within blocks of that order. The number of passes is the
+one after which neighbours planted at the threshold beside sampled vectors have
+met. Every component of the links is then compared whole, so links within it
+are complete.
 """
 
 from __future__ import annotations
@@ -20,15 +22,25 @@ from millrace.llm.components import components
 from millrace.llm.minhash_dedup import _groups
 from millrace.llm.token_counts import sql
 
-PASSES = 12
-BITS = 128
-#: Vectors in a block of the order.
-BLOCK = 256
+#: Vectors in a block of the order, and blocks that a leaf should fill: the fourth part of one.
+BLOCK = 512
+LEAVES_A_BLOCK = 4
+#: Centres beside which a node of a tree chooses, and centres in a tree at most.
+FAN = 64
+MOST_CENTRES = 1 << 16
+#: Vectors beside which neighbours are planted, and the part of these that may be missed.
+PROBES = 512
+MISSED = 0.02
+#: Passes at most; beyond these, neighbours in data too dense for so many may be missed.
+MOST_PASSES = 256
+#: Bits of the offset from the leaf's centre that order a leaf.
+BITS = 32
 
 VECTORS = pa.schema([("id", pa.int64()), ("v", pa.binary())])
 KEYS = pa.schema([("pass", pa.int64()), ("key", pa.binary()), ("id", pa.int64())])
 RANKS = pa.schema([("pass", pa.int64()), ("id", pa.int64()), ("part", pa.int64()), ("at", pa.int64())])
-FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
+FOUND = pa.schema([("id", pa.int64()), ("least", pa.int64())])
+EXACT = pa.schema([("id", pa.int64()), ("links", pa.int64())])
 
 
 def unit_rows(vectors: list) -> list[bytes | None]:
@@ -52,24 +64,102 @@ def _vectors(batches):
         yield batch_of(VECTORS, batch.column(0), unit_rows(batch.column(1).to_pylist()))
 
 
-def _keys(passes: int, seed: int):
+class Tree:
+    """Nested nearest-centre cells of unit vectors. Leaves are numbered so that those of one node are neighbours."""
+
+    def __init__(self, centres: np.ndarray, order: np.ndarray):
+        self.members: list[np.ndarray] = []  # centres of a node
+        self.below: list[np.ndarray] = []  # by centre, the node below, or -1 - leaf
+        self.leaves = 0
+        self.root = self._grow(centres, order)
+
+    def _grow(self, centres: np.ndarray, held: np.ndarray) -> int:
+        chosen = held[:FAN]
+        near = (centres[held] @ centres[chosen].T).argmax(axis=1) if len(held) > 1 else np.zeros(len(held), int)
+        if len(held) < 2 or (near == near[0]).all():
+            self.leaves += 1
+            return -self.leaves
+        node = len(self.members)
+        self.members.append(chosen)
+        self.below.append(np.zeros(len(chosen), np.int64))
+        for k in range(len(chosen)):
+            self.below[node][k] = self._grow(centres, held[near == k])
+        return node
+
+    def route(self, centres: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each row, and the last centre chosen (-1 if there is none)."""
+        at, last = np.full(len(m), self.root, np.int64), np.full(len(m), -1, np.int64)
+        open_ = np.flatnonzero(at >= 0)
+        while len(open_):
+            open_ = open_[np.argsort(at[open_], kind="stable")]
+            cuts = np.flatnonzero(np.diff(at[open_])) + 1
+            for rows in np.split(open_, cuts):
+                node = at[rows[0]]
+                near = (m[rows] @ centres[self.members[node]].T).argmax(axis=1)
+                last[rows], at[rows] = self.members[node][near], self.below[node][near]
+            open_ = open_[at[open_] >= 0]
+        return -1 - at, last
+
+
+def _planes(seed: int, p: int, width: int) -> np.ndarray:
+    return np.random.default_rng((seed, p, width)).standard_normal((width, BITS)).astype(np.float32)
+
+
+def _place(tree: Tree, centres: np.ndarray, m: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf, and the signs of the offset from its centre."""
+    leaf, last = tree.route(centres, m)
+    offset = m - np.where(last[:, None] >= 0, centres[last], 0) if len(centres) else m
+    return leaf, (offset @ planes) > 0
+
+
+def plan_passes(sample: np.ndarray, rows: int, threshold: float, seed: int) -> tuple[np.ndarray, list[Tree]]:
+    """Centres and a tree for each of as many passes as ``rows`` vectors, of which the sample is drawn, need.
+
+    A sampled vector that is no centre and a neighbour of it at the threshold
+    meet in a pass when they share a leaf, and as many signs as cut the leaf to
+    a part of a block. Passes are added until at most ``MISSED`` of such pairs
+    are expected not to have met.
+    """
+    rng = np.random.default_rng((seed, sample.shape[1]))
+    size = max(1, BLOCK // LEAVES_A_BLOCK)
+    x, rest = np.split(sample[rng.permutation(len(sample))], [min(PROBES, len(sample) // 2)])
+    centres = rest.astype(np.float32)
+    n = min(len(centres), max(1, rows // size))
+    trees: list[Tree] = []
+    if rows <= BLOCK or not len(x):
+        return centres, [Tree(centres, np.arange(len(centres))[:n])]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1)[:, None] * x
+    side /= np.maximum(np.sqrt((side * side).sum(axis=1)), 1e-300)[:, None]
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * side
+    x, y = x.astype(np.float32), y.astype(np.float32)
+    bits = min(BITS, max(0, int(np.ceil(np.log2(rows / n / size)))))
+    apart = 1 / (2 * LEAVES_A_BLOCK)  # the end of a block cuts a leaf
+    missed = np.ones(len(x))
+    while missed.mean() > MISSED and len(trees) < MOST_PASSES:
+        tree = Tree(centres, rng.permutation(len(centres))[:n])
+        planes = _planes(seed, len(trees), x.shape[1])
+        (a, s), (b, t) = _place(tree, centres, x, planes), _place(tree, centres, y, planes)
+        missed[(a == b) & (s[:, :bits] == t[:, :bits]).all(axis=1)] *= apart
+        trees.append(tree)
+    return centres, trees
+
+
+def _keys(plans, seed: int):
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            by_width: dict[int, list[int]] = {}
             vectors = batch.column("v").to_pylist()
-            for i, v in enumerate(vectors):
-                by_width.setdefault(len(v) // 8, []).append(i)
             ids = batch.column("id").to_numpy()
-            for width, rows in by_width.items():
-                if width not in planes:
-                    planes[width] = np.random.default_rng((seed, width)).standard_normal((width, passes * BITS))
-                m = np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(-1, width)
-                bits = np.packbits((m @ planes[width]) > 0, axis=1).reshape(len(rows), passes, BITS // 8)
-                for p in range(passes):
+            for width, rows in _by_width(vectors).items():
+                m = np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(len(rows), -1).astype(np.float32)
+                centres, trees = plans.value[width // 8]
+                for p, tree in enumerate(trees):
+                    leaf, signs = _place(tree, centres, m, _planes(seed, p, m.shape[1]))
+                    bits = np.packbits(signs, axis=1)
                     # The width leads, so that only vectors of one length are neighbours.
                     lead = width.to_bytes(4, "big")
-                    yield batch_of(KEYS, np.full(len(rows), p), [lead + x.tobytes() for x in bits[:, p]], ids[rows])
+                    keys = [lead + x.tobytes() + y.tobytes() for x, y in zip(leaf.astype(">u4"), bits, strict=True)]
+                    yield batch_of(KEYS, np.full(len(rows), p), keys, ids[rows])
 
     return run
 
@@ -92,43 +182,29 @@ def _by_width(vectors: list[bytes]) -> dict[int, np.ndarray]:
     return {int(w): np.flatnonzero(sizes == w) for w in np.unique(sizes)}
 
 
-def _windows(threshold: float):
+def _blocks(threshold: float):
     def run(batches):
-        """Links of each block with itself and the next. A pair counts in the first pass that brings it together."""
+        """Links of each block, as the smallest id that they reach from each id."""
         for table in _groups(batches):
-            g, ids, which, role = (table.column(c).to_numpy() for c in ("g", "id", "pass", "role"))
-            blocks = np.array(table.column("blocks").to_pylist(), np.int64)
+            g, ids = table.column("g").to_numpy(), table.column("id").to_numpy()
             vectors = table.column("v").to_pylist()
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
             out = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 for rows in _by_width(vectors[a:b]).values():
                     rows = a + rows
-                    own = rows[role[rows] == 0]
-                    if not len(own):
-                        continue
-                    both = np.concatenate((own, rows[role[rows] == 1]))
-                    m = np.frombuffer(b"".join(vectors[i] for i in both), np.float64).reshape(len(both), -1)
-                    near = m[: len(own)] @ m.T >= threshold
-                    near &= ids[own][:, None] != ids[both][None, :]
-                    # Within the own block each pair is seen both ways; once is enough.
-                    near[:, : len(own)] &= np.triu(np.ones((len(own), len(own)), bool), 1)
-                    p, q = np.nonzero(near)
-                    if not len(p):
-                        continue
-                    x, y, now = own[p], both[q], int(which[a])
-                    if now:
-                        earlier = (np.abs(blocks[x, :now] - blocks[y, :now]) <= 1).any(axis=1)
-                        x, y = x[~earlier], y[~earlier]
-                    out.append(_tally(ids[x], ids[y]))
+                    m = np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(len(rows), -1)
+                    p, q = np.nonzero(np.triu(m @ m.T >= threshold, 1))
+                    if len(p):
+                        out.append(_reach(ids[rows[p]], ids[rows[q]]))
             if out:
-                yield _batch(out)
+                yield _batch(FOUND, out)
 
     return run
 
 
-def _tally(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per id: how many of the pairs it is in, and the smallest id that these pairs reach from it."""
+def _reach(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per id: the smallest id that these pairs reach from it."""
     ids, place = np.unique(np.concatenate((x, y)), return_inverse=True)
     p, q = place[: len(x)], place[len(x) :]
     label = np.arange(len(ids))
@@ -140,18 +216,18 @@ def _tally(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
         if (new == label).all():
             break
         label = new
-    return ids, np.bincount(place, minlength=len(ids)), ids[label]
+    return ids, ids[label]
 
 
-def _batch(out: list) -> pa.RecordBatch:
-    return batch_of(FOUND, *(np.concatenate([o[k] for o in out]) for k in range(3)))
+def _batch(schema: pa.Schema, out: list) -> pa.RecordBatch:
+    return batch_of(schema, *(np.concatenate([o[k] for o in out]) for k in range(2)))
 
 
 def _whole(threshold: float):
     def run(batches):
-        """Links of a component's block pair: rows of role 0 with rows of role 1, told for the former."""
+        """Links of a component's block pair: rows of role 0 with rows of role 1 (w copies each), told for the former."""
         for table in _groups(batches):
-            g, ids, role = (table.column(c).to_numpy() for c in ("g", "id", "role"))
+            g, ids, role, copies = (table.column(c).to_numpy() for c in ("g", "id", "role", "w"))
             vectors = table.column("v").to_pylist()
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
             out = []
@@ -164,11 +240,11 @@ def _whole(threshold: float):
                     m = [np.frombuffer(b"".join(vectors[i] for i in r), np.float64).reshape(len(r), -1) for r in (own, other)]
                     near = m[0] @ m[1].T >= threshold
                     near &= ids[own][:, None] != ids[other][None, :]
-                    links = near.sum(axis=1)
+                    links = near @ copies[other]
                     some = links > 0
-                    out.append((ids[own][some], links[some], ids[own][some]))
+                    out.append((ids[own][some], links[some]))
             if out:
-                yield _batch(out)
+                yield _batch(EXACT, out)
 
     return run
 
@@ -178,7 +254,6 @@ def near_vectors(
     vector: str = "embedding",
     vec_id: str = "vec_id",
     threshold: float = 0.95,
-    passes: int = PASSES,
     seed: int = 7,
 ) -> DataFrame:
     """Per vector: vec_id, n_links, component_id and kept (whether it is its component's smallest id).
@@ -187,7 +262,8 @@ def near_vectors(
     at least ``threshold`` in double precision. Vectors that are null or zero or
     hold null or non-finite numbers link with nothing, nor do rows without an
     id; vectors of different lengths are never compared. Rows that repeat an id
-    are one vector, the least by its numbers.
+    are one vector, the least by its numbers. Links within a component are
+    complete; what may be missed is a link that alone joins two components.
     """
     spark = df.sparkSession
     parts = parallelism(df)
@@ -195,8 +271,20 @@ def near_vectors(
     valid = rows.where((F.col("id") != LAST_ID) & F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull()))
     vectors = valid.mapInArrow(_vectors, sql(VECTORS))
     vectors = stored(vectors.where(F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v")))
-    keys = vectors.mapInArrow(_keys(passes, seed), sql(KEYS))
-    ordered = keys.repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
+    same = vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w"))
+    single = stored(same.select("id", "v", "w"))
+    # The driver sees a row per length of vectors, and the sample.
+    width = F.expr("octet_length(v)")
+    plans = {}
+    for size, n in sorted(tuple(r) for r in single.groupBy(width).agg(F.count("*")).collect()):
+        wanted = 2 * PROBES + min(MOST_CENTRES, n * LEAVES_A_BLOCK // BLOCK)
+        drawn = single.where((width == size) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n // wanted))) == 0))
+        raw = [bytes(r.v) for r in drawn.select("id", "v").sort("id").collect()]
+        sample = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), size // 8)
+        plans[size // 8] = plan_passes(sample, n, threshold, seed)
+    plans = spark.sparkContext.broadcast(plans)
+    keys = single.select("id", "v").mapInArrow(_keys(plans, seed), sql(KEYS)).withColumn("tie", F.xxhash64("pass", "id"))
+    ordered = keys.repartitionByRange(parts, "pass", "key", "tie").sortWithinPartitions("pass", "key", "tie").drop("tie")
     places = stored(ordered.mapInArrow(_ranks, sql(RANKS)))
     # One row per partition and pass goes to the driver, to number the places through.
     totals = sorted(tuple(r) for r in places.groupBy("pass", "part").agg(F.count("*")).collect())
@@ -208,20 +296,14 @@ def near_vectors(
     before = spark.createDataFrame(offsets, "`pass` long, part long, before long")
     ranked = places.join(before, ["pass", "part"])
     block = F.floor((F.col("before") + F.col("at")) / BLOCK)
-    by_id = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pass", block.alias("b")))).alias("all"))
-    by_id = by_id.select("id", F.col("all.b").alias("blocks"))
-    held = vectors.join(by_id, "id")
-    each = held.select("id", "v", "blocks", F.posexplode("blocks").alias("pass", "b"))
-    roles = F.explode(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("role")), F.struct((F.col("b") - 1).alias("b"), F.lit(1).alias("role"))))
-    dealt = each.withColumn("at", roles).select(
-        F.xxhash64("pass", "at.b").alias("g"), "id", "v", "blocks", "pass", F.col("at.role").alias("role")
-    )
+    dealt = ranked.select("id", F.xxhash64("pass", block).alias("g")).join(single.select("id", "v"), "id")
     dealt = dealt.repartition(parts, "g").sortWithinPartitions("g")
-    found = stored(dealt.mapInArrow(_windows(threshold), sql(FOUND)))
+    found = stored(dealt.mapInArrow(_blocks(threshold), sql(FOUND)))
     drop_stored(spark, places)
     labels = stored(components(found.select(F.col("id").alias("a"), F.col("least").alias("b"))))
-    sizes = labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    large = labels.join(sizes, "component").join(vectors, "id")
+    drop_stored(spark, found)
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    large = labels.join(sizes, "component").join(single, "id")
     cuts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), cuts).cast("int")
     to = F.sequence(F.lit(0), cuts - 1)
@@ -230,16 +312,19 @@ def near_vectors(
         F.transform(to, lambda r: F.struct(r.alias("r"), own.alias("c"), F.lit(1).alias("role"))),
     )
     pairs = large.withColumn("at", F.explode(sides)).select(
-        F.xxhash64("component", "at.r", "at.c").alias("g"), "id", "v", F.col("at.role").alias("role")
+        F.xxhash64("component", "at.r", "at.c").alias("g"), "id", "v", "w", F.col("at.role").alias("role")
     )
     pairs = pairs.repartition(parts, "g").sortWithinPartitions("g")
-    exact = pairs.mapInArrow(_whole(threshold), sql(FOUND)).groupBy("id").agg(F.sum("links").alias("exact"))
-    some = found.groupBy("id").agg(F.sum("links").alias("links"))
-    out = rows.select("id").join(some, "id", "left").join(exact, "id", "left").join(labels, "id", "left")
-    component = F.when(F.col("id") != LAST_ID, F.coalesce("component", "id"))
+    exact = pairs.mapInArrow(_whole(threshold), sql(EXACT)).groupBy("id").agg(F.sum("links").alias("links"))
+    known = labels.join(exact, "id", "left").withColumnRenamed("id", "rep")
+    # Each of several equal vectors follows the first of them.
+    repeated = single.where("w > 1").select("v", F.col("id").alias("first"), "w")
+    copies = vectors.join(repeated, "v").select("id", "first", "w")
+    out = rows.select("id").join(copies, "id", "left").withColumn("rep", F.coalesce("first", "id")).join(known, "rep", "left")
+    component = F.when(F.col("id") != LAST_ID, F.coalesce("component", "rep"))
     return out.select(
         F.when(F.col("id") != LAST_ID, F.col("id")).cast(df.schema[vec_id].dataType).alias(vec_id),
-        F.coalesce("exact", "links", F.lit(0)).cast("long").alias("n_links"),
+        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )

@@ -124,6 +124,36 @@ def test_vectors_empty(spark):
     assert sorted((r.vec_id or -1, r.n_links, r.kept) for r in some) == [(-1, 0, True), (1, 0, True), (1, 0, True)]
 
 
+def hot_cone(n, seed=4):
+    """Vectors of mutual cosine 0.8 in 64 dimensions; 2i and 2i + 1 are at 0.955, and there are no other links."""
+    rng = np.random.default_rng(seed)
+    frame = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    r = unit(rng.standard_normal((n // 2, 63)))
+    side = rng.standard_normal(r.shape)
+    side = unit(side - (side * r).sum(axis=1)[:, None] * r)
+    twin = 0.775 * r + np.sqrt(1 - 0.775**2) * side
+    both = np.stack((r, twin), axis=1).reshape(n, 63)
+    return np.concatenate((np.full((n, 1), np.sqrt(0.8)), np.sqrt(0.2) * both), axis=1) @ frame
+
+
+def test_vectors_of_a_hot_cone(spark, monkeypatch):
+    """Isolated pairs in a dense range that is much longer than a block."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    m = hot_cone(6000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert all(got[i] in ((0, i), (1, i - i % 2)) for i in range(6000))
+    assert sum(links for links, _ in got.values()) >= 0.95 * 6000
+
+
+def test_copies_of_vectors_count_as_links(spark):
+    rows = [(i, [3.0, 4.0] if i < 700 else [3.0, 4.1] if i < 705 else [-1.0, i + 0.0]) for i in range(710)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()}
+    assert got == brute_vectors(rows)
+
+
 def test_best_fit_takes_the_tightest_bin():
     rng = random.Random(3)
     sizes = [rng.randint(1, 60) for _ in range(200)]
