@@ -15,8 +15,12 @@ from millrace.llm.suffix_dedup import without_repeats
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    """Documents that pass the quality rules, without the lines above the limits; n_chars follows where lines went."""
+    out = quality_rules(docs).where("kept")
+    if "n_chars" in out.columns:
+        shorter = F.when(F.col("kept_text") != F.col("text"), F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(shorter, "n_chars"))
+    return out.withColumn("text", F.col("kept_text")).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,14 +85,17 @@ def _repeated_words(hashes: Column, window: int) -> Column:
 
 
 def line_table(df: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: order id o, text hash v, host, and lines as an array of (hash h, words w).
+    """One row per document: order id o, text hash v, host, and lines as an array of (hash h, words w, place p).
 
-    A line is normalised to lower case with digits as 0 and gaps as one space; empty lines are left out.
+    The place of a line counts all parts of the text between newlines from 0. A line is normalised to lower case with digits as 0 and gaps as one space; empty lines are left out.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(F.lower(t), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0")
-    lines = F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda x: x != "")
-    marked = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
+    placed = F.transform(F.split(plain, "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("p")))
+    lines = F.filter(placed, lambda x: x["x"] != "")
+    marked = F.transform(
+        lines, lambda x: F.struct(F.xxhash64(x["x"]).alias("h"), F.size(F.split(x["x"], " ")).alias("w"), x["p"].alias("p"))
+    )
     return df.select(order_id(doc_id).alias("o"), F.xxhash64(t).alias("v"), _host(host).alias("host"), marked.alias("lines"))
 
 
@@ -123,24 +126,25 @@ def quality_rules(
     limit_documents: int = 20,
     min_left: float = 0.2,
 ) -> DataFrame:
-    """All columns of ``df`` with the rules of ``with_rules``, n_line_words and kept.
+    """All columns of ``df`` with the rules of ``with_rules``, n_line_words, kept and kept_text.
 
     A normalised line counts once per document and host. Lines in more than
     ``limit_share`` of a host's documents and in more than ``limit_documents``
     are removed everywhere but in the first document (smallest id) that holds
-    them. A document that keeps less than ``min_left`` of its words is depleted
+    them; kept_text is the text without them, with the other lines unchanged.
+    A document that keeps less than ``min_left`` of its words is depleted
     and not kept, as are documents that fail the base rules. Null hosts are one
     host; null ids come last; rows that repeat an id are told apart by text. No
     rows are dropped; columns of ``df`` with a clashing name are replaced.
     """
     table = line_table(df, text, host, doc_id)
     often = frequent_lines(table, limit_share, limit_documents)
-    each = table.select("o", "v", "host", F.posexplode("lines").alias("p", "x")).select(
-        "o", "v", "host", "p", F.col("x.h").alias("h"), F.col("x.w").alias("w")
+    each = table.select("o", "v", "host", F.explode("lines").alias("x")).select(
+        "o", "v", "host", F.col("x.p").alias("p"), F.col("x.h").alias("h"), F.col("x.w").alias("w")
     )
     hit = each.join(often, ["host", "h"]).where(F.col("o") != F.col("first"))
     single = hit.groupBy("o", "v", "host", "p").agg(F.max("w").alias("w"))  # repeated rows tell a line once
-    gone = single.groupBy("o", "v", "host").agg(F.sum("w").alias("gone"))
+    gone = single.groupBy("o", "v", "host").agg(F.sum("w").alias("gone"), F.collect_list("p").alias("places"))
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = with_rules(df, text).withColumns(
         {"__o": order_id(doc_id), "__v": F.xxhash64(t), "__host": _host(host)}
@@ -149,5 +153,8 @@ def quality_rules(
     n_line = F.least(F.coalesce(F.col("gone"), F.lit(0)), keyed["n_words"]).cast("long")
     depleted = (keyed["n_words"] - n_line) < keyed["n_words"] * F.lit(min_left)
     kept = ~keyed["base_failed"] & ~depleted
-    plain = [keyed[c] for c in keyed.columns if not c.startswith("__") and c not in ("n_line_words", "kept")]
-    return joined.select(*plain, n_line.alias("n_line_words"), kept.alias("kept"))
+    left = F.filter(F.split(keyed[text], "\n"), lambda x, i: ~F.array_contains("places", i))
+    kept_text = F.when(F.col("places").isNull(), keyed[text]).otherwise(F.array_join(left, "\n"))
+    new = [n_line.alias("n_line_words"), kept.alias("kept"), kept_text.alias("kept_text")]
+    plain = [keyed[c] for c in keyed.columns if not c.startswith("__") and c not in ("n_line_words", "kept", "kept_text")]
+    return joined.select(*plain, *new)

@@ -97,4 +97,4 @@ FROM judged
 
 @query("op10_line_rules", LINE_RULES_SQL.replace("{table}", "documents"))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.quality_rules(documents(spark, sf_dir)).drop("text", "lang", "source", "n_chars")
+    return line_rules.quality_rules(documents(spark, sf_dir)).drop("text", "lang", "source", "n_chars", "kept_text")

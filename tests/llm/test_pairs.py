@@ -236,6 +236,21 @@ def test_frequent_lines_leave_first_and_reject_depleted(spark, odd, none):
     assert line_rules.quality_rules(none).count() == 0
 
 
+def test_lines_above_limits_leave_the_text(spark):
+    rng = random.Random(11)
+    unique = lambda n: " ".join(f"u{rng.randrange(10**9)}x" for _ in range(n))
+    line, own = "Visit page 7 of  our site", [unique(30) for _ in range(40)]
+    tail = [unique(9) for _ in range(40)]
+    rows = [(i, f"{own[i]}\n\n  {line.upper() if i % 2 else line}\n{line}\n tail {tail[i]}\n", "h") for i in range(40)]
+    rows += [(50, f"{own[0]}\n{line}", "other"), (51, None, "h")]
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars int").repartition(3)
+    want = {i: f"{own[i]}\n\n tail {tail[i]}\n" if 0 < i < 40 else t for i, t, _ in rows}
+    assert {r.doc_id: r.kept_text for r in line_rules.quality_rules(df).collect()} == want
+    stage = STAGES[0][1](spark, df, "")
+    assert stage.schema == df.schema
+    assert {r.doc_id: (r.text, r.n_chars) for r in stage.collect()} == {i: (t, len(t)) for i, t in want.items() if i != 51}
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert [len(s) for s in STAGES] == [2] * 4
