@@ -15,8 +15,11 @@ from millrace.llm.suffix_dedup import without_repeats
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines above the limits; n_chars follows where lines went."""
-    out = quality_rules(docs).where("kept")
+    """Documents that pass the quality rules, without the lines above the limits; n_chars follows where lines went.
+
+    A line may stand in 20 documents of its host however large the host is, so no share is asked for as well.
+    """
+    out = quality_rules(docs, limit_share=0.0).where("kept")
     if "n_chars" in out.columns:
         shorter = F.when(F.col("kept_text") != F.col("text"), F.length("kept_text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(shorter, "n_chars"))

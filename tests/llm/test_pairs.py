@@ -251,6 +251,17 @@ def test_lines_above_limits_leave_the_text(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in stage.collect()} == {i: (t, len(t)) for i, t in want.items() if i != 51}
 
 
+def test_pipeline_takes_out_lines_of_a_few_per_cent_of_a_large_host(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))  # noqa: E731  digits would all read 0
+    own = [" ".join(word() for _ in range(25)) for _ in range(1000)]
+    often = lambda i: i < 400 and i % 10 == 0  # noqa: E731  40 of 1,000 documents
+    rows = [(i, f"{t}\nall rights reserved" if often(i) else f"{t}\nread on" if i >= 980 else t, "h") for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r.text for r in STAGES[0][1](spark, df, "").collect()}
+    assert got == {i: own[i] if i and often(i) else t for i, t, _ in rows}  # read on is in 20 documents, which may be
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert [len(s) for s in STAGES] == [2] * 4
