@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_codec, embedding_dedup, license_scan, line_rules, minhash_dedup, packing, substring_dedup, suffix_dedup, token_counts, token_files
+from millrace.llm import bpe_codec, decontamination, embedding_dedup, license_scan, line_rules, merkle_manifest, minhash_dedup, packing, substring_dedup, suffix_dedup, token_counts, token_files
 from millrace.llm.catalog import query
 from millrace.llm.common import documents
 
@@ -98,3 +98,91 @@ FROM judged
 @query("op10_line_rules", LINE_RULES_SQL.replace("{table}", "documents"))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(documents(spark, sf_dir)).drop("text", "lang", "source", "n_chars", "kept_text")
+
+
+HITS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark),
+cut AS (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM b WHERE len(w) > 0),
+phrases AS (SELECT DISTINCT item, m, array_to_string(w[p:p + m - 1], ' ') AS g FROM cut),
+sizes AS (SELECT DISTINCT m FROM phrases),
+places AS (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes WHERE len(w) >= m),
+hits AS (SELECT r, p, m, item FROM (SELECT r, p, m, array_to_string(w[p:p + m - 1], ' ') AS g FROM places) JOIN phrases USING (m, g)),
+hit_words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + m)) AS x FROM hits) GROUP BY r),
+hit_items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+""".replace(
+    "{words}",
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')",
+)
+
+
+@query("op11_benchmark_decontamination", HITS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    contaminated = (F.col("n_hit") > 0).alias("contaminated")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated)
+
+
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a string's UTF-8 bytes: a byte is taken in, then shifted out bit by bit."""
+    code = f"hex(encode({value}))"
+    byte = f"list_transform(range(length({code}) // 2), lambda k: ('0x' || substr({code}, (2 * k + 1)::INT, 2))::BIGINT + 256)"
+    steps = f"flatten(list_transform({byte}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "CASE WHEN x >= 256 THEN xor(c, x - 256) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: {step}), 4294967295)"
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+         sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         CASE WHEN flagged AND text IS NOT NULL
+              THEN sha256(head || octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), '')) END AS found
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                  || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+               {crc} % 2 = 0 AS flagged FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS i FROM leaves),
+inner_tree AS (
+  SELECT source, 0 AS lvl, i, leaf AS h FROM placed
+  UNION ALL
+  SELECT source, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM inner_tree) WHERE n > 1 GROUP BY source, lvl, i // 3),
+tops AS (SELECT source, max(lvl) AS high, max_by(h, lvl) AS subroot FROM inner_tree GROUP BY source),
+seated AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM tops),
+outer_tree AS (
+  SELECT 0 AS lvl, i, subroot AS h FROM seated
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS n FROM outer_tree) WHERE n > 1 GROUP BY lvl, i // 3),
+top AS (SELECT max(lvl) AS high, max_by(h, lvl) AS root FROM outer_tree),
+lower_walk AS (
+  SELECT r, source, 0 AS lvl, i, coalesce(found, leaf) AS here, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.r, w.source, w.lvl + 1, w.i // 3, sha256(string_agg(CASE WHEN t.i = w.i THEN w.here ELSE t.h END, '' ORDER BY t.i)),
+         w.proof || coalesce(string_agg(CASE WHEN t.i <> w.i THEN t.h END, '' ORDER BY t.i), '')
+  FROM lower_walk w JOIN tops s ON w.source IS NOT DISTINCT FROM s.source AND w.lvl < s.high
+  JOIN inner_tree t ON t.source IS NOT DISTINCT FROM w.source AND t.lvl = w.lvl AND t.i // 3 = w.i // 3
+  GROUP BY w.r, w.source, w.lvl, w.i, w.here, w.proof),
+upper_walk AS (
+  SELECT w.r, 0 AS lvl, s.i, w.here, w.proof FROM lower_walk w JOIN seated s
+  ON w.source IS NOT DISTINCT FROM s.source AND w.lvl = s.high
+  UNION ALL
+  SELECT w.r, w.lvl + 1, w.i // 3, sha256(string_agg(CASE WHEN t.i = w.i THEN w.here ELSE t.h END, '' ORDER BY t.i)),
+         w.proof || coalesce(string_agg(CASE WHEN t.i <> w.i THEN t.h END, '' ORDER BY t.i), '')
+  FROM upper_walk w JOIN top ON w.lvl < top.high JOIN outer_tree t ON t.lvl = w.lvl AND t.i // 3 = w.i // 3
+  GROUP BY w.r, w.lvl, w.i, w.here, w.proof)
+SELECT p.doc_id, p.leaf, s.subroot, top.root, sha256(w.proof) AS proof_sha256, w.here AS folded_root, w.here = top.root AS verified
+FROM placed p JOIN tops s ON p.source IS NOT DISTINCT FROM s.source JOIN top ON true JOIN upper_walk w ON w.r = p.r AND w.lvl = top.high
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL.replace("{crc}", crc32_sql("doc_id::VARCHAR")))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = {"text": F.when(broken, F.translate("text", "\n", ""))}
+    return merkle_manifest.merkle_manifest(documents(spark, sf_dir), found=found)

@@ -102,7 +102,8 @@ RESULT = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", p
 
 
 def sql(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int64()): "array<long>", pa.int32(): "int"}
+    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean"}
+    kinds |= {pa.list_(kind): f"array<{name}>" for kind, name in kinds.items()}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
