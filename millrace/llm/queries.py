@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_codec, decontamination, embedding_dedup, license_scan, line_rules, merkle_manifest, minhash_dedup, packing, substring_dedup, suffix_dedup, token_counts, token_files
+from millrace.llm import bpe_codec, decontamination, embedding_dedup, license_scan, line_rules, merkle_manifest, minhash_dedup, packing, spelling_variants, substring_dedup, suffix_dedup, token_counts, token_files
 from millrace.llm.catalog import query
 from millrace.llm.common import documents
 
@@ -186,3 +186,37 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     found = {"text": F.when(broken, F.translate("text", "\n", ""))}
     return merkle_manifest.merkle_manifest(documents(spark, sf_dir), found=found)
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {crc} AS h FROM runs),
+words AS (
+  SELECT w, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run) + 2)::INT) ELSE run END AS w FROM hashed)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+cut AS (SELECT w, p, left(w, p::INT) || substr(w, (p + 2)::INT) AS v FROM (SELECT w, unnest(range(length(w))) AS p FROM words)),
+links AS (
+  SELECT a.w AS a, b.w AS b FROM cut a JOIN cut b ON a.p = b.p AND a.v = b.v AND a.w <> b.w
+  UNION SELECT a.w, b.w FROM cut a JOIN words b ON a.v = b.w
+  UNION SELECT b.w, a.w FROM cut a JOIN words b ON a.v = b.w),
+ranked AS (
+  SELECT a, b, y.n AS bn, x.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY y.n DESC, b) AS k
+  FROM links JOIN words x ON x.w = a JOIN words y ON y.w = b),
+formed AS (
+  SELECT w AS word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 10 * words.n THEN b END AS form,
+         CASE WHEN bn >= 10 * words.n THEN bn END AS form_n FROM words LEFT JOIN ranked ON a = w AND k = 1),
+walk AS (
+  SELECT word, word AS here, 0 AS far FROM formed
+  UNION ALL SELECT walk.word, f.form, far + 1 FROM walk JOIN formed f ON f.word = walk.here WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT max_by(here, far) FROM walk WHERE walk.word = formed.word) AS root, n, n_near, form_n FROM formed
+"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL.replace("{crc}", crc32_sql("doc_id || ':' || run")))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_forms(spelling_variants.word_counts(documents(spark, sf_dir), delete_every=31))
