@@ -54,9 +54,9 @@ class LicenseIndex:
     first place where its strings end.
     """
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str], min_run: int, max_gap: int, min_cover: float) -> None:
+    def __init__(self, phrases: dict[str, str], templates: dict[str, str], min_run: int, max_gap: int, min_cover: float, min_words: int) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.min_run, self.max_gap, self.min_cover = min_run, max_gap, min_cover
+        self.min_run, self.max_gap, self.min_cover, self.min_words = min_run, max_gap, min_cover, min_words
         automaton = SuffixAutomaton()
         self.phrases = [([self._number(w) for w in p.split()], label) for p, label in phrases.items()]
         self.templates = [([self._number(w) for w in t.split()], label) for label, t in templates.items()]
@@ -127,7 +127,7 @@ class LicenseIndex:
             share = covered / len(self.templates[k][0])
             label = self.templates[k][1]
             best[label] = max(best.get(label, 0.0), share)
-            if share >= self.min_cover:
+            if share >= self.min_cover and covered >= min(self.min_words, len(self.templates[k][0])):
                 spans.append((label, first, end))
 
         for place, state, matched in long:
@@ -150,8 +150,8 @@ class LicenseIndex:
 _INDEXES: dict[tuple, LicenseIndex] = {}
 
 
-def license_index(min_run: int = 3, max_gap: int = 8, min_cover: float = 0.6) -> LicenseIndex:
-    key = (min_run, max_gap, min_cover)
+def license_index(min_run: int = 3, max_gap: int = 8, min_cover: float = 0.6, min_words: int = 8) -> LicenseIndex:
+    key = (min_run, max_gap, min_cover, min_words)
     if key not in _INDEXES:
         _INDEXES[key] = LicenseIndex(PHRASES, TEMPLATES, *key)
     return _INDEXES[key]
@@ -164,12 +164,17 @@ def scan_licenses(
     min_run: int = 3,
     max_gap: int = 8,
     min_cover: float = 0.6,
+    min_words: int = 8,
 ) -> DataFrame:
     """Per document: words, base phrase places, labels, score and template spans. No shuffle.
 
     ``score`` is the largest share of a template's words that a chain of long
     matches covers, and 1 where a base phrase stands. A template labels the
-    document from ``min_cover`` on. Null text has no words, no labels and score 0.
+    document where a chain covers ``min_cover`` of it and ``min_words`` of its
+    words, or all words of a shorter one. Null and empty texts have no words, no
+    labels and score 0. Every row is scanned by itself: null ids and repeated rows
+    stay rows of their own, spans are sorted by first word and label, an empty
+    table gives no rows, other columns are ignored.
     """
     made = (
         f"{_sql_name(doc_id)} {df.schema[doc_id].dataType.simpleString()}, n_words long, n_base long, first_word long, "
@@ -179,7 +184,7 @@ def scan_licenses(
     span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches):
-        index = license_index(min_run, max_gap, min_cover)
+        index = license_index(min_run, max_gap, min_cover, min_words)
         for batch in batches:
             rows = []
             for raw in as_bytes(batch.column(1)):

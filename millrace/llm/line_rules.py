@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_GAP, order_id
+from millrace.llm.common import WORD_GAP, order_id, stored
 
 GAP_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -53,9 +53,20 @@ def with_rules(
         failed = (r["n_words"] < min_words) | (r["n_repeat_words"] * 100 > r["n_words"] * max_repeat_percent)
         return F.struct(*[r[n].alias(n) for n in new], failed.alias("base_failed"))
 
-    out = df.withColumn("__rules", _let(_let(F.coalesce(F.col(text), F.lit("")), rules), judged))
+    (here,) = free_names(df, "rules")
+    out = df.withColumn(here, _let(_let(F.coalesce(F.col(text), F.lit("")), rules), judged))
     names = [*new, "base_failed"]
-    return out.select(*[c for c in df.columns if c not in names], *[F.col("__rules")[n].alias(n) for n in names])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(here)[n].alias(n) for n in names])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,18 +114,21 @@ def _host(host: str) -> Column:
     return F.coalesce(F.col(host).cast("string"), F.lit(""))
 
 
-def frequent_lines(table: DataFrame, limit_share: float, limit_documents: int) -> DataFrame:
-    """Lines in more documents of their host than both limits allow, with the first document that holds them.
+def frequent_lines(table: DataFrame, limit_documents: int) -> DataFrame:
+    """Places of lines that stand in more than ``limit_documents`` documents of their host, but for the first of these.
 
-    Each row of ``line_table`` is a document and counts a line once; counts are
-    summed before the shuffle, so a line of a third of all rows is one row per task.
+    Columns o, v, host, p (place) and w (words). Rows are counted first, summed
+    before the shuffle, so that a line of a third of all rows is one row per task.
+    Only lines that pass by rows are then counted by distinct ids.
     """
-    sizes = table.groupBy("host").agg(F.count("*").alias("host_docs"))
-    each = table.select("o", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = each.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("o").alias("first"))
-    counts = counts.where(F.col("n") > limit_documents)
-    over = F.col("n") > F.col("host_docs") * F.lit(limit_share)
-    return counts.join(sizes, "host").where(over).select("host", "h", "first")
+    each = table.select("o", "v", "host", F.explode("lines").alias("x")).select("o", "v", "host", "x.h", "x.p", "x.w")
+    once = table.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    maybe = once.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit_documents).select("host", "h")
+    hits = stored(each.join(maybe, ["host", "h"]))
+    counts = hits.select("host", "h", "o").distinct().groupBy("host", "h").agg(F.count("*").alias("n"), F.min("o").alias("first"))
+    often = counts.where(F.col("n") > limit_documents).select("host", "h", "first")
+    hit = hits.join(often, ["host", "h"]).where(F.col("o") != F.col("first"))
+    return hit.groupBy("o", "v", "host", "p").agg(F.max("w").alias("w"))  # repeated rows tell a line once
 
 
 def quality_rules(
@@ -122,39 +136,39 @@ def quality_rules(
     text: str = "text",
     host: str = "source",
     doc_id: str = "doc_id",
-    limit_share: float = 0.25,
     limit_documents: int = 20,
     min_left: float = 0.2,
 ) -> DataFrame:
     """All columns of ``df`` with the rules of ``with_rules``, n_line_words, kept and kept_text.
 
-    A normalised line counts once per document and host. Lines in more than
-    ``limit_share`` of a host's documents and in more than ``limit_documents``
-    are removed everywhere but in the first document (smallest id) that holds
-    them; kept_text is the text without them, with the other lines unchanged.
-    A document that keeps less than ``min_left`` of its words is depleted
-    and not kept, as are documents that fail the base rules. Null hosts are one
-    host; null ids come last; rows that repeat an id are told apart by text. No
-    rows are dropped; columns of ``df`` with a clashing name are replaced.
+    A normalised line counts once per document id and host. Lines in more than
+    ``limit_documents`` documents of a host, however large it is, are removed
+    everywhere but in the first document (smallest id) that holds them; kept_text
+    is the text without them, with the other lines unchanged. A document that keeps less than
+    ``min_left`` of its words is depleted and not kept, as are documents that fail
+    the base rules. Null hosts are one host; null ids come last and are one
+    document for the counts; rows that repeat an id are told apart by text. Null
+    and empty texts have no lines and fail. No rows are dropped, an empty table
+    gives none; columns of ``df`` with the name of a result are replaced, all
+    others stay. The lines of all texts, as hashes, are written once to the shared
+    folder.
     """
-    table = line_table(df, text, host, doc_id)
-    often = frequent_lines(table, limit_share, limit_documents)
-    each = table.select("o", "v", "host", F.explode("lines").alias("x")).select(
-        "o", "v", "host", F.col("x.p").alias("p"), F.col("x.h").alias("h"), F.col("x.w").alias("w")
-    )
-    hit = each.join(often, ["host", "h"]).where(F.col("o") != F.col("first"))
-    single = hit.groupBy("o", "v", "host", "p").agg(F.max("w").alias("w"))  # repeated rows tell a line once
+    single = frequent_lines(stored(line_table(df, text, host, doc_id)), limit_documents)
     gone = single.groupBy("o", "v", "host").agg(F.sum("w").alias("gone"), F.collect_list("p").alias("places"))
-    t = F.coalesce(F.col(text), F.lit(""))
-    keyed = with_rules(df, text).withColumns(
-        {"__o": order_id(doc_id), "__v": F.xxhash64(t), "__host": _host(host)}
-    )
-    joined = keyed.join(gone, (keyed["__o"] == gone["o"]) & (keyed["__v"] == gone["v"]) & (keyed["__host"] == gone["host"]), "left")
-    n_line = F.least(F.coalesce(F.col("gone"), F.lit(0)), keyed["n_words"]).cast("long")
-    depleted = (keyed["n_words"] - n_line) < keyed["n_words"] * F.lit(min_left)
-    kept = ~keyed["base_failed"] & ~depleted
-    left = F.filter(F.split(keyed[text], "\n"), lambda x, i: ~F.array_contains("places", i))
-    kept_text = F.when(F.col("places").isNull(), keyed[text]).otherwise(F.array_join(left, "\n"))
-    new = [n_line.alias("n_line_words"), kept.alias("kept"), kept_text.alias("kept_text")]
-    plain = [keyed[c] for c in keyed.columns if not c.startswith("__") and c not in ("n_line_words", "kept", "kept_text")]
-    return joined.select(*plain, *new)
+    ruled = with_rules(df, text)
+    names = free_names(ruled, "line_o", "line_v", "line_host", "line_gone", "line_places")
+    o, v, h, words, places = names
+    keyed = ruled.withColumns({o: order_id(doc_id), v: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), h: _host(host)})
+    joined = keyed.join(gone.toDF(*names), [o, v, h], "left")
+    n_line = F.least(F.coalesce(F.col(words), F.lit(0)), F.col("n_words")).cast("long")
+    depleted = (F.col("n_words") - n_line) < F.col("n_words") * F.lit(min_left)
+    lines = F.split(F.col(text), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
+    without = _let(F.struct(lines.alias("lines"), left.alias("left")), lambda x: F.array_join(F.transform(x["left"], lambda i: F.get(x["lines"], i)), "\n"))
+    new = {
+        "n_line_words": n_line,
+        "kept": ~F.col("base_failed") & ~depleted,
+        "kept_text": F.when(F.col(places).isNull(), F.col(text)).otherwise(without),
+    }
+    plain = [F.col(f"`{c}`") for c in ruled.columns if c not in new]
+    return joined.select(*plain, *[value.alias(name) for name, value in new.items()])

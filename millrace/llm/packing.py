@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe_codec import codec
 from millrace.llm.common import LAST_ID, as_bytes, batch_of, order_id, parallelism, stored
 from millrace.llm.minhash_dedup import _groups
 from millrace.llm.token_counts import sql
+from millrace.llm.token_files import library
 
 #: Documents that are packed together, about.
 GROUP = 4096
@@ -62,15 +62,11 @@ def best_fit(sizes: list[int], marks: list[int], capacity: int) -> list[tuple[in
 
 def _lengths(path: str):
     def run(batches):
-        bpe = codec(path)
+        tokenizer = library(path)
         for batch in batches:
-            rows = []
-            for d, k, source, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), as_bytes(batch.column(3)), strict=True):
-                words = raw.split()
-                cluster = xxhash.xxh3_64_intdigest(b" ".join(words).lower()) - 2**63
-                rows.append((d, k, source, cluster, sum(map(len, map(bpe.word, words))) // 4))
-            if rows:
-                yield batch_of(LENGTHS, *map(list, zip(*rows)))
+            raws = as_bytes(batch.column(3))
+            clusters = [xxhash.xxh3_64_intdigest(b" ".join(raw.split()).lower()) - 2**63 for raw in raws]
+            yield batch_of(LENGTHS, *batch.columns[:3], clusters, list(map(tokenizer.count, raws)))
 
     return run
 

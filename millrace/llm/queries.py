@@ -76,9 +76,8 @@ dup AS (SELECT o, count(*) - count(DISTINCT l) AS n_dup_lines FROM raw_lines
 lines AS (SELECT o, host, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS l
           FROM raw_lines JOIN d USING (o)),
 full_lines AS (SELECT o, host, l, len(string_split(l, ' ')) AS n FROM lines WHERE l <> ''),
-sizes AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
 counts AS (SELECT host, l, count(DISTINCT o) AS n, min(o) AS first FROM full_lines GROUP BY host, l),
-often AS (SELECT host, l, first FROM counts JOIN sizes USING (host) WHERE n > 20 AND n > host_docs * 0.25),
+often AS (SELECT host, l, first FROM counts WHERE n > 10),
 gone AS (SELECT f.o, sum(f.n) AS gone FROM full_lines f JOIN often x ON f.host = x.host AND f.l = x.l AND f.o <> x.first GROUP BY f.o),
 stats AS (
   SELECT w.o, w.doc_id, len(words) AS n_words,
@@ -97,7 +96,8 @@ FROM judged
 
 @query("op10_line_rules", LINE_RULES_SQL.replace("{table}", "documents"))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.quality_rules(documents(spark, sf_dir)).drop("text", "lang", "source", "n_chars", "kept_text")
+    out = line_rules.quality_rules(documents(spark, sf_dir), limit_documents=10)
+    return out.drop("text", "lang", "source", "n_chars", "kept_text")
 
 
 HITS_SQL = r"""

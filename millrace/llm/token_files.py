@@ -22,6 +22,7 @@ import struct
 import unicodedata
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,12 @@ LANES = 64
 BLOCK = 1 << 15
 #: Ids in a chunk, at least, unless its partition ends.
 CHUNK = 1 << 20
-CACHE_WORDS = 700_000
+#: Text that is encoded at once; longer texts are cut at gaps.
+PART_BYTES = 1 << 21
+#: What a worker remembers of words and pre-tokens, about.
+MEMORY_BYTES = 96 << 20
+#: Two small objects of the memory and their place in its table.
+ENTRY_BYTES = 90
 #: Below it, no letter composes with another and classes are the same in all Unicode releases.
 PLAIN_END = "\u0250"
 LOW = np.uint64(1 << 31)
@@ -152,7 +158,8 @@ class Coder:
             state = np.where(need, more, state)
             at = at + place[:, -1]
         ids = out.reshape(-1)[:size]
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc or (at != ends).any():
+        # Decoding runs the encoder's steps backwards, so every lane must come back to the state it started from.
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc or (at != ends).any() or (state != LOW).any():
             raise ValueError("token payload is damaged")
         return ids
 
@@ -167,9 +174,10 @@ def plain_pattern() -> re.Pattern:
 class Library:
     """The tokenizers library with a memory of words and pre-tokens.
 
-    No token spans a gap or two pre-tokens, so each is encoded once. Pre-tokens
-    go straight to the library's BPE model; words beyond Latin letters are folded and split by the library's own steps, and words that may hold special
-    strings go through the whole library.
+    No token spans a gap or two pre-tokens, so each is encoded once as long as it
+    is remembered. Pre-tokens go straight to the library's BPE model; words beyond
+    Latin letters are folded and split by the library's own steps, and words that
+    may hold special strings go through the whole library.
     """
 
     def __init__(self, path: str) -> None:
@@ -182,50 +190,75 @@ class Library:
         self.split, self.shown = plain_pattern(), byte_alphabet()
         self.fold, self.cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memory: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _keep(self, key: bytes, ids: bytes) -> bytes:
+        if self.held > MEMORY_BYTES:
+            self.memory.clear()
+            self.held = 0
+        self.memory[key] = ids
+        self.held += len(key) + len(ids) + ENTRY_BYTES
+        return ids
 
     def word(self, raw: bytes) -> bytes:
         text = raw.decode()
         if "<|" in text:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        if max(text) < PLAIN_END and "İ" not in text:  # nothing to compose, and its classes never change
-            found = self.split.findall(text.lower())
-            return b"".join([self.pieces.get(p) or self.piece(p, "".join(map(self.shown.__getitem__, p.encode()))) for p in found])
-        folded = self.cut(self.fold(text))
-        return b"".join([self.pieces.get("\n" + p) or self.piece("\n" + p, p) for p, _ in folded])
-
-    def piece(self, key: str, shown: str) -> bytes:
+            return self._keep(raw, np.array(ids, "<u4").tobytes())
+        get, piece = self.memory.get, self.piece
+        if text.isascii() or (max(text) < PLAIN_END and "İ" not in text):  # nothing to compose, and its classes never change
+            low = text.lower()
+            found = self.split.findall(low)
+            if len(found) == 1 and found[0] == text:  # a small word is its own pre-token
+                return piece(raw, text)
+            return self._keep(raw, b"".join([get(key) or piece(key, p) for p in found for key in (p.encode(),)]))
+        folded = [(b"\n" + p.encode(), p) for p, _ in self.cut(self.fold(text))]
+        return self._keep(raw, b"".join([get(key) or self._shown(key, p) for key, p in folded]))
+
+    def piece(self, key: bytes, text: str) -> bytes:
+        """Ids of a pre-token."""
+        plain = text.isascii() and text.isalnum()  # whose bytes are shown as themselves
+        return self._shown(key, text if plain else "".join(map(self.shown.__getitem__, key)))
+
+    def _shown(self, key: bytes, shown: str) -> bytes:
         """Ids of a pre-token, given with a character for each byte."""
-        packed = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if len(self.pieces) >= CACHE_WORDS:
-            self.pieces.clear()
-        self.pieces[key] = packed
-        return packed
-
-    def encode(self, raws: list[bytes]) -> list[bytes]:
-        """Ids of texts as little-endian 32-bit integers."""
-        split = [raw.split() for raw in raws]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        for words in split:
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return self._keep(key, array("I", [t.id for t in self.model.tokenize(shown)]).tobytes())
+
+    def parts(self, raw: bytes) -> Iterator[list[bytes]]:
+        """Ids of the words of a text, some megabytes of it at a time."""
+        at = 0
+        while at < len(raw):
+            stop = len(raw)
+            if stop - at > PART_BYTES:
+                stop = raw.find(b" ", at + PART_BYTES) % (len(raw) + 1)
+            get, word = self.memory.get, self.word
+            yield [get(w) or word(w) for w in raw[at:stop].split()]
+            at = stop
+
+    def encode(self, raw: bytes) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
+        return b"".join([b"".join(ids) for ids in self.parts(raw)])
+
+    def count(self, raw: bytes) -> int:
+        """Number of ids of a text."""
+        return sum([sum(map(len, ids)) for ids in self.parts(raw)]) // 4
 
 
 _LIBRARIES: dict[str, Library] = {}
 
 
+def library(path: str) -> Library:
+    """The library of this worker for a tokenizer file."""
+    if path not in _LIBRARIES:
+        _LIBRARIES[path] = Library(path)
+    return _LIBRARIES[path]
+
+
 def _tokens(path: str, end_id: int):
     def run(batches):
         """Ids of a partition's documents, in chunks of whole documents."""
-        if path not in _LIBRARIES:
-            _LIBRARIES[path] = Library(path)
-        library, part = _LIBRARIES[path], TaskContext.get().partitionId()
+        tokenizer, part = library(path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         docs, sizes, ids, held, before = [], [], [], 0, 0
 
@@ -234,22 +267,15 @@ def _tokens(path: str, end_id: int):
 
         for batch in batches:
             names, raws = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            at = 0
-            while at < len(raws):
-                stop, size = at, 0
-                while stop < len(raws) and size < 1 << 21:
-                    size += len(raws[stop])
-                    stop += 1
-                for d, packed in zip(names[at:stop], library.encode(raws[at:stop]), strict=True):
-                    docs.append(d)
-                    ids += (packed, end)
-                    sizes.append(len(packed) // 4 + 1)
-                    held += sizes[-1]
-                    if held >= CHUNK:
-                        yield chunk()
-                        before += held
-                        docs, sizes, ids, held = [], [], [], 0
-                at = stop
+            for d, packed in zip(names, map(tokenizer.encode, raws), strict=True):
+                docs.append(d)
+                ids += (packed, end)
+                sizes.append(len(packed) // 4 + 1)
+                held += sizes[-1]
+                if held >= CHUNK:
+                    yield chunk()
+                    before += held
+                    docs, sizes, ids, held = [], [], [], 0
         if docs:
             yield chunk()
 

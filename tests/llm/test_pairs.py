@@ -284,3 +284,20 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert all(r.n_chars == len(r.text) for r in got.values())
     placed = run(spark, folder).collect()
     check_packing(placed, {d: r.text for d, r in got.items()}, {d: r.source for d, r in got.items()}, 2048)
+
+
+def test_lines_count_documents_not_rows(spark):
+    """Repeated rows of an id are one document; a line in 11 documents of a large host goes; a document it fills is depleted."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    own = [" ".join(word() for _ in range(25)) for _ in range(300)]
+    boiler = " ".join(word() for _ in range(30))
+    rows = [(1, own[0] + "\ntwice told", "h")] * 25 + [(2, own[1] + "\ntwice told", "h")]
+    rows += [(10 + i, t if i >= 11 else f"{t}\n{boiler}" if i < 10 else boiler, "h") for i, t in enumerate(own[2:])]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, source string, gone int, places int, __x int, line_o int, `a.b` int")
+    out = line_rules.quality_rules(df, limit_documents=10)
+    assert out.columns[:8] == df.columns
+    got = {r.doc_id: (r.n_line_words, r.kept, r.base_failed, r.gone, r.places, r["__x"], r.line_o, r["a.b"]) for r in out.collect()}
+    assert out.count() == len(rows) and got[1][:2] == got[2][:2] == (0, True)
+    assert all(got[10 + i][:2] == ((30 if 0 < i < 11 else 0), i != 10) for i in range(298)) and not got[20][2]
+    assert {x[3:] for x in got.values()} == {(1, 2, 3, 4, 5)}
