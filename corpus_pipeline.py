@@ -15,11 +15,12 @@ from millrace.llm.suffix_dedup import without_repeats
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines above the limits; n_chars follows where lines went.
+    """Documents that pass the quality rules, without the lines in more than 20 documents of their host.
 
-    A line may stand in 20 documents of its host however large the host is, so no share is asked for as well.
+    Null and empty texts fail. n_chars follows where lines went. Repeated rows share their fate, null ids are kept apart
+    by text, null sources are one host; an empty table stays empty.
     """
-    out = quality_rules(docs, limit_share=0.0).where("kept")
+    out = quality_rules(docs, limit_documents=20).where("kept")
     if "n_chars" in out.columns:
         shorter = F.when(F.col("kept_text") != F.col("text"), F.length("kept_text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(shorter, "n_chars"))
@@ -27,7 +28,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates.
+
+    Documents without words, null texts included, are near to none and stay. All rows of an id share its fate, so
+    repeated rows and rows without an id, which are one node, stay or go together; an empty table stays empty.
+    """
     importable(spark)
     found = near_duplicates(docs)
     dropped = found.where("not kept").select("doc_id").distinct()
@@ -35,7 +40,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 100-byte strings that occur earlier; n_chars follows."""
+    """Texts without the 100-byte strings that occur earlier; n_chars follows.
+
+    Null texts are empty afterwards. A null id comes last; rows that repeat an id are told apart by text, and equal rows
+    are one document with equal results, each still a row. An empty table stays empty.
+    """
     importable(spark)
     out = without_repeats(docs, window=100)
     if "n_chars" in out.columns:
@@ -44,7 +53,11 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of 2,048 tokens."""
+    """Pieces of documents in bins of 2,048 tokens.
+
+    Documents without tokens, null texts included, have one row without a bin. Null ids and repeated rows are documents
+    of their own; of equal lengths the smaller id is placed first. An empty table gives no rows.
+    """
     importable(spark)
     return pack_documents(docs, WORD_BPE, capacity=2048)
 
