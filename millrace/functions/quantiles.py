@@ -28,8 +28,8 @@ GRID = 400
 ACCURACY = 4000
 DIRECT_BELOW = 4 * GRID
 BROADCAST_ROWS = 100_000
-#: Values of a bracket that are read to settle an ungrouped quantile.
-LAST_VALUES = 10_000
+#: Distinct values of a bracket that are read to settle an ungrouped quantile.
+LAST_VALUES = 20_000
 
 
 def melt_numbers(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
@@ -84,7 +84,7 @@ class _Search:
     high: float
     first: float | None = None
     second: float | None = None
-    below: int = 0
+    below: int | None = None
 
     @property
     def rank(self) -> int:
@@ -151,8 +151,39 @@ def _narrow(numbers: DataFrame, searches: list[_Search]) -> None:
                 s.low = row[f"q{i}"]
 
 
+def _bracket_share(size: int) -> float:
+    """Share of ``size`` values that a first bracket holds at most, ties apart: six steps of the grid and the sketch's error."""
+    return 1.0 if size < DIRECT_BELOW else 6 / GRID + 4 / ACCURACY
+
+
+def _settle(numbers: DataFrame, searches: list[_Search]) -> None:
+    """One scan for all searches: the counts of all values inside, and of those below where they are not counted yet."""
+    slots: dict[tuple, int] = {}
+    for s in searches:
+        slots.setdefault((s.column, s.low, s.high, s.below), len(slots))
+    cells = []
+    for (column, low, high, below), i in slots.items():
+        x, tagged = F.col(column), lambda v: F.struct(F.lit(i).alias("i"), v.alias("v"))  # noqa: B023
+        cell = F.when(x.between(F.lit(low), F.lit(high)), tagged(x))
+        cells.append(cell.when(x < F.lit(low), tagged(F.lit(None).cast("double"))) if below is None else cell)
+    values = numbers.select(F.explode(F.array_compact(F.array(*cells))).alias("e"))
+    counts: dict[int, list] = {}
+    for r in values.groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n")).collect():  # LAST_VALUES a search
+        counts.setdefault(r["i"], []).append((r["v"], r["n"]))
+    for told in counts.values():
+        told.sort(key=lambda e: (e[0] is not None, e[0]))
+    for s in searches:
+        at, run, found = s.rank - (s.below or 0), 0, []
+        for v, n in counts[slots[s.column, s.low, s.high, s.below]]:
+            run += n
+            while v is not None and len(found) < 2 and run > at + len(found):
+                found.append(v)
+        s.settle(found[0], found[-1])
+
+
 def _searched(df: DataFrame, wanted: list[tuple[str, float]]) -> dict[tuple[str, float], tuple[int, float | None]]:
-    """(column, p) -> (count, quantile), exact; a fixed number of rounds but for values that repeat very often."""
+    """(column, p) -> (count, quantile), exact. One scan for counts and sketches, one for the values around each rank;
+    between them rounds that narrow the brackets of long columns."""
     names = {c: f"x{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in wanted))}
     null = F.lit(None).cast("double")
     numbers = df.select(*[F.nanvl(F.col(quoted(c)).cast("double"), null).alias(x) for c, x in names.items()])
@@ -163,7 +194,7 @@ def _searched(df: DataFrame, wanted: list[tuple[str, float]]) -> dict[tuple[str,
         if n:
             position = p * (n - 1)
             low, high = _grid_cut(row["g" + names[c]], math.floor(position), n)
-            searches[c, p] = _Search(names[c], position, LAST_VALUES + 1, low, high)
+            searches[c, p] = _Search(names[c], position, math.ceil(n * _bracket_share(n)), low, high)
     while True:
         for s in searches.values():
             if not s.found and s.low == s.high:
@@ -174,22 +205,7 @@ def _searched(df: DataFrame, wanted: list[tuple[str, float]]) -> dict[tuple[str,
         _narrow(numbers, wide)
     last = [s for s in searches.values() if not s.found]
     if last:
-        inside = [
-            F.when(F.col(s.column).between(F.lit(s.low), F.lit(s.high)), F.struct(F.lit(i).alias("i"), F.col(s.column).alias("v")))
-            for i, s in enumerate(last)
-        ]
-        values = numbers.select(F.explode(F.array_compact(F.array(*inside))).alias("e"))
-        counts = values.groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
-        by_search: dict[int, list] = {}
-        for r in counts.collect():  # at most LAST_VALUES a search
-            by_search.setdefault(r["i"], []).append((r["v"], r["n"]))
-        for i, s in enumerate(last):
-            at, run, found = s.rank - s.below, 0, []
-            for v, n in sorted(by_search[i]):
-                run += n
-                while len(found) < 2 and run > at + len(found):
-                    found.append(v)
-            s.settle(found[0], found[-1])
+        _settle(numbers, last)
     return {(c, p): (row["n" + names[c]], searches[c, p].value() if (c, p) in searches else None) for c, p in wanted}
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millrace.functions import types as ty
 from millrace.functions import values as V
@@ -91,6 +92,23 @@ def categories_of(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> li
     return [r["v"] for r in found]
 
 
+def few_categories(df: DataFrame, columns: list[str], most: int = AUTO_ONE_HOT_LIMIT) -> dict[str, list[str] | None]:
+    """Sorted categories of each column, null included; None where there are more than ``most``.
+
+    One job for all columns: values are counted once, and only the first few of
+    each column leave a task.
+    """
+    if not columns:
+        return {}
+    slim = df.select(*[category(F.col(c)).alias(c) for c in columns])
+    values = slim.unpivot([], columns, "column", "value").distinct()
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for r in values.withColumn("place", place).where(F.col("place") <= most + 1).collect():
+        found[r["column"]].append(r["value"])
+    return {c: sorted(v, key=str.encode) if len(v) <= most else None for c, v in found.items()}
+
+
 def one_hot(df: DataFrame, fitted: dict[str, list[str]]) -> DataFrame:
     """Replace each column by 0/1 columns ``column_value``; unknown values give all zeros."""
     kept = [F.col(c) for c in df.columns if c not in fitted]

@@ -63,34 +63,35 @@ class TablePreprocessor(Estimator, _PreprocessorParams, DefaultParamsReadable, D
             outputCol=outputCol, labelCol=labelCol, ignoredCols=ignoredCols or [], importanceTrees=importanceTrees
         )
 
-    def _fit(self, dataset: DataFrame) -> TablePreprocessorModel:
-        label = self.getOrDefault("labelCol")
-        skip = {label, *self.getOrDefault("ignoredCols")}
+    def unfitted(self, dataset: DataFrame) -> TablePreprocessorModel:
+        """The model with its columns, categories and codes, before anything is scaled, filled or selected."""
+        skip = {self.getOrDefault("labelCol"), *self.getOrDefault("ignoredCols")}
         raw = dataset.select(*[c for c in dataset.columns if c not in skip])
         numeric = [f.name for f in raw.schema.fields if ty.is_numeric(f.dataType)]
         dates = E.datetime_columns(raw)
-        # One row per column of the schema.
-        plan = {r["column"]: r["strategy"] for r in E.encoding_plan_auto(raw.drop(*dates)).collect()}
-        hot = {c: E.categories_of(raw, c) for c, s in plan.items() if s == E.ONE_HOT}
-        ordinal = [c for c, s in plan.items() if s == E.ORDINAL]
+        flags = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.BooleanType)]
+        categories = E.few_categories(raw, [c for c in raw.columns if c not in {*numeric, *flags, *dates}])
+        ordinal = [c for c, values in categories.items() if values is None]
         state = {
             "input": raw.columns,
             "types": {f.name: f.dataType.simpleString() for f in raw.schema.fields},
             "numeric": numeric,
             "dates": dates,
-            "one_hot": hot,
+            "one_hot": {c: values for c, values in categories.items() if values is not None},
             "ordinal": ordinal,
             "scale": {},
             "medians": {},
         }
         model = TablePreprocessorModel(state, _codes(raw, ordinal))
         self._copyValues(model)
+        return model
+
+    def _fit(self, dataset: DataFrame) -> TablePreprocessorModel:
+        label = self.getOrDefault("labelCol")
+        model = self.unfitted(dataset)
+        state, chosen = model.state_value, model.continuous()
         encoded = model.feature_frame(dataset, label if label in dataset.columns else None)
-        one_hot_names = {f"{c}_{v}" for c, values in hot.items() for v in values}
-        booleans = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.BooleanType)]
-        continuous = [
-            c for c in model.all_features() if c not in one_hot_names and c not in ordinal and c not in booleans
-        ]
+        continuous = [c for c in model.all_features() if c in chosen]
         # One pass gives the scaler and tells which features vary.
         features = model.all_features()
         stats = {r["column"]: r for r in feature_spread(encoded, features).collect()}
@@ -160,9 +161,16 @@ class TablePreprocessorModel(Model, _PreprocessorParams, MLReadable, MLWritable)
         return self.state_value["selected"]
 
     def all_features(self) -> list[str]:
-        return list(self._expressions({}))
+        return list(self.expressions({}))
+
+    def continuous(self) -> set[str]:
+        """Features that are scaled and filled by medians: all but flags of categories, codes and booleans."""
+        s = self.state_value
+        flags = {f"{c}_{v}" for c, values in s["one_hot"].items() for v in values}
+        booleans = {c for c, kind in s["types"].items() if kind == "boolean"}
+        return {c for c in self.all_features() if c not in flags and c not in s["ordinal"] and c not in booleans}
 
-    def _expressions(self, types: dict[str, T.DataType]) -> dict[str, Column]:
+    def expressions(self, types: dict[str, T.DataType]) -> dict[str, Column]:
         """Final expression of every feature over the raw columns, in table order."""
         s = self.state_value
         found: dict[str, Column] = {}
@@ -208,7 +216,7 @@ class TablePreprocessorModel(Model, _PreprocessorParams, MLReadable, MLWritable)
     def feature_frame(self, df: DataFrame, label: str | None = None) -> DataFrame:
         """All features as plain columns, before selection."""
         types = {f.name: f.dataType for f in df.schema.fields}
-        columns = [c.alias(n) for n, c in self._expressions(types).items()]
+        columns = [c.alias(n) for n, c in self.expressions(types).items()]
         keep = [F.col(label)] if label else []
         return self._with_codes(df).select(*keep, *columns)
 
@@ -223,7 +231,7 @@ class TablePreprocessorModel(Model, _PreprocessorParams, MLReadable, MLWritable)
     def _transform(self, dataset: DataFrame) -> DataFrame:
         self._check(dataset)
         types = {f.name: f.dataType for f in dataset.schema.fields}
-        expressions = self._expressions(types)
+        expressions = self.expressions(types)
         vector = array_to_vector(F.array(*[expressions[n] for n in self.feature_names]))
         coded = [_code_column(i) for i in range(len(self.state_value["ordinal"]))]
         return self._with_codes(dataset).withColumn(self.getOrDefault("outputCol"), vector).drop(*coded)

@@ -358,14 +358,6 @@ def _(t):
     return M.grid_search("LinearRegression", training_table(t), "charge", "id", folds=2).ranked
 
 
-@query("training_run")
-def _(t):
-    train, test = split_tables(t)
-    models = {"LinearRegression": {}, "GradientBoostingRegressor": {"maxIter": 5}}
-    run = M.training_run(train, test, "charge", "id", scratch(t), models)
-    return rounded(run.board.drop("training_seconds"))
-
-
 @query("save_load_model")
 def _(t):
     train, test = split_tables(t)
@@ -413,6 +405,60 @@ def _(t):
     return rounded(_exact_metrics(t, "LinearRegression"), 4)
 
 
+RUN_TIMES = ("2026-03-01 10:00:00", "2026-03-02 10:00:00", "2026-03-03 10:00:00")
+
+
+def recorded_runs(t):
+    """Three runs in one folder: the linear model wins the first and the last, boosted trees are alone in the second.
+
+    Every call is made twice; the second adds nothing.
+    """
+    train, test = exact_tables(t)
+    folder = scratch(t)
+    boosted = {"GradientBoostingRegressor": {"maxIter": 5}}
+    for run_id, models, at in zip("abc", ({"LinearRegression": {}, **boosted}, boosted, {"LinearRegression": {}}), RUN_TIMES):
+        for _ in range(2):
+            M.training_run(train, test, "charge", "id", folder, models, run_id=run_id, created_at=at)
+    return M.Ledger(t.spark, folder)
+
+
+@query(
+    "training_run",
+    EXACT_VIEW
+    + """, told(run_id, model_name, model_rank, version, status, created_at, linear) AS (VALUES
+    ('a', 'LinearRegression', 1, 1, 'Archived', '2026-03-01 10:00:00', true), ('a', 'GradientBoostingRegressor', 2, NULL, NULL, NULL, false),
+    ('b', 'GradientBoostingRegressor', 1, 1, 'Production', '2026-03-02 10:00:00', false),
+    ('c', 'LinearRegression', 1, 2, 'Archived', '2026-03-03 10:00:00', true))
+SELECT run_id, model_name, model_rank, version::BIGINT AS version, status, created_at, linear AS exact_fit,
+    (SELECT count(*) FROM exact WHERE held) AS rows FROM told""",
+)
+def _(t):
+    ledger = recorded_runs(t)
+    events = ledger.table("events")
+    state = R.registry_state(events.drop("run_id")).select("model_name", "version", "status", "created_at")
+    made = events.where("event = 'register'").select("run_id", "model_name", "version").join(state, ["model_name", "version"])
+    out = ledger.table("leaderboards").join(made, ["run_id", "model_name"], "left")
+    return shown(out.withColumn("exact_fit", F.col("mae") < 1e-6), "run_id", "model_name", "model_rank", "version", "status", "created_at", "exact_fit", "rows")
+
+
+@query(
+    "training_run_experiments",
+    EXACT_VIEW
+    + """, weights(feature, importance, importance_rank) AS (
+    SELECT 'a', 3 * stddev_pop(a), 1 FROM exact WHERE NOT held UNION ALL SELECT 'b', 0.5 * stddev_pop(b), 2 FROM exact WHERE NOT held)
+SELECT id AS experiment_id, '2026-03-0' || day || ' 10:00:00' AS timestamp, 'LinearRegression' AS model_name, 'default' AS dataset_version,
+    '{"selected_model":"LinearRegression"}' AS hyperparameters, 0.0::DOUBLE AS mae, 1.0::DOUBLE AS r2, version AS model_version,
+    feature, round(importance, 3)::DOUBLE AS importance, importance_rank
+FROM (VALUES ('a', 1, 1), ('c', 3, 2)) AS runs(id, day, version), weights""",
+)
+def _(t):
+    ledger = recorded_runs(t)
+    flat = L.experiment_flat(L.experiment_list(t.spark, f"{ledger.folder}/experiments"), ["mae", "r2"])
+    linear = flat.where(F.col("model_name") == M.BASELINE_MODEL).drop("training_time_seconds")
+    weights = ledger.table("importances").select(F.col("run_id").alias("experiment_id"), "feature", "importance", "importance_rank")
+    return rounded(linear.join(weights, "experiment_id"), 3)
+
+
 BETTER = EXACT_VIEW + "SELECT count(*) AS rows, true AS better_than_mean, true AS finite FROM exact WHERE held"
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import types as ty
+from millrace.session import durable_checkpoint
 
 ROLLBACK_SCHEMA = (
     "dataset string, raw_path string, processed_path string, raw_rows bigint, raw_checksum string, "
@@ -36,6 +38,30 @@ def sink_append(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.save(path)
 
 
+def read_if_any(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table, or an empty one of the schema where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_once(rows: DataFrame, path: str, keys: list[str]) -> int:
+    """Append the rows whose keys the Parquet table does not hold yet; returns how many that were.
+
+    The table is read back before the append, so a call that is repeated, or that
+    finishes what an interrupted one began, adds nothing twice. Keys are not null.
+    """
+    held = read_if_any(rows.sparkSession, path, rows.schema).select(*keys).distinct()
+    new = durable_checkpoint(rows.join(held, list(keys), "left_anti").select(*rows.columns))
+    count = new.count()
+    if count:
+        new.write.mode("append").parquet(path)
+    return count
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """One row (rows, checksum): independent of row order, sensitive to repeated rows, nulls and nested cells.
 

@@ -264,3 +264,57 @@ def test_sampling(spark):
     df = spark.range(1000)
     one, two = files.sample_rows(df, "id", 50), files.sample_rows(df.repartition(7), "id", 50)
     assert one.count() == 50 and one.exceptAll(two).count() == 0
+
+
+def test_folds_from_sums_equal_refits(spark):
+    """Nulls, a constant, a feature close to another, timestamps and categories; with and without intercept."""
+    rng = random.Random(4)
+    rows_ = []
+    for i in range(400):
+        a, b = rng.gauss(50, 9), rng.random() * 1e6
+        ts = f"2026-01-{1 + i % 28:02d}T{i % 24:02d}:00:00"
+        label = 3 * a - b / 1e5 + rng.gauss(0, 4) + (i % 3)
+        rows_.append((i, None if i % 7 == 0 else a, b, 2 * b + 1, 5.0, "xyz"[i % 3], ts, i % 5 == 0, None if i % 50 == 3 else label))
+    df = spark.createDataFrame(rows_, "id long, a double, b double, near double, flat double, kind string, ts string, flag boolean, label double")
+    numbered = df.withColumn("__fold", M.fold_of(F.col("id"), 3))
+    for fit in (True, False):
+        got = rows(M.cross_validate("LinearRegression", df, "label", "id", folds=3, fitIntercept=fit).drop("model_name"), "fold")
+        want = rows(M.refitted_folds("LinearRegression", numbered, "label", "id", 3, fitIntercept=fit).drop("model_name"), "fold")
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        for g, w in zip(got, want):
+            assert g[2:] == pytest.approx(w[2:], rel=1e-4)
+    search = M.grid_search("LinearRegression", df, "label", "id", {"fitIntercept": [False, True]}, folds=3)
+    assert [r["parameters"] for r in search.ranked.orderBy("config_rank").collect()][0] == '{"fitIntercept": true}'
+
+
+def test_runs_are_recorded_once(spark, tmp_path, monkeypatch):
+    train, test = lifecycle(spark)
+    train, test = (d.select("id", "category", "value", "label") for d in (train, test.where("value is not null")))
+    folder = str(tmp_path / "runs")
+    call = lambda run_id, **k: M.training_run(train, test, "label", "id", folder, {"LinearRegression": {}}, run_id=run_id, **k)
+    ledger = M.Ledger(spark, folder)
+    assert ledger.table("events").count() == 0
+
+    # An interrupted run leaves no events; the next call with its id finishes it without a second experiment.
+    add = M.Ledger.add
+    monkeypatch.setattr(M.Ledger, "add", lambda self, name, df: 1 / 0 if name == "events" else add(self, name, df))
+    with pytest.raises(ZeroDivisionError):
+        call("one", folds=2)
+    monkeypatch.setattr(M.Ledger, "add", add)
+    assert ledger.table("experiments").count() == 1 and ledger.finished("one") is None
+    first = call("one", folds=2)
+    held = {name: rows(ledger.table(name), *M.LEDGER_KEYS[name]) for name in M.LEDGER}
+    assert len(held["experiments"]) == 1 and len(held["events"]) == 2 and len(held["folds"]) == 2 and len(held["leaderboards"]) == 1
+
+    monkeypatch.setattr(M, "train_regressor", lambda *a, **k: pytest.fail("a complete run is not trained again"))
+    again = call("one", folds=2)
+    monkeypatch.undo()
+    assert again.repeated and not first.repeated
+    assert (again.best, again.version, again.status, again.path) == (first.best, first.version, first.status, first.path)
+    assert {name: rows(ledger.table(name), *M.LEDGER_KEYS[name]) for name in M.LEDGER} == held
+    assert call("two").version == 2
+    state = R.registry_state(ledger.table("events").drop("run_id"))
+    assert rows(state.select("model_name", "version", "status"), "version") == [("LinearRegression", 1, "Archived"), ("LinearRegression", 2, "Archived")]
+    assert rows(L.experiment_list(spark, f"{folder}/experiments").select("experiment_id", "model_version"), "model_version") == [("one", 1), ("two", 2)]
+    assert sinks.append_once(ledger.table("events").limit(1), f"{folder}/events", ["run_id", "event"]) == 0
+    M.load_model(again.path).transform(test).count()
