@@ -290,27 +290,59 @@ def split_tables(t):
     return df.where(~is_test), df.where(is_test)
 
 
-@query("importance_rank")
-def _(t):
-    df = training_table(t).drop("return_flag").fillna(0)
-    features = [c for c in df.columns if c not in ("id", "charge")]
-    return importance_rank(df, features, "charge", trees=10)
+# What the preprocessor must find on the training rows: no two of these features are close, and all vary.
+FITTED = ["prep_capacity", "current_load", "order_size", "order_value", "avg_rating"]
+FLAGS = ["A", "N", "R"]
+FIT_SQL = (
+    with_views("deliveries")
+    + """, parts AS (SELECT *, CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '-42'), 1, 4) AS INTEGER) < 13107 AS held FROM deliveries),
+"""
+)
+
+
+def fitted(t):
+    train, test = split_tables(t)
+    return TablePreprocessor(labelCol="charge", ignoredCols=["id"]).fit(train), test
 
 
-@query("preprocess_fit")
+@query(
+    "preprocess_fit",
+    FIT_SQL.rstrip().rstrip(",")
+    + union_sql(
+        [
+            f"\nSELECT {i} AS position, '{c}' AS feature, round(avg({c}), 5) AS mean, round(stddev_pop({c}), 5) AS sigma, "
+            f"round((median({c}) - avg({c})) / stddev_pop({c}), 5) AS median FROM parts WHERE NOT held"
+            for i, c in enumerate(FITTED)
+        ]
+        + [
+            f"\nSELECT {len(FITTED) + i} AS position, 'return_flag_{v}' AS feature, NULL::DOUBLE AS mean, NULL::DOUBLE AS sigma, NULL::DOUBLE AS median"
+            for i, v in enumerate(FLAGS)
+        ]
+    ),
+)
 def _(t):
-    train, _ = split_tables(t)
-    model = TablePreprocessor(labelCol="charge", ignoredCols=["id"]).fit(train)
-    rows = [(i, n) for i, n in enumerate(model.feature_names)]
-    return t.spark.createDataFrame(rows, "position int, feature string")
+    model, _ = fitted(t)
+    s = model.state_value
+    rows = [(i, n, *(s["scale"].get(n) or (None, None)), s["medians"].get(n)) for i, n in enumerate(model.feature_names)]
+    return rounded(t.spark.createDataFrame(rows, "position int, feature string, mean double, sigma double, median double"), 5)
 
 
-@query("preprocess_transform")
+@query(
+    "preprocess_transform",
+    FIT_SQL
+    + "stats AS (SELECT "
+    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, median({c}) AS d_{c}" for c in FITTED)
+    + " FROM parts WHERE NOT held)\nSELECT id, "
+    + ", ".join(f"round((coalesce({c}, d_{c}) - m_{c}) / s_{c}, 5) AS {c}" for c in FITTED)
+    + ", "
+    + ", ".join(f"CASE WHEN return_flag = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS return_flag_{v}" for v in FLAGS)
+    + " FROM parts, stats WHERE held",
+)
 def _(t):
-    train, test = split_tables(t)
-    model = TablePreprocessor(labelCol="charge", ignoredCols=["id"]).fit(train)
-    texts = F.transform(vector_to_array("features"), lambda v: F.round(v, 6).cast("string"))
-    return model.transform(test).select("id", F.array_join(texts, ",").alias("features"))
+    model, test = fitted(t)
+    cells = vector_to_array("features")
+    out = model.transform(test).select("id", *[cells[i].alias(f"f{i}") for i in range(len(model.feature_names))])
+    return rounded(out.toDF("id", *model.feature_names), 5)
 
 
 @query("train_regressor")
@@ -341,23 +373,6 @@ def _(t):
     return Z.global_importance(t.spark, model.stages[-1], model.stages[0].feature_names)
 
 
-@query("importance_top10")
-def _(t):
-    train, _ = split_tables(t)
-    model = M.train_regressor("LinearRegression", train, "charge", ["id"])
-    return Z.importance_top(Z.global_importance(t.spark, model.stages[-1], model.stages[0].feature_names), 10)
-
-
-@query("cross_validate")
-def _(t):
-    return rounded(M.cross_validate("LinearRegression", training_table(t), "charge", "id", folds=3))
-
-
-@query("grid_search")
-def _(t):
-    return M.grid_search("LinearRegression", training_table(t), "charge", "id", folds=2).ranked
-
-
 @query("save_load_model")
 def _(t):
     train, test = split_tables(t)
@@ -367,14 +382,6 @@ def _(t):
     return again
 
 
-@query("batch_score")
-def _(t):
-    train, test = split_tables(t)
-    model = M.train_regressor("LinearRegression", train, "charge", ["id"])
-    path, version = M.save_model(model, t.spark, scratch(t), "LinearRegression")
-    return rounded(M.batch_score(test, path, "LinearRegression", version))
-
-
 # A label that is an exact linear function, so that what a linear fit must predict is known.
 EXACT_VIEW = (
     with_views("deliveries")
@@ -459,6 +466,88 @@ def _(t):
     return rounded(linear.join(weights, "experiment_id"), 3)
 
 
+@query(
+    "cross_validate",
+    EXACT_VIEW
+    + f"""SELECT 'LinearRegression' AS model_name, {FOLD_SQL} AS fold, count(*) AS rows, 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 1.0::DOUBLE AS r2,
+    0.0::DOUBLE AS mape FROM exact GROUP BY fold""",
+)
+def _(t):
+    train, test = exact_tables(t)
+    return rounded(M.cross_validate("LinearRegression", train.unionByName(test), "charge", "id", folds=5), 4)
+
+
+# Without a constant, a model of centred features predicts the label less its mean among the rows it was fitted to.
+@query(
+    "grid_search",
+    EXACT_VIEW
+    + f""", parts AS (SELECT charge, {FOLD_SQL.replace("% 5", "% 2")} AS fold FROM exact),
+sizes AS (SELECT fold, avg(charge) AS mean FROM parts GROUP BY fold),
+errors AS (SELECT p.fold, avg(abs(s.mean)) AS mae FROM parts p JOIN sizes s ON s.fold <> p.fold GROUP BY p.fold)
+SELECT 'LinearRegression' AS model_name, 1 AS config_rank, '{{"fitIntercept": true}}' AS parameters, 0.0::DOUBLE AS mean_mae
+UNION ALL SELECT 'LinearRegression', 2, '{{"fitIntercept": false}}', round(avg(mae), 4) FROM errors""",
+)
+def _(t):
+    train, test = exact_tables(t)
+    return rounded(M.grid_search("LinearRegression", train.unionByName(test), "charge", "id", folds=2).ranked, 4)
+
+
+@query(
+    "batch_score",
+    EXACT_VIEW
+    + """SELECT id, a, b, charge, round(charge, 4)::DOUBLE AS prediction, 'LinearRegression' AS model_name, 1 AS model_version
+FROM exact WHERE held""",
+)
+def _(t):
+    train, test = exact_tables(t)
+    model = M.train_regressor("LinearRegression", train, "charge", ["id"])
+    path, version = M.save_model(model, t.spark, scratch(t), "LinearRegression")
+    return M.batch_score(test, path, "LinearRegression", version).withColumn("prediction", F.round("prediction", 4))
+
+
+# Twelve features of falling weight: the label is linear in them, and each has its own spread.
+WEIGHED = 12
+
+
+def weighed_table(t):
+    parts = [F.pmod(F.floor(F.col("id") * (i + 3) / F.lit(7)), F.lit(11)).cast("double").alias(f"f{i:02d}") for i in range(WEIGHED)]
+    label = sum((F.col(f"f{i:02d}") * (2.0 ** (WEIGHED - i)) for i in range(WEIGHED)), F.lit(0.0))
+    return t("deliveries").select("id", *parts).withColumn("charge", label)
+
+
+WEIGHED_SQL = (
+    with_views("deliveries")
+    + ", weighed AS (SELECT "
+    + ", ".join(f"floor(id * {i + 3} / 7)::BIGINT % 11 AS f{i:02d}" for i in range(WEIGHED))
+    + " FROM deliveries), weights AS ("
+    + union_sql([f"SELECT 'f{i:02d}' AS feature, {2 ** (WEIGHED - i)} * stddev_pop(f{i:02d}) AS importance FROM weighed" for i in range(WEIGHED)])
+    + ")\n"
+)
+
+
+@query(
+    "importance_top10",
+    WEIGHED_SQL
+    + """SELECT feature, round(importance, 1)::DOUBLE AS importance, row_number() OVER (ORDER BY importance DESC) AS importance_rank,
+    'coefficients' AS method FROM weights QUALIFY importance_rank <= 10""",
+)
+def _(t):
+    model = M.train_regressor("LinearRegression", weighed_table(t), "charge", ["id"])
+    table = Z.global_importance(t.spark, model.stages[-1], model.stages[0].feature_names)
+    return rounded(Z.importance_top(table, 10), 1)
+
+
+@query(
+    "importance_rank",
+    WEIGHED_SQL + f"SELECT feature, 1 AS importance_rank, {WEIGHED} AS features, true AS adds_up FROM weights ORDER BY importance DESC LIMIT 1",
+)
+def _(t):
+    df = weighed_table(t)
+    table = importance_rank(df, [f"f{i:02d}" for i in range(WEIGHED)], "charge", trees=10)
+    total = table.agg(F.count(F.lit(1)).cast("int").alias("features"), (F.round(F.sum("importance"), 6) == 1).alias("adds_up"))
+    return table.where("importance_rank = 1").select("feature", "importance_rank").crossJoin(F.broadcast(total))  # one row each
+
+
 BETTER = EXACT_VIEW + "SELECT count(*) AS rows, true AS better_than_mean, true AS finite FROM exact WHERE held"
 
 
