@@ -95,22 +95,31 @@ def fill_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return row
 
 
-def apply_fill(df: DataFrame, column: str, value: Column) -> DataFrame:
+def apply_fill(df: DataFrame, column: str, value) -> DataFrame:
+    """Nulls of a column replaced by a plain value.
+
+    Integers stay exact integers where there is nothing to fill or the value is
+    whole; a fractional value makes the column double.
+    """
     dtype = ty.dtype_of(df, column)
     present = F.when(~is_null(df, column), F.col(column))
-    if ty.is_integral(dtype):  # a median may be fractional
-        return df.withColumn(column, F.coalesce(present.cast("double"), value))
+    if ty.is_integral(dtype) and isinstance(value, float):
+        if value.is_integer():
+            return df.withColumn(column, F.coalesce(present, F.lit(int(value)).cast(dtype)))
+        if df.where(is_null(df, column)).isEmpty():
+            return df
+        return df.withColumn(column, F.coalesce(present.cast("double"), F.lit(value)))
     if isinstance(dtype, (T.StringType, T.BooleanType)) or ty.is_numeric(dtype):
-        return df.withColumn(column, F.coalesce(present, value.cast(dtype)))
-    return df.withColumn(column, F.coalesce(present, value.try_cast(dtype)))
+        return df.withColumn(column, F.coalesce(present, F.lit(value).cast(dtype)))
+    return df.withColumn(column, F.coalesce(present, F.lit(value).try_cast(dtype)))
 
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill nulls: numbers by the median, text and booleans by the most frequent value."""
-    filled = _with_row(df, fill_values(df, columns))
+    """Fill nulls: numbers by the median, text and booleans by the most frequent value. Columns without nulls stay as they are."""
+    row = fill_values(df, columns).first()
     for c in columns:
-        filled = apply_fill(filled, c, F.col(f"fill_{c}"))
-    return filled.select(*df.columns)
+        df = apply_fill(df, c, row[f"fill_{c}"])
+    return df
 
 
 # ---------------------------------------------------------------------- types

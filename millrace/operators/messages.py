@@ -55,6 +55,8 @@ INTENTS = {
 }
 DEFAULT_INTENT = "general_chat"
 WHOLE_WORDS = {"predict"}
+#: Letters of a one-word trigger that may also stand in the plural; with fewer, another word would arise ("his" from "hi").
+PLURAL_FROM = 4
 LOW = "__lower"
 
 
@@ -68,7 +70,8 @@ def _contains_any(text: Column, phrases: list[str]) -> Column:
 
 
 def _whole_word(text: Column, words: list[str]) -> Column:
-    return text.rlike(r"\b(" + "|".join(re.escape(w) for w in words) + r")\b")
+    ends = ["" if len(w) < PLURAL_FROM or w in WHOLE_WORDS else "s?" for w in words]
+    return text.rlike(r"\b(" + "|".join(re.escape(w) + end for w, end in zip(words, ends, strict=True)) + r")\b")
 
 
 def intent_tags(df: DataFrame, text: str) -> DataFrame:
@@ -86,7 +89,8 @@ def intent_tags(df: DataFrame, text: str) -> DataFrame:
 def intent_first(df: DataFrame, text: str, whole_words: bool = True) -> DataFrame:
     """Add ``intent``: the first matching intent.
 
-    One-word triggers match whole words, so that "which" is no greeting;
+    One-word triggers match whole words, also in the plural but for short ones
+    and "predict", so that neither "which" nor "his" is a greeting;
     ``whole_words=False`` matches them anywhere, except the bare "predict".
     """
     low, chain = F.col(LOW), F

@@ -179,7 +179,7 @@ class _TableRun:
             return self._count()
         if verb == "IMPUTE" and column:
             value = self.fills.pop(column) if column in self.fills else clean.fill_values(df, [column]).first()[0]
-            self.df = clean.apply_fill(df, column, F.lit(value))
+            self.df = clean.apply_fill(df, column, value)
         elif verb == "FIX_DATATYPE" and column:
             self.df = clean.fix_datatype(df, column, details.get("target_dtype", "string"))
         elif verb == "STANDARDIZE_TIMESTAMP" and column:

@@ -275,7 +275,8 @@ def _intent_sql(whole: bool) -> str:
     for intent, phrases in M.INTENTS.items():
         single = [p for p in phrases if (" " not in p if whole else p in M.WHOLE_WORDS)]
         rest = [p for p in phrases if p not in single]
-        tests = [f"regexp_matches(lower(text), '\\b({'|'.join(single)})\\b')"] if single else []
+        plural = [p + ("s?" if whole and len(p) > 3 and p != "predict" else "") for p in single]
+        tests = [f"regexp_matches(lower(text), '\\b({'|'.join(plural)})\\b')"] if single else []
         tests += [_contains(rest)] if rest else []
         cases.append(f"WHEN {' OR '.join(tests)} THEN '{intent}'")
     return f"CASE {' '.join(cases)} ELSE 'general_chat' END"
@@ -286,6 +287,48 @@ def _(t):
     return M.intent_first(t("conversations"), "text").select("conv_id", "turn", "intent")
 
 
+# Messages with the intent and the tags that a reader gives them; each row of the conversations says one of them.
+SAID = [
+    ("Please stop", "cancel", "health"),
+    ("Good morning to you", "greeting", "health"),
+    ("Hello, which model is live?", "greeting", "registry"),
+    ("What can you do?", "help", "health"),
+    ("List the commands", "help", "health"),
+    ("Explain the last one", "explain_prediction", "explainability"),
+    ("What drove it?", "explain_prediction", "health"),
+    ("Predict for me", "predict", "prediction"),
+    ("Estimate ETA now", "predict", "health"),
+    ("Two predictions of mine", "general_chat", "prediction"),
+    ("Which features count?", "feature_importance", "dataset"),
+    ("Show shap", "feature_importance", "health"),
+    ("Show me the models", "model_info", "registry"),
+    ("Compare both", "model_info", "registry"),
+    ("What about performance", "model_info", "health"),
+    ("List all datasets", "dataset_info", "dataset"),
+    ("How many records are there", "dataset_info", "dataset"),
+    ("Any drift lately?", "general_chat", "drift"),
+    ("His shipments were late", "general_chat", "health"),
+    ("Latency today", "general_chat", "monitoring"),
+    ("Who trained it", "general_chat", "training"),
+    ("System health", "general_chat", "health"),
+    ("Why is the confidence low", "explain_prediction", "explainability"),
+    ("The weather is fine", "general_chat", "health"),
+]
+
+
+@query(
+    "intent_first_said",
+    "WITH said(k, message, intent, tags) AS (VALUES "
+    + ", ".join(f"({k}, '{m}', '{i}', '{g}')" for k, (m, i, g) in enumerate(SAID))
+    + f") SELECT conv_id, turn, message, intent, tags FROM conversations JOIN said ON (conv_id * 31 + turn) % {len(SAID)} = k",
+)
+def _(t):
+    message = F.element_at(F.array(*[F.lit(m) for m, _, _ in SAID]), (F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(len(SAID))) + 1).cast("int"))
+    rows = t("conversations").select("conv_id", "turn", message.alias("message"))
+    tagged = M.intent_first(M.intent_tags(rows, "message"), "message")
+    return tagged.withColumn("tags", F.array_join("tags", ","))
+
+
 @query("intent_first_anywhere", f"SELECT conv_id, turn, {_intent_sql(False)} AS intent FROM conversations")
 def _(t):
     return M.intent_first(t("conversations"), "text", False).select("conv_id", "turn", "intent")

@@ -98,14 +98,21 @@ def _(t):
     return shown(R.latest_runs(runs, "created_at", "event_id"))
 
 
+# Families of six events each with up to three versions.
+FAMILIES = """SELECT event_id AS seq, concat('F', CAST(event_id - event_id % 6 AS STRING)) AS model_name, CAST(event_id % 4 AS BIGINT) AS version,
+    CASE WHEN event_id % 5 < 3 THEN 'register' WHEN event_id % 5 = 3 THEN 'promote' ELSE 'archive' END AS event,
+    CASE WHEN event_id % 5 < 3 THEN 'Staging' END AS status, ts AS created_at, value AS mae FROM {events}"""
+
+
 @query(
     "latest_per_family",
-    WITH_STATE
-    + f"""SELECT {SHOWN}, versions FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS rn,
-       count(*) OVER (PARTITION BY model_name) AS versions FROM state WHERE mae > 70) WHERE rn = 1 AND versions <= 2""",
+    f"""WITH registry_events AS ({FAMILIES.replace("{events}", "events")}), {STATE}
+SELECT {SHOWN}, versions FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS rn,
+    count(*) OVER (PARTITION BY model_name) AS versions FROM state) WHERE rn = 1 AND versions <= 2""",
 )
 def _(t):
-    return shown(R.latest_per_family(state(t).where("mae > 70")))
+    events = t.spark.sql(FAMILIES, events=t("events"))
+    return shown(R.latest_per_family(R.registry_state(events)))
 
 
 @query(

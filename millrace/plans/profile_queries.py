@@ -140,10 +140,10 @@ def _sample_sql(dataset: str, column: str) -> str:
 
 @query(
     "sample_values",
-    union_sql([_sample_sql("orders", c) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")]),
+    union_sql([_sample_sql("orders", c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]),
 )
 def _(t):
-    return P.sample_values(t("orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    return P.sample_values(t("orders"))
 
 
 @query(
@@ -183,7 +183,14 @@ def _(t):
     return profile_of(t).where("is_boolean").select("dataset", "column")
 
 
-TEXT_COLUMNS = [("documents", "text"), ("documents", "lang"), ("pages", "html"), ("conversations", "role"), ("benchmark", "text")]
+# Every text column of the given tables.
+TEXT_COLUMNS = [
+    ("region", "r_name"), ("nation", "n_name"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("supplier", "s_name"),
+    ("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority"),
+    ("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"), ("events", "event_type"), ("events", "props"),
+    ("documents", "text"), ("documents", "lang"), ("documents", "source"), ("pages", "url"), ("pages", "html"),
+    ("benchmark", "text"), ("conversations", "role"), ("conversations", "text"),
+]
 
 
 @query(

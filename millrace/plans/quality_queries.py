@@ -8,6 +8,7 @@ from millrace.operators import checks as C
 from millrace.operators import scoring as S
 from millrace.functions import values as V
 from millrace.functions.names import DATETIME_VALUES
+from millrace.operators.rows import union_all
 from millrace.plans.catalog import query, rounded, union_sql
 from millrace.plans.tables import BASE, with_views
 from millrace.sources import files, sinks
@@ -115,13 +116,21 @@ def _(t):
     return files.scan_discover(t.spark, t.folder, "*.parquet").drop("bytes")
 
 
+# Columns of every given file.
+WIDTHS = {
+    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
+    "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+}
+
+
 @query(
     "scan_inventory",
-    "SELECT 'lineitem.parquet' AS file, count(*) AS rows, 11 AS columns, count(*) > 10000 AS larger_than_sample FROM lineitem",
+    union_sql(
+        [f"SELECT '{n}.parquet' AS file, count(*) AS rows, {w} AS columns, count(*) > 10000 AS larger_than_sample FROM {n}" for n, w in WIDTHS.items()]
+    ),
 )
 def _(t):
-    raw = t.spark.read.parquet(f"{t.folder}/lineitem.parquet")
-    return files.scan_inventory(raw).drop("bytes")
+    return union_all([files.scan_inventory(t.spark.read.parquet(f"{t.folder}/{n}.parquet")) for n in WIDTHS]).drop("bytes")
 
 
 @query("row_count", "SELECT 'lineitem' AS dataset, count(*) AS row_count FROM lineitem")
@@ -247,25 +256,24 @@ def _(t):
     return C.single_check(t("dirty_orders"), ORDERS, "schema")
 
 
-@query(
-    "detect_datetime_column",
-    DIRTY
-    + """
-SELECT 'order_time' AS "column", true AS named,
-       round(count(*) FILTER (WHERE %s) / count(order_time), 6) AS shaped_share,
-       round(count(%s) / count(order_time), 6) AS parsed_share,
-       count(%s) / count(order_time) >= 0.8 AS is_datetime
+DIRTY_TEXTS = ["order_status", "promo_code", "order_time", "is_gift", "weight"]
+
+
+def _datetime_sql(c: str) -> str:
+    shaped = " OR ".join(f"regexp_matches(trim({c}), '{p}')" for p in DATETIME_VALUES)
+    parsed, named = parsed_sql(c), c == "order_time"
+    enough = "true" if named else f"count(*) FILTER (WHERE {shaped}) / count({c}) >= 0.8"
+    return f"""
+SELECT '{c}' AS "column", {str(named).lower()} AS named, round(count(*) FILTER (WHERE {shaped}) / count({c}), 6) AS shaped_share,
+       round(count({parsed}) / count({c}), 6) AS parsed_share, {enough} AND count({parsed}) / count({c}) >= 0.8 AS is_datetime
 FROM dirty_orders"""
-    % (
-        " OR ".join(f"regexp_matches(trim(order_time), '{p}')" for p in DATETIME_VALUES),
-        parsed_sql("order_time"),
-        parsed_sql("order_time"),
-    ),
-)
+
+
+@query("detect_datetime_column", DIRTY + union_sql([_datetime_sql(c) for c in DIRTY_TEXTS]))
 def _(t):
     from millrace.operators.profile import detect_datetime_columns
 
-    return rounded(detect_datetime_columns(t("dirty_orders"), ["order_time"]))
+    return rounded(detect_datetime_columns(t("dirty_orders"), DIRTY_TEXTS))
 
 
 # --------------------------------------------------------------------- checks

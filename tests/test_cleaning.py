@@ -30,6 +30,15 @@ def test_impute(spark):
     assert tuple(got) == (15.0, "apple", True, 1.5)
 
 
+def test_impute_keeps_whole_numbers(spark):
+    """Keys beyond 2**53 without nulls, a whole median, a fractional one and a column of nulls."""
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 1, 1, None), (big + 2, 3, 2, None), (big + 4, None, None, None)], "k long, w int, f long, n int")
+    got = K.impute(df, ["k", "w", "f", "n"])
+    assert [d for _, d in got.dtypes] == ["bigint", "int", "double", "int"]
+    assert rows(got, "k") == [(big, 1, 1.0, 0), (big + 2, 3, 2.0, 0), (big + 4, 2, 1.5, 0)]
+
+
 def test_impute_ties_and_empty(spark):
     tied = spark.createDataFrame([("b",), ("a",), (None,)], "t string")
     assert {r[0] for r in K.impute(tied, ["t"]).collect()} == {"a", "b"}

@@ -178,6 +178,9 @@ def test_exploration_edges(spark):
         ("which model", ["registry"], "model_info"),
         ("never mind", ["health"], "cancel"),
         ("Hi there", ["health"], "greeting"),
+        ("show me the models", ["registry"], "model_info"),
+        ("list all datasets", ["dataset"], "dataset_info"),
+        ("his shipment", ["health"], "general_chat"),
     ],
 )
 def test_messages(spark, message, tags, first):
