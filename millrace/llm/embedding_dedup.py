@@ -1,16 +1,23 @@
-"""Near-duplicate vectors by sorted passes over random trees of the vectors' own sample.
-
-Equal vectors are one. Each pass routes a vector down a tree of centres, drawn
-from the vectors, to the nearest centre at every level, so dense parts of the
-space are cut as finely as they are full. All vectors are sorted by their leaf
-and compared by cosine within blocks of that order. The number of passes is the
-one after which neighbours planted at the threshold beside sampled vectors have
-met. Every component of the links is then compared whole, so links within it
-are complete.
+"""Near-duplicate vectors by sorted passes over concatenated random hashes.
+
+Equal vectors are one. A hash of a vector is the number of the nearest of up
+to 256 vectors drawn at random, then, inside that cell, the nearest of those
+drawn there, and so on, so dense parts of the space are cut as finely as they
+are full; signs of random projections follow. Each pass orders all vectors
+lexicographically by such hashes of its own and compares neighbours of the
+order by cosine, across all borders. One vector in four has a neighbour
+planted at the threshold, which only takes a place in the order. After a few
+passes over all vectors, the ranges of the order where too many planted
+neighbours were not met are hashed again, with centres drawn from them alone,
+until no range is left. Every component of the links is then compared whole,
+so links within it are complete.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,23 +29,30 @@ from millrace.llm.components import components
 from millrace.llm.minhash_dedup import _groups
 from millrace.llm.token_counts import sql
 
-#: Vectors in a block of the order, and blocks that a leaf should fill: the fourth part of one.
+#: Vectors that a window of the order compares; it moves by half of them. Windows that are sent together.
 BLOCK = 512
+RUN = 8
+#: Leaves that should fill a block, and how many times the centres of a pass are drawn: other passes use others.
 LEAVES_A_BLOCK = 4
-#: Centres beside which a node of a tree chooses, and centres in a tree at most.
-FAN = 64
+DRAWN = 4
+#: Centres beside which a node of a tree chooses, and centres drawn at most, in number and in bytes of the broadcast.
+FAN = 256
 MOST_CENTRES = 1 << 16
-#: Vectors beside which neighbours are planted, and the part of these that may be missed.
-PROBES = 512
+MOST_CENTRE_BYTES = 32 << 20
+#: Neighbouring vectors of the first order that are judged together, and the part of them beside which a neighbour is planted.
+RANGE = 512
+PLANTED = 4
+#: Part of a range's planted neighbours that may be left unmet.
 MISSED = 0.02
-#: Passes at most; beyond these, neighbours in data too dense for so many may be missed.
-MOST_PASSES = 256
+#: Passes over all vectors before the ranges are judged.
+PASSES = 4
 #: Bits of the offset from the leaf's centre that order a leaf.
 BITS = 32
 
 VECTORS = pa.schema([("id", pa.int64()), ("v", pa.binary())])
-KEYS = pa.schema([("pass", pa.int64()), ("key", pa.binary()), ("id", pa.int64())])
-RANKS = pa.schema([("pass", pa.int64()), ("id", pa.int64()), ("part", pa.int64()), ("at", pa.int64())])
+#: Roles: 0 a vector, 1 a vector beside which one is planted, 2 the planted one, under the id of the former.
+KEYS = pa.schema([("pass", pa.int64()), ("key", pa.binary()), ("id", pa.int64()), ("role", pa.int64())])
+RANKS = pa.schema([(c, pa.int64()) for c in ("pass", "id", "role", "part", "at")])
 FOUND = pa.schema([("id", pa.int64()), ("least", pa.int64())])
 EXACT = pa.schema([("id", pa.int64()), ("links", pa.int64())])
 
@@ -70,6 +84,7 @@ class Tree:
     def __init__(self, centres: np.ndarray, order: np.ndarray):
         self.members: list[np.ndarray] = []  # centres of a node
         self.below: list[np.ndarray] = []  # by centre, the node below, or -1 - leaf
+        self.cell: np.ndarray = np.zeros(len(centres), np.int64)  # by centre, the last node above it with many centres
         self.leaves = 0
         self.root = self._grow(centres, order)
 
@@ -82,6 +97,8 @@ class Tree:
         node = len(self.members)
         self.members.append(chosen)
         self.below.append(np.zeros(len(chosen), np.int64))
+        if len(held) >= FAN // 8:
+            self.cell[held] = node
         for k in range(len(chosen)):
             self.below[node][k] = self._grow(centres, held[near == k])
         return node
@@ -112,54 +129,58 @@ def _place(tree: Tree, centres: np.ndarray, m: np.ndarray, planes: np.ndarray) -
     return leaf, (offset @ planes) > 0
 
 
-def plan_passes(sample: np.ndarray, rows: int, threshold: float, seed: int) -> tuple[np.ndarray, list[Tree]]:
-    """Centres and a tree for each of as many passes as ``rows`` vectors, of which the sample is drawn, need.
+def plant(m: np.ndarray, ids: np.ndarray, tree: Tree, centres: np.ndarray, threshold: float, seed: int) -> np.ndarray:
+    """A neighbour of each row whose cosine is the threshold.
 
-    A sampled vector that is no centre and a neighbour of it at the threshold
-    meet in a pass when they share a leaf, and as many signs as cut the leaf to
-    a part of a block. Passes are added until at most ``MISSED`` of such pairs
-    are expected not to have met.
+    It lies halfway between a direction drawn at random and that of a centre
+    drawn from the row's cell, so that it stays as deep in a dense group as the
+    row itself. Both draws depend on the row's id only.
     """
-    rng = np.random.default_rng((seed, sample.shape[1]))
-    size = max(1, BLOCK // LEAVES_A_BLOCK)
-    x, rest = np.split(sample[rng.permutation(len(sample))], [min(PROBES, len(sample) // 2)])
-    centres = rest.astype(np.float32)
-    n = min(len(centres), max(1, rows // size))
-    trees: list[Tree] = []
-    if rows <= BLOCK or not len(x):
-        return centres, [Tree(centres, np.arange(len(centres))[:n])]
-    side = rng.standard_normal(x.shape)
-    side -= (side * x).sum(axis=1)[:, None] * x
-    side /= np.maximum(np.sqrt((side * side).sum(axis=1)), 1e-300)[:, None]
-    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * side
-    x, y = x.astype(np.float32), y.astype(np.float32)
-    bits = min(BITS, max(0, int(np.ceil(np.log2(rows / n / size)))))
-    apart = 1 / (2 * LEAVES_A_BLOCK)  # the end of a block cuts a leaf
-    missed = np.ones(len(x))
-    while missed.mean() > MISSED and len(trees) < MOST_PASSES:
-        tree = Tree(centres, rng.permutation(len(centres))[:n])
-        planes = _planes(seed, len(trees), x.shape[1])
-        (a, s), (b, t) = _place(tree, centres, x, planes), _place(tree, centres, y, planes)
-        missed[(a == b) & (s[:, :bits] == t[:, :bits]).all(axis=1)] *= apart
-        trees.append(tree)
-    return centres, trees
-
-
-def _keys(plans, seed: int):
+    side, to = np.empty_like(m), np.zeros_like(m)
+    last = tree.route(centres, m.astype(np.float32))[1]
+    for k, i in enumerate(ids.tolist()):
+        rng = np.random.default_rng((seed, i & (2**64 - 1)))
+        side[k] = rng.standard_normal(m.shape[1])
+        if last[k] >= 0:
+            near = tree.members[tree.cell[last[k]]]
+            to[k] = centres[near[rng.integers(len(near))]]
+    total = np.zeros_like(m)
+    for way in (side, to):
+        way -= (way * m).sum(axis=1)[:, None] * m
+        size = np.sqrt((way * way).sum(axis=1))[:, None]
+        total += np.where(size > 1e-6, way / np.maximum(size, 1e-300), 0)
+    total /= np.maximum(np.sqrt((total * total).sum(axis=1)), 1e-300)[:, None]
+    return threshold * m + math.sqrt(max(0.0, 1 - threshold**2)) * total
+
+
+def _trees(centres: np.ndarray, passes: range, seed: int) -> list[Tree]:
+    some = -(-len(centres) // DRAWN)
+    return [Tree(centres, np.random.default_rng((seed, p, 1)).permutation(len(centres))[:some]) for p in passes]
+
+
+def _keys(drawn, passes: range, threshold: float, seed: int):
     def run(batches):
+        trees: dict[int, list[Tree]] = {}
         for batch in batches:
             vectors = batch.column("v").to_pylist()
-            ids = batch.column("id").to_numpy()
+            ids, role = batch.column("id").to_numpy(), batch.column("role").to_numpy()
             for width, rows in _by_width(vectors).items():
-                m = np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(len(rows), -1).astype(np.float32)
-                centres, trees = plans.value[width // 8]
-                for p, tree in enumerate(trees):
+                m = np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(len(rows), -1)
+                own, kind = ids[rows], role[rows]
+                centres = drawn.value[width]
+                if width not in trees:
+                    trees[width] = _trees(centres, passes, seed)
+                if (beside := kind == 1).any():
+                    m = np.concatenate((m, plant(m[beside], own[beside], trees[width][0], centres, threshold, seed)))
+                    own, kind = np.concatenate((own, own[beside])), np.concatenate((kind, np.full(beside.sum(), 2)))
+                m = m.astype(np.float32)
+                for p, tree in zip(passes, trees[width], strict=True):
                     leaf, signs = _place(tree, centres, m, _planes(seed, p, m.shape[1]))
                     bits = np.packbits(signs, axis=1)
                     # The width leads, so that only vectors of one length are neighbours.
                     lead = width.to_bytes(4, "big")
                     keys = [lead + x.tobytes() + y.tobytes() for x, y in zip(leaf.astype(">u4"), bits, strict=True)]
-                    yield batch_of(KEYS, np.full(len(rows), p), keys, ids[rows])
+                    yield batch_of(KEYS, np.full(len(own), p), keys, own, kind)
 
     return run
 
@@ -174,7 +195,7 @@ def _ranks(batches):
             rows = np.flatnonzero(passes == p)
             at[rows] = seen.get(p, 0) + np.arange(len(rows))
             seen[p] = seen.get(p, 0) + len(rows)
-        yield batch_of(RANKS, batch.column("pass"), batch.column("id"), np.full(len(passes), part), at)
+        yield batch_of(RANKS, batch.column("pass"), batch.column("id"), batch.column("role"), np.full(len(passes), part), at)
 
 
 def _by_width(vectors: list[bytes]) -> dict[int, np.ndarray]:
@@ -184,9 +205,9 @@ def _by_width(vectors: list[bytes]) -> dict[int, np.ndarray]:
 
 def _blocks(threshold: float):
     def run(batches):
-        """Links of each block, as the smallest id that they reach from each id."""
+        """Links of each half of a window with itself and the half that follows, as the least id reached from each id."""
         for table in _groups(batches):
-            g, ids = table.column("g").to_numpy(), table.column("id").to_numpy()
+            g, ids, half = (table.column(c).to_numpy() for c in ("g", "id", "half"))
             vectors = table.column("v").to_pylist()
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1, [len(g)]))
             out = []
@@ -194,9 +215,13 @@ def _blocks(threshold: float):
                 for rows in _by_width(vectors[a:b]).values():
                     rows = a + rows
                     m = np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(len(rows), -1)
-                    p, q = np.nonzero(np.triu(m @ m.T >= threshold, 1))
-                    if len(p):
-                        out.append(_reach(ids[rows[p]], ids[rows[q]]))
+                    h = half[rows]
+                    ends = [*(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
+                    for x, y, z in zip([0, *ends], ends, [*ends[1:], len(h)], strict=False):
+                        z = z if z > y and h[y] == h[x] + 1 else y
+                        p, q = np.nonzero(np.triu(m[x:y] @ m[x:z].T >= threshold, 1))
+                        if len(p):
+                            out.append(_reach(ids[rows[x + p]], ids[rows[x + q]]))
             if out:
                 yield _batch(FOUND, out)
 
@@ -249,6 +274,101 @@ def _whole(threshold: float):
     return run
 
 
+def _drawn(active: DataFrame, seed: int) -> dict[int, np.ndarray]:
+    """Centres by bytes of a vector: at most ``MOST_CENTRES`` of each length and ``MOST_CENTRE_BYTES`` go to the driver."""
+    width = F.expr("octet_length(v)")
+    sizes = sorted(tuple(r) for r in active.groupBy(width).agg(F.count("*")).collect())  # a row per length
+    out = {}
+    for size, n in sizes:
+        room = max(1, MOST_CENTRE_BYTES // len(sizes) // size)
+        wanted = max(1, min(MOST_CENTRES, room, DRAWN * n * LEAVES_A_BLOCK // BLOCK))
+        some = active.where((width == size) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(-(-n // wanted))) == 0))
+        raw = [bytes(r.v) for r in some.select("id", "v").sort("id").collect()]
+        out[size] = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), size // 8).astype(np.float32)
+    return out
+
+
+def _ordered(active: DataFrame, passes: range, threshold: float, seed: int, parts: int) -> DataFrame:
+    """(pass, id, role, place): the places of vectors and planted neighbours in the order of each pass."""
+    spark = active.sparkSession
+    drawn = spark.sparkContext.broadcast(_drawn(active, seed + passes.start))
+    keys = active.select("id", "v", "role").mapInArrow(_keys(drawn, passes, threshold, seed), sql(KEYS))
+    keys = keys.withColumn("tie", F.xxhash64("pass", "id", "role"))
+    ordered = keys.repartitionByRange(parts, "pass", "key", "tie").sortWithinPartitions("pass", "key", "tie").drop("tie")
+    places = stored(ordered.select("pass", "id", "role").mapInArrow(_ranks, sql(RANKS)))
+    # One row per partition and pass goes to the driver, to number the places through.
+    totals = sorted(tuple(r) for r in places.groupBy("pass", "part").agg(F.count("*")).collect())
+    offsets, last, run = [], None, 0
+    for p, part, n in totals:
+        run = 0 if p != last else run
+        offsets.append((p, part, run))
+        last, run = p, run + n
+    before = spark.createDataFrame(offsets, "`pass` long, part long, before long")
+    return places.join(before, ["pass", "part"]).select("pass", "id", "role", (F.col("before") + F.col("at")).alias("place"))
+
+
+def _half(place):
+    return F.floor(place / max(1, BLOCK // 2))
+
+
+def _met_in_windows(ranked: DataFrame, single: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Links between neighbours of the orders. The first half after a run of windows is sent to both runs."""
+    real = ranked.where("role < 2").withColumn("half", _half(F.col("place")))
+    runs = F.array_distinct(F.array(F.floor(F.col("half") / RUN), F.floor((F.greatest("half", F.lit(1)) - 1) / RUN)))
+    dealt = real.withColumn("run", F.explode(runs)).withColumn("g", F.xxhash64("pass", "run"))
+    dealt = dealt.select("id", "g", "half", "place").join(single.select("id", "v"), "id")
+    dealt = dealt.repartition(parts, "g").sortWithinPartitions("g", "place")
+    return stored(dealt.select("g", "id", "half", "v").mapInArrow(_blocks(threshold), sql(FOUND)))
+
+
+def _met_whole(active: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
+    """Links among all of ``n`` vectors, by pairs of blocks."""
+    cuts = -(-n // max(1, BLOCK // 2))
+    own = F.pmod(F.xxhash64("id"), F.lit(cuts))
+    pairs = active.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).select(
+        F.xxhash64(F.least(own, "other"), F.greatest(own, "other")).alias("g"), "id", F.lit(0).cast("long").alias("half"), "v"
+    )
+    pairs = pairs.repartition(parts, "g").sortWithinPartitions("g")
+    return stored(pairs.mapInArrow(_blocks(threshold), sql(FOUND)))
+
+
+def _links(single: DataFrame, threshold: float, seed: int, parts: int) -> list[DataFrame]:
+    """Stored tables of links. The driver sees a few rows a round."""
+    beside = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit("planted")), F.lit(PLANTED)) == 0).cast("long")
+    spark = single.sparkSession
+    active = single.select("id", "v", beside.alias("role"))
+    n = active.count()
+    found, done, count, home, unmet = [], 0, PASSES if n > BLOCK else 1, None, None
+    while n:
+        ranked = _ordered(active, range(done, done + count), threshold, seed, parts)
+        found.append(_met_in_windows(ranked, single, threshold, parts))
+        if home is None:
+            place = F.floor(F.col("place") / RANGE)
+            home = stored(ranked.where("pass = 0 AND role < 2").select("id", "role", place.alias("range")))
+            unmet = stored(home.where("role = 1").select("id", "range"))
+        half = _half(F.col("place"))
+        near = ranked.where("role > 0").groupBy("pass", "id").agg((F.max(half) - F.min(half)).alias("apart"))
+        was, unmet = unmet, stored(unmet.join(near.where("apart <= 1").select("id").distinct(), "id", "left_anti"))
+        for table in (ranked, was, *([active] if done else [])):
+            drop_stored(spark, table)
+        done += count
+        planted = home.where("role = 1").groupBy("range").agg(F.count("*").alias("planted"))
+        left = unmet.groupBy("range").agg(F.count("*").alias("unmet")).join(planted, "range")
+        poor = stored(left.withColumn("share", F.col("unmet") / F.col("planted")).where(F.col("share") > MISSED))
+        again = stored(home.join(poor.select("range"), "range").select("id", "role"))
+        n, worst = again.count(), poor.agg(F.max("share")).first()[0]
+        if not n:
+            break
+        active = stored(single.select("id", "v").join(again, "id"))
+        if done * BLOCK >= n:  # the passes have cost as much as all pairs of what is left
+            found.append(_met_whole(active, n, threshold, parts))
+            break
+        # As many passes more as bring the poorest range to the mark, and at most as many as were made.
+        needed = done * math.log(MISSED) / math.log(worst) - done if worst < 1 else done
+        count = max(2, min(done, math.ceil(needed)))
+    return found
+
+
 def near_vectors(
     df: DataFrame,
     vector: str = "embedding",
@@ -273,35 +393,11 @@ def near_vectors(
     vectors = stored(vectors.where(F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v")))
     same = vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w"))
     single = stored(same.select("id", "v", "w"))
-    # The driver sees a row per length of vectors, and the sample.
-    width = F.expr("octet_length(v)")
-    plans = {}
-    for size, n in sorted(tuple(r) for r in single.groupBy(width).agg(F.count("*")).collect()):
-        wanted = 2 * PROBES + min(MOST_CENTRES, n * LEAVES_A_BLOCK // BLOCK)
-        drawn = single.where((width == size) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n // wanted))) == 0))
-        raw = [bytes(r.v) for r in drawn.select("id", "v").sort("id").collect()]
-        sample = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), size // 8)
-        plans[size // 8] = plan_passes(sample, n, threshold, seed)
-    plans = spark.sparkContext.broadcast(plans)
-    keys = single.select("id", "v").mapInArrow(_keys(plans, seed), sql(KEYS)).withColumn("tie", F.xxhash64("pass", "id"))
-    ordered = keys.repartitionByRange(parts, "pass", "key", "tie").sortWithinPartitions("pass", "key", "tie").drop("tie")
-    places = stored(ordered.mapInArrow(_ranks, sql(RANKS)))
-    # One row per partition and pass goes to the driver, to number the places through.
-    totals = sorted(tuple(r) for r in places.groupBy("pass", "part").agg(F.count("*")).collect())
-    offsets, last, run = [], None, 0
-    for p, part, n in totals:
-        run = 0 if p != last else run
-        offsets.append((p, part, run))
-        last, run = p, run + n
-    before = spark.createDataFrame(offsets, "`pass` long, part long, before long")
-    ranked = places.join(before, ["pass", "part"])
-    block = F.floor((F.col("before") + F.col("at")) / BLOCK)
-    dealt = ranked.select("id", F.xxhash64("pass", block).alias("g")).join(single.select("id", "v"), "id")
-    dealt = dealt.repartition(parts, "g").sortWithinPartitions("g")
-    found = stored(dealt.mapInArrow(_blocks(threshold), sql(FOUND)))
-    drop_stored(spark, places)
-    labels = stored(components(found.select(F.col("id").alias("a"), F.col("least").alias("b"))))
-    drop_stored(spark, found)
+    found = _links(single, threshold, seed, parts)
+    links = functools.reduce(DataFrame.unionAll, found, spark.createDataFrame([], sql(FOUND)))
+    labels = stored(components(links.select(F.col("id").alias("a"), F.col("least").alias("b"))))
+    for table in found:
+        drop_stored(spark, table)
     sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
     large = labels.join(sizes, "component").join(single, "id")
     cuts = F.ceil(F.col("n") / BLOCK).cast("int")

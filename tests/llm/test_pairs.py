@@ -147,6 +147,29 @@ def test_vectors_of_a_hot_cone(spark, monkeypatch):
     assert sum(links for links, _ in got.values()) >= 0.95 * 6000
 
 
+def test_vectors_of_a_small_cone_among_many(spark, monkeypatch):
+    """A dense group of a fourteenth of the rows keeps its links, though most rows have none."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    m = np.concatenate((hot_cone(600), rng.standard_normal((8000, 64))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert all(got[i] in ((0, i), (1, i - i % 2)) for i in range(600)) and all(got[i] == (0, i) for i in range(600, 8600))
+    assert sum(links for links, _ in got.values()) >= 0.9 * 600
+
+
+def test_neighbours_across_a_border_of_windows_meet(spark, monkeypatch):
+    """Every pair less than half a window apart in an order is compared, wherever runs of windows end."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    turn = np.arange(200) * 0.02
+    single = spark.createDataFrame([(i, np.array([np.cos(a), np.sin(a)]).tobytes()) for i, a in enumerate(turn)], "id long, v binary")
+    ranked = single.selectExpr("0L AS pass", "id", "0L AS role", "id AS place")
+    found = embedding_dedup._met_in_windows(ranked, single, np.cos(0.021), 5)
+    assert {(r.id, r.least) for r in found.collect()} >= {(i, i) for i in range(0, 200, 2)}
+    linked = embedding_dedup.components(found.selectExpr("id AS a", "least AS b")).collect()
+    assert {r.component for r in linked} == {0} and len(linked) == 200
+
+
 def test_copies_of_vectors_count_as_links(spark):
     rows = [(i, [3.0, 4.0] if i < 700 else [3.0, 4.1] if i < 705 else [-1.0, i + 0.0]) for i in range(710)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
