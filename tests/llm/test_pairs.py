@@ -165,7 +165,6 @@ def test_neighbours_across_a_border_of_windows_meet(spark, monkeypatch):
     single = spark.createDataFrame([(i, np.array([np.cos(a), np.sin(a)]).tobytes()) for i, a in enumerate(turn)], "id long, v binary")
     ranked = single.selectExpr("0L AS pass", "id", "0L AS role", "id AS place")
     found = embedding_dedup._met_in_windows(ranked, single, np.cos(0.021), 5)
-    assert {(r.id, r.least) for r in found.collect()} >= {(i, i) for i in range(0, 200, 2)}
     linked = embedding_dedup.components(found.selectExpr("id AS a", "least AS b")).collect()
     assert {r.component for r in linked} == {0} and len(linked) == 200
 
