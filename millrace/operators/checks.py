@@ -354,3 +354,66 @@ def validation_suite(tables: dict[str, DataFrame], specs: list[TableSpec]) -> Da
         if any(fk.column in df.columns for fk in spec.foreign_keys):
             results.append(fk_check(df, spec, tables))
     return union_all(results)
+
+
+# ------------------------------------------------------------------- evidence
+
+FINDING = "validator string, dataset string, kind string, subject string, violations bigint"
+
+
+def _findings(df: DataFrame, validator: Column, spec: TableSpec, kind: str, subject: Column, count: Column) -> DataFrame:
+    return df.select(
+        validator.alias("validator"),
+        F.lit(spec.name).alias("dataset"),
+        F.lit(kind).alias("kind"),
+        subject.cast("string").alias("subject"),
+        count.cast("bigint").alias("violations"),
+    ).where("violations > 0")
+
+
+def validation_findings(tables: dict[str, DataFrame], specs: list[TableSpec], top: int = 10) -> DataFrame:
+    """(validator, dataset, kind, subject, violations): what stands behind the suite's results.
+
+    Kinds are ``column`` (cells that break a check, nulls of optional columns
+    included), ``missing`` and ``extra`` (columns, without rows), ``copies``
+    (rows beyond the first of each group of equal rows), ``repeated id`` and
+    ``orphan key`` (the ``top`` most frequent keys, equal counts by key), and
+    ``orphans`` (rows by foreign key). A check that found nothing has no row.
+    """
+    found = []
+    for spec in specs:
+        df = tables.get(spec.name)
+        if df is None:
+            continue
+        spark = df.sparkSession
+        for kind, names in zip(("missing", "extra"), schema_gaps(df, spec), strict=True):
+            rows = [("schema", spec.name, kind, name, 1) for name in names]
+            found.append(spark.createDataFrame(rows, FINDING))
+        found.append(_findings(cell_checks(df, spec), F.col("check"), spec, "column", F.col("column"), F.col("violations")))
+        copies = duplicate_rows(df)
+        found.append(_findings(copies, F.lit("duplicates"), spec, "copies", F.lit(None), F.col("duplicate_rows")))
+        if spec.id_column in df.columns:
+            keys = duplicate_keys(df, spec.id_column, top)
+            found.append(_findings(keys, F.lit("duplicates"), spec, "repeated id", F.col("key"), F.col("copies")))
+        for fk in spec.foreign_keys:
+            if fk.column not in df.columns:
+                continue
+            orphans = fk_orphans(df, fk, tables)
+            found.append(_findings(orphans, F.lit("foreign_key"), spec, "orphans", F.col("column"), F.col("orphans")))
+            if fk.parent in tables:
+                keys = fk_orphan_samples(df, fk, tables[fk.parent], top)
+                found.append(_findings(keys, F.lit("foreign_key"), spec, "orphan key", F.col("key"), F.col("copies")))
+    return union_all(found)
+
+
+def with_details(results: DataFrame, findings: DataFrame) -> DataFrame:
+    """Suite results with ``details``: (kind, subject, violations) of every finding, most violations first.
+
+    Both tables have a few rows per check. A check without findings has an empty array.
+    """
+    item = F.struct((-F.col("violations")).alias("less"), "kind", "subject")
+    held = findings.groupBy("validator", "dataset").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    told = F.transform("items", lambda x: F.struct(x.kind.alias("kind"), x.subject.alias("subject"), (-x.less).alias("violations")))
+    empty = F.array().cast("array<struct<kind:string,subject:string,violations:bigint>>")
+    joined = results.join(F.broadcast(held), ["validator", "dataset"], "left")
+    return joined.select(*results.columns, F.coalesce(told, empty).alias("details"))

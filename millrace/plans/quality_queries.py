@@ -524,3 +524,67 @@ def _(t):
 def _(t):
     score = F.abs("c_acctbal") / 100
     return t("customer").select("c_custkey", score.alias("score"), S.quality_band(score).alias("band"))
+
+
+def _finding_sql(validator: str, dataset: str, kind: str, subject: str, count: str, source: str) -> str:
+    return (
+        f"SELECT '{validator}' AS validator, '{dataset}' AS dataset, '{kind}' AS kind, {subject} AS subject, "
+        f"CAST({count} AS BIGINT) AS violations FROM {source}"
+    )
+
+
+def _table_findings_sql(spec: TableSpec, columns: list[str]) -> list[str]:
+    table = spec.name
+    parts = [_finding_sql("nulls", table, "column", f"'{c}'", f"count(*) - count({c})", table) for c in columns]
+    for c in spec.columns:
+        if c.name in columns:
+            parts.append(_finding_sql("schema", table, "column", '"column"', "violations", f"({_dtype_sql(c, table)})"))
+    for names, bound in ((spec.latitude, 90), (spec.longitude, 180)):
+        parts += [_finding_sql("gps", table, "column", f"'{c}'", _range_sql(c, -bound, bound), table) for c in names]
+    copies = f"({_group_sql(columns, table)})"
+    parts.append(_finding_sql("duplicates", table, "copies", "CAST(NULL AS VARCHAR)", "sum(n - 1)", copies))
+    repeated = f"(SELECT CAST(id AS VARCHAR) AS key, count(*) AS n FROM {table} WHERE id IS NOT NULL GROUP BY 1 HAVING n > 1 ORDER BY n DESC, key LIMIT 10)"
+    parts.append(_finding_sql("duplicates", table, "repeated id", "key", "n", repeated))
+    return parts
+
+
+ORPHAN_KEYS = """(SELECT o.customer_id AS key, count(*) AS n FROM dirty_orders o LEFT JOIN customers c ON o.customer_id = c.id
+    WHERE o.customer_id IS NOT NULL AND c.id IS NULL GROUP BY 1 ORDER BY n DESC, key LIMIT 10)"""
+FINDINGS_SQL = "SELECT * FROM ({}) WHERE violations > 0".format(
+    union_sql(
+        [
+            *_table_findings_sql(ORDERS, ORDER_COLUMNS),
+            *_table_findings_sql(CUSTOMERS, CUSTOMER_COLUMNS),
+            "SELECT 'schema', 'dirty_orders', 'missing', 'courier_note', 1",
+            "SELECT 'schema', 'dirty_orders', 'extra', 'weight', 1",
+            _finding_sql("timestamp", "dirty_orders", "column", "'order_time'", BAD_TIME, "dirty_orders"),
+            _finding_sql("target", "dirty_orders", "column", "'delivery_minutes'", _range_sql("delivery_minutes", 0, 1440), "dirty_orders"),
+            _finding_sql("foreign_key", "dirty_orders", "orphans", "'customer_id'", "sum(violations)", f"({FK_ORDERS})"),
+            _finding_sql("foreign_key", "dirty_orders", "orphan key", "CAST(key AS VARCHAR)", "n", ORPHAN_KEYS),
+        ]
+    )
+)
+
+
+def findings(t):
+    return C.validation_findings({"dirty_orders": t("dirty_orders"), "customers": t("customers")}, SPECS)
+
+
+@query("validation_findings", BOTH + "\n" + FINDINGS_SQL)
+def _(t):
+    return findings(t)
+
+
+@query(
+    "validation_suite_details",
+    BOTH
+    + f"""
+SELECT s.*, coalesce(f.details, '') AS details FROM ({SUITE_SQL}) s LEFT JOIN (
+    SELECT validator, dataset, string_agg(kind || ' ' || coalesce(subject, '-') || ' ' || violations, '; '
+           ORDER BY violations DESC, kind, subject) AS details
+    FROM ({FINDINGS_SQL}) GROUP BY validator, dataset) f ON s.validator = f.validator AND s.dataset = f.dataset""",
+)
+def _(t):
+    line = lambda x: F.concat_ws(" ", x.kind, F.coalesce(x.subject, F.lit("-")), x.violations)
+    told = C.with_details(rounded(suite(t)), findings(t))
+    return told.withColumn("details", F.array_join(F.transform("details", line), "; "))

@@ -93,3 +93,27 @@ def test_empty_table(spark, delivery):
     empty = delivery["orders"].limit(0)
     results = C.validation_suite({**delivery, "orders": empty}, SPECS)
     assert results.where("dataset = 'orders' AND score != 100").count() == 0
+
+
+def test_findings_name_what_a_check_found(spark, delivery):
+    orders = delivery["orders"].withColumn("restaurant_id", F.lit(999).cast("long")).withColumn("surplus", F.lit(1))
+    orders = orders.drop("promo_code_used").union(orders.drop("promo_code_used").where("id = 1"))
+    tables = {**delivery, "orders": orders}
+    found = C.validation_findings(tables, SPECS)
+    got = {(r.validator, r.kind, r.subject): r.violations for r in found.where("dataset = 'orders'").collect()}
+    assert got[("schema", "missing", "promo_code_used")] == got[("schema", "extra", "surplus")] == 1
+    assert got[("duplicates", "copies", None)] == 1 and got[("duplicates", "repeated id", "1")] == 2
+    assert got[("foreign_key", "orphans", "restaurant_id")] == got[("foreign_key", "orphan key", "999")] == 3
+    results = C.validation_suite(tables, SPECS)
+    detailed = C.with_details(results, found)
+    assert detailed.columns == [*results.columns, "details"] and detailed.count() == results.count()
+    fk = detailed.where("dataset = 'orders' AND validator = 'foreign_key'").first().details
+    assert [tuple(x) for x in fk] == [("orphan key", "999", 3), ("orphans", "restaurant_id", 3)]
+    assert detailed.where("dataset = 'riders' AND size(details) > 0").count() == 0
+    assert found.where("dataset <> 'orders'").count() == 0
+
+
+def test_no_findings_in_clean_and_empty_tables(delivery):
+    assert C.validation_findings(delivery, SPECS).count() == 0
+    empty = {name: df.limit(0) for name, df in delivery.items()}
+    assert C.validation_findings(empty, SPECS).count() == 0
