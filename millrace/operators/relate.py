@@ -166,23 +166,22 @@ def key_ratios(keys: DataFrame) -> DataFrame:
 def key_overlap(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair columns…, matched, distinct_keys, overlap): share of source keys found in the target.
 
-    Every pair tags the keys of its two columns; grouping by (pair, key) tells
-    which side holds the key. ``pairs`` has at most one row per pair of
-    key-like columns, so it is broadcast.
+    Keys are grouped once, whatever the number of pairs, into the set of columns
+    that hold each; equal sets are counted together, and only these counts meet
+    ``pairs``, which has at most one row per pair of key-like columns and is
+    broadcast.
     """
     pair = PAIR
     small = F.broadcast(pairs.select(*pair).distinct())
-
-    def side(prefix: str) -> DataFrame:
-        on = (keys["dataset"] == small[f"{prefix}_dataset"]) & (keys["column"] == small[f"{prefix}_column"])
-        return keys.join(small, on).select(*pair, "key", F.lit(prefix == "source").alias("from_source"))
-
-    both = side("source").unionByName(side("target"))
-    seen = both.groupBy(*pair, "key").agg(
-        F.bool_or("from_source").alias("in_source"), F.bool_or(~F.col("from_source")).alias("in_target")
+    holder = F.struct("dataset", "column")
+    sets = keys.groupBy("key").agg(F.array_sort(F.collect_set(holder)).alias("holders"))
+    counted = sets.groupBy("holders").agg(F.count(F.lit(1)).alias("keys")).withColumn("source", F.explode("holders"))
+    on = (F.col("source.dataset") == F.col("source_dataset")) & (F.col("source.column") == F.col("source_column"))
+    in_target = F.exists(
+        "holders", lambda h: (h["dataset"] == F.col("target_dataset")) & (h["column"] == F.col("target_column"))
     )
-    found = seen.where("in_source").groupBy(*pair).agg(
-        F.count_if("in_target").alias("matched"), F.count(F.lit(1)).alias("distinct_keys")
+    found = counted.join(small, on).groupBy(*pair).agg(
+        F.sum(F.when(in_target, F.col("keys")).otherwise(0)).alias("matched"), F.sum("keys").alias("distinct_keys")
     )
     return found.withColumn("overlap", F.col("matched") / F.col("distinct_keys"))
 
