@@ -318,3 +318,15 @@ def test_runs_are_recorded_once(spark, tmp_path, monkeypatch):
     assert rows(L.experiment_list(spark, f"{folder}/experiments").select("experiment_id", "model_version"), "model_version") == [("one", 1), ("two", 2)]
     assert sinks.append_once(ledger.table("events").limit(1), f"{folder}/events", ["run_id", "event"]) == 0
     M.load_model(again.path).transform(test).count()
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """A partition holds no more cells in a larger table, whatever partitions the table comes in."""
+    monkeypatch.setattr(M, "FIT_CELLS", 1_000)
+    table = lambda n, parts: spark.range(0, n, 1, parts).select("id", (F.col("id") * 2).alias("y"))
+    for n, parts, dealt in ((2_000, 3, 16), (20_000, 3, 40), (20_000, 50, 40), (40_000, 3, 80)):
+        with M.kept_in_memory(table(n, parts)) as held:
+            assert held.rdd.getNumPartitions() == dealt
+            assert held.count() == n and held.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2 * 1_000
+    with M.kept_in_memory(table(0, 1)) as held:
+        assert held.rdd.getNumPartitions() == M.FIT_PARTITIONS
