@@ -330,3 +330,23 @@ def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
             assert held.count() == n and held.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2 * 1_000
     with M.kept_in_memory(table(0, 1)) as held:
         assert held.rdd.getNumPartitions() == M.FIT_PARTITIONS
+
+
+def test_models_of_a_run_share_their_preprocessing(spark, tmp_path, monkeypatch):
+    """One fit of the preprocessing serves all models and, where the caller holds the rows, all runs."""
+    train, test = lifecycle(spark)
+    slim, held = (d.select("id", "category", "value", "label") for d in (train, test))
+    fits, fit = [], TablePreprocessor._fit
+    monkeypatch.setattr(TablePreprocessor, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    models = {"LinearRegression": {}, "GradientBoostingRegressor": {"maxIter": 2}}
+    run = M.training_run(slim, held, "label", "id", str(tmp_path / "one"), models)
+    assert len(fits) == 1 and run.board.count() == 2
+    with M.prepared(slim, "label", "id") as ready:
+        again = [M.training_run(ready, held, "label", "id", str(tmp_path / "two"), models) for _ in range(2)]
+        with pytest.raises(ValueError, match="prepared for label"):
+            M.training_run(ready, held, "value", "id", str(tmp_path / "two"), models)
+    assert len(fits) == 2
+    shown = lambda r: [(x["model_name"], round(x["mae"], 9)) for x in r.board.orderBy("model_rank").collect()]
+    alone = M.train_regressor("GradientBoostingRegressor", slim, "label", ["id"], maxIter=2).transform(held)
+    want = round(M.regression_metrics(alone, "label").first()["mae"], 9)
+    assert shown(again[0]) == shown(again[1]) == shown(run) and dict(shown(run))["GradientBoostingRegressor"] == want
