@@ -15,6 +15,7 @@ from millrace.functions import names
 from millrace.functions import types as ty
 from millrace.functions import values as V
 from millrace.operators.rows import literal_table, union_all
+from millrace.session import durable_checkpoint
 
 # Evidence weights, tiers and thresholds.
 WEIGHTS = {"name": 0.40, "integrity": 0.30, "cardinality": 0.15, "dtype": 0.10, "overlap": 0.05}
@@ -163,29 +164,49 @@ def key_ratios(keys: DataFrame) -> DataFrame:
     )
 
 
-def key_overlap(keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair columns…, matched, distinct_keys, overlap): share of source keys found in the target.
+def key_sets(keys: DataFrame) -> DataFrame:
+    """(holders, dataset, column, keys, copies): a row for each set of columns that hold the same keys and each of its columns.
 
-    Keys are grouped once, whatever the number of pairs, into the set of columns
-    that hold each; equal sets are counted together, and only these counts meet
-    ``pairs``, which has at most one row per pair of key-like columns and is
-    broadcast.
+    ``keys`` are those of ``key_values``, grouped once whatever the number of pairs;
+    equal sets are counted together, so the result is small.
     """
-    pair = PAIR
-    small = F.broadcast(pairs.select(*pair).distinct())
-    holder = F.struct("dataset", "column")
-    sets = keys.groupBy("key").agg(F.array_sort(F.collect_set(holder)).alias("holders"))
-    counted = sets.groupBy("holders").agg(F.count(F.lit(1)).alias("keys")).withColumn("source", F.explode("holders"))
-    on = (F.col("source.dataset") == F.col("source_dataset")) & (F.col("source.column") == F.col("source_column"))
+    held = keys.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dataset", "column", "copies"))).alias("held"))
+    holders = F.transform("held", lambda h: F.struct(h["dataset"].alias("dataset"), h["column"].alias("column")))
+    each = held.select(holders.alias("holders"), F.explode("held").alias("own"))
+    return each.groupBy("holders", "own.dataset", "own.column").agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("own.copies").alias("copies")
+    )
+
+
+def _set_ratios(sets: DataFrame) -> DataFrame:
+    """As ``key_ratios``."""
+    return sets.groupBy("dataset", "column").agg(
+        F.sum("keys").alias("distinct_keys"), (F.sum("keys") / F.sum("copies")).alias("distinct_ratio")
+    )
+
+
+def _set_overlap(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As ``key_overlap``."""
+    small = F.broadcast(pairs.select(*PAIR).distinct())
+    on = (F.col("dataset") == F.col("source_dataset")) & (F.col("column") == F.col("source_column"))
     in_target = F.exists(
         "holders", lambda h: (h["dataset"] == F.col("target_dataset")) & (h["column"] == F.col("target_column"))
     )
-    found = counted.join(small, on).groupBy(*pair).agg(
+    found = sets.join(small, on).groupBy(*PAIR).agg(
         F.sum(F.when(in_target, F.col("keys")).otherwise(0)).alias("matched"), F.sum("keys").alias("distinct_keys")
     )
     return found.withColumn("overlap", F.col("matched") / F.col("distinct_keys"))
 
 
+def key_overlap(keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair columns…, matched, distinct_keys, overlap): share of source keys found in the target.
+
+    Only the counts of ``key_sets`` meet ``pairs``, which has at most one row per
+    pair of key-like columns and is broadcast.
+    """
+    return _set_overlap(key_sets(keys), pairs)
+
+
 def plausible_pairs(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
     """Key-like column pairs of different tables, by name alone."""
     named = [(t, c) for t, df in tables.items() for c in ty.scalar_columns(df) if _key_like_name(c)]
@@ -204,9 +225,10 @@ def detect_relationships(tables: dict[str, DataFrame], roles: DataFrame) -> Data
     named = pair_table(spark, plausible_pairs(tables)).where(join_plausible(s_ds, s, t_ds, t))
     pair = named.columns
 
-    keys = key_values(tables)
-    ratios = key_ratios(keys)
-    overlap = key_overlap(keys, named)
+    # All keys are read and grouped once, for the ratios of both sides and the overlaps.
+    sets = durable_checkpoint(key_sets(key_values(tables)))
+    ratios = _set_ratios(sets)
+    overlap = _set_overlap(sets, named)
     primary = detect_primary_keys(roles).select(
         F.col("dataset").alias("target_dataset"), F.col("column").alias("target_column"), F.lit(True).alias("is_key")
     )

@@ -117,8 +117,8 @@ def foreign_keys(t):
     return P.literal_fk(t.spark, FK_COLUMNS)
 
 
-def roles_of(t):
-    return P.mark_foreign_keys(P.column_roles(profile_of(t)), foreign_keys(t))
+def roles_of(t, plain=None):
+    return P.mark_foreign_keys(P.column_roles(profile_of(t)) if plain is None else plain, foreign_keys(t))
 
 
 # -------------------------------------------------------------------- profile
@@ -554,8 +554,8 @@ ANNOTATED = """marked AS (SELECT * REPLACE (CASE WHEN (dataset, "column") IN (SE
 WITH_MARKED = WITH_LEAKS + f",\n{ANNOTATED}"
 
 
-def marked_of(t):
-    roles = roles_of(t)
+def marked_of(t, plain=None):
+    roles = roles_of(t, plain)
     targets = A.target_candidates(roles)
     leaks = leaks_of(t, roles, targets)
     return P.add_role(roles, leaks, "potential_leakage"), targets, leaks
@@ -632,8 +632,8 @@ SELECT 100.0::DOUBLE AS discovery_quality, round(rel * 100, 2) AS relationship_c
     round((100 + 100 + rel * 100 + feat * 100 + tgt * 100) * 0.20, 2) AS overall_score FROM one""",
 )
 def _(t):
-    plain = P.column_roles(profile_of(t))
-    marked, targets, _ = marked_of(t)
+    plain = P.column_roles(profile_of(t))  # one profile for all parts
+    marked, targets, _ = marked_of(t, plain)
     return A.intelligence_score(plain, relations_of(t, plain), A.feature_advice(marked), targets)
 
 

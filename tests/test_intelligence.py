@@ -164,3 +164,56 @@ def test_key_overlap_counts_distinct_keys(spark):
     got = {r["source_dataset"]: (r["matched"], r["distinct_keys"]) for r in R.key_overlap(R.key_values(tables), pairs).collect()}
     assert got == {"a": (2, 3), "b": (2, 3)}
     assert union_all([pairs]).count() == 2
+
+
+def test_keys_are_read_once(spark):
+    """One pass over the key columns gives the ratios of both sides and the overlap."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touched(value):
+        seen.add(1)
+        return value
+
+    key = F.udf(touched, "long")
+    tables = {
+        "items": spark.range(0, 10, 1, 2).select(key(F.col("id") % 5).alias("order_id")),
+        "orders": spark.range(0, 8, 1, 2).select(key("id").alias("id")),
+    }
+    roles = P.column_roles(P.profile_tables(tables))
+    before = seen.value
+    found = R.detect_relationships(tables, roles).where("source_dataset = 'items'").collect()
+    assert [(r["source_column"], r["target_column"], r["overlap_ratio"], r["cardinality"]) for r in found] == [
+        ("order_id", "id", 1.0, "many_to_one")
+    ]
+    assert seen.value - before == 18
+
+
+def test_ratios_and_overlaps_by_sets_of_columns(spark):
+    keys = spark.createDataFrame(
+        [("a", "id", "1", 1), ("a", "id", "2", 1), ("b", "a_id", "1", 3), ("b", "a_id", "9", 2), ("b", "c_id", "1", 5)],
+        "dataset string, column string, key string, copies long",
+    )
+    sets = R.key_sets(keys)
+    assert rows(sets.groupBy("dataset", "column").agg(F.sum("keys"), F.sum("copies")), "dataset", "column") == [
+        ("a", "id", 2, 2), ("b", "a_id", 2, 5), ("b", "c_id", 1, 5)
+    ]
+    assert rows(R._set_ratios(sets), "dataset", "column") == rows(R.key_ratios(keys), "dataset", "column")
+
+
+def test_intelligence_score_profiles_once(spark, monkeypatch):
+    from millrace.plans import catalog, profile_queries
+
+    kinds = {d: ", ".join(f"{c} {k}" for c, k, _ in columns) for d, columns in profile_queries.STAR.items()}
+
+    class Small:
+        def __init__(self, session, folder):
+            self.spark = session
+
+        def __call__(self, name):
+            return spark.createDataFrame([tuple(None for _ in profile_queries.STAR[name])] * 2, kinds[name])
+
+    profiles, profiled = [], P.profile_tables
+    monkeypatch.setattr(catalog, "Tables", Small)
+    monkeypatch.setattr(P, "profile_tables", lambda *a: profiles.append(1) or profiled(*a))
+    assert catalog.QUERIES["intelligence_score"](spark, "").count() == 1
+    assert len(profiles) == 1
