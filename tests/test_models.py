@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from millrace.operators import monitor as W
 from millrace.operators import registry as R
 from millrace.operators import train as M
 from millrace.operators.preprocess import TablePreprocessor, TablePreprocessorModel
-from millrace.sources import files, sinks
+from millrace.sources import checksums, files, sinks
 from millrace.streaming.monitoring import monitor_stream
 
 EVENTS = "seq long, model_name string, version long, event string, status string, created_at timestamp, mae double"
@@ -260,6 +261,33 @@ def test_sources(spark, tmp_path):
     assert len(checks["sha256"]) == 64
 
 
+def test_large_files_are_hashed_in_ranges(spark, tmp_path, monkeypatch):
+    """Files over several ranges and splits, with or without a newline or a byte order mark at their ends."""
+    rng = random.Random(5)
+    monkeypatch.setattr(checksums, "RANGE_BYTES", 60_000)
+    noise = rng.randbytes(200_000)
+    contents = {
+        "a b%20c.bin": noise, "ends.bin": noise + b"\n", "blank.bin": b"\n" * 70_001, "mark.bin": b"\xef\xbb\xbf" + noise,
+        "both.bin": b"\xef\xbb\xbf\n" + noise[:70_000] + b"\r\n", "zero.bin": b"\0" * 90_000, "packed.gz": noise,
+        "sub/[x] {y}.bin": noise[7:], "sub/ends.bin": b"\n" + noise[:60_000], "border.bin": noise[:120_000],
+        "whole.bin": noise[:60_000], "small.bin": b"x",
+    }
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, content in contents.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    want = sorted((n.rsplit("/")[-1], len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items())
+    # Spark refuses to read a file above this limit whole.
+    for pattern, split, limit in (("*", "128m", 2**31 - 1), ("*.bin", "19001b", checksums.RANGE_BYTES)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", limit)
+        try:
+            got = rows(sinks.file_checksums(spark, str(tmp_path / "in"), pattern), "file", "bytes")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        assert got == [w for w in want if pattern == "*" or w[0].endswith(".bin")]
+
+
 def test_sampling(spark):
     df = spark.range(1000)
     one, two = files.sample_rows(df, "id", 50), files.sample_rows(df.repartition(7), "id", 50)
