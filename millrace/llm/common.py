@@ -57,6 +57,15 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` such that a join with it shuffles both sides.
+
+    Spark takes an exploded array for one element a row, and a stored table for as large as its compressed files; by such
+    a size it would collect on the driver what is a hundred times as large in memory.
+    """
+    return df.hint("merge")
+
+
 def parallelism(df: DataFrame) -> int:
     """Shuffle partitions for a table: those of the session, or one for each ``PARTITION_BYTES`` of input if that is more.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LAST_ID, as_bytes, batch_of, drop_stored, order_id, parallelism, stored, word_hashes
+from millrace.llm.common import LAST_ID, as_bytes, batch_of, drop_stored, never_broadcast, order_id, parallelism, stored, word_hashes
 from millrace.llm.components import components
 from millrace.llm.token_counts import sql
 
@@ -181,7 +181,7 @@ def _verify(percent: int):
 def verified_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links among pairs (group g, x, its partners ys); a group's documents (need) are sent to it once each."""
     need = pairs.select("g", F.explode("need").alias("y")).distinct()
-    docs = need.join(texts, need["y"] == texts["d"]).select("g", "d", "t")
+    docs = need.join(never_broadcast(texts), need["y"] == texts["d"]).select("g", "d", "t")
     return docs.groupBy("g").cogroup(pairs.toDF(*pairs.columns).groupBy("g")).applyInArrow(_verify(percent), sql(LINKS))
 
 
@@ -200,7 +200,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     full = sketches.where(f"n > 0 and d <> {LAST_ID}")
     reps = full.groupBy("s1", "s2").agg(F.min("d").alias("rep"))
     # One document of each set goes on.
-    single = full.join(reps, ["s1", "s2"]).where("d = rep").dropDuplicates(["d", "s1", "s2"]).drop("rep")
+    single = full.join(never_broadcast(reps), ["s1", "s2"]).where("d = rep").dropDuplicates(["d", "s1", "s2"]).drop("rep")
     a, b = F.slice("halves", 1, HALVES), F.slice("halves", HALVES + 1, HALVES)
     table = F.flatten(
         F.transform(
@@ -210,7 +210,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     single = stored(single)
     keys = single.select("d", F.explode(table).alias("k")).select("d", "k.key", "k.i", "k.j")
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("first")).where("n > 1")
-    buckets = stored(keys.join(met, "key"))
+    buckets = stored(keys.join(never_broadcast(met), "key"))
     involved = buckets.select("d").distinct()
     texts = stored(rows.join(involved, "d", "left_semi"))
     # First round: each document against the smallest one of each of its keys.
@@ -222,14 +222,14 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     links = stored(verified_links(stars, texts, percent))
     labels = components(links)
     # Second round: keys that still hold several components.
-    named = buckets.join(labels, buckets["d"] == labels["id"], "left").select(
+    named = buckets.join(never_broadcast(labels), buckets["d"] == labels["id"], "left").select(
         "key", "d", "i", "j", F.coalesce("component", "d").alias("comp")
     )
     named = stored(named)
     least = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n"))
-    minors = named.join(least.where("least <> most"), "key").withColumn("minor", F.col("comp") != F.col("least"))
+    minors = named.join(never_broadcast(least.where("least <> most")), "key").withColumn("minor", F.col("comp") != F.col("least"))
     counts = minors.where("minor").groupBy("key").agg(F.count("*").alias("n_minor"))
-    open_ = minors.join(counts, "key")
+    open_ = minors.join(never_broadcast(counts), "key")
     across = F.ceil(F.col("n") / BLOCK).cast("int")
     down = F.ceil(F.col("n_minor") / BLOCK).cast("int")
     own_across, own_down = F.pmod(F.xxhash64("d"), across).cast("int"), F.pmod(F.xxhash64("d"), down).cast("int")
@@ -241,15 +241,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     blocks = blocks.select(
         F.xxhash64("key", "at.r", "at.c").alias("g"), "d", "comp", "i", "j", F.col("at.role").alias("role"), "minor", "least"
     )
-    blocks = blocks.join(slim, F.col("d") == F.col("o")).drop("o").repartition(parts, "g").sortWithinPartitions("g")
+    blocks = blocks.join(never_broadcast(slim), F.col("d") == F.col("o")).drop("o").repartition(parts, "g").sortWithinPartitions("g")
     pairs = stored(blocks.mapInArrow(_candidates, sql(PAIRS)))
     more = stored(verified_links(pairs, texts, percent))
     final = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     for done in (single, buckets, texts, links, named, pairs, more):
         drop_stored(spark, done)
     # Every document follows the representative of its set.
-    member = full.select("d", "s1", "s2").join(reps, ["s1", "s2"]).groupBy("d").agg(F.min("rep").alias("rep"))
-    member = member.join(final, member["rep"] == final["id"], "left").select(
+    member = full.select("d", "s1", "s2").join(never_broadcast(reps), ["s1", "s2"]).groupBy("d").agg(F.min("rep").alias("rep"))
+    member = member.join(never_broadcast(final), member["rep"] == final["id"], "left").select(
         F.col("d").alias("m"), F.coalesce("component", "rep").alias("component")
     )
     out = sketches.join(member, sketches["d"] == member["m"], "left")

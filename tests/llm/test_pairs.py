@@ -81,6 +81,24 @@ def test_near_chain(spark):
     assert got == brute_near(rows)
 
 
+def planned(monkeypatch, module):
+    """Plans of the tables that ``module`` stores from now on."""
+    plans = []
+    keep = lambda df, f=module.stored: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), f(df))[1]
+    monkeypatch.setattr(module, "stored", keep)
+    return plans
+
+
+def test_tables_of_unknown_size_are_not_broadcast_by_near_documents(docs, monkeypatch):
+    """Spark takes the 64 keys of a document for one, and a compressed file for the table in memory."""
+    plans = planned(monkeypatch, minhash_dedup)
+    near_duplicates(docs).collect()
+    exploded = [p for p in plans if "Generate explode" in p]
+    assert len(exploded) >= 3 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in exploded)
+    named = [p for p in plans if "coalesce(component" in p]
+    assert named and not any("BroadcastHashJoin" in p for p in named)
+
+
 def test_near_odd(odd, none):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id or -1, r.kept) for r in near_duplicates(odd).collect())
     assert got == [(-1, -1, True), (-1, -1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True)]
