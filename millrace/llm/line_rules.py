@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_GAP, order_id, stored
+from millrace.llm.common import WORD_GAP, never_broadcast, order_id, stored
 
 GAP_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -124,10 +124,10 @@ def frequent_lines(table: DataFrame, limit_documents: int) -> DataFrame:
     each = table.select("o", "v", "host", F.explode("lines").alias("x")).select("o", "v", "host", "x.h", "x.p", "x.w")
     once = table.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     maybe = once.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit_documents).select("host", "h")
-    hits = stored(each.join(maybe, ["host", "h"]))
+    hits = stored(each.join(never_broadcast(maybe), ["host", "h"]))
     counts = hits.select("host", "h", "o").distinct().groupBy("host", "h").agg(F.count("*").alias("n"), F.min("o").alias("first"))
     often = counts.where(F.col("n") > limit_documents).select("host", "h", "first")
-    hit = hits.join(often, ["host", "h"]).where(F.col("o") != F.col("first"))
+    hit = hits.join(never_broadcast(often), ["host", "h"]).where(F.col("o") != F.col("first"))
     return hit.groupBy("o", "v", "host", "p").agg(F.max("w").alias("w"))  # repeated rows tell a line once
 
 

@@ -99,6 +99,17 @@ def test_tables_of_unknown_size_are_not_broadcast_by_near_documents(docs, monkey
     assert named and not any("BroadcastHashJoin" in p for p in named)
 
 
+def test_tables_of_unknown_size_are_not_broadcast_by_line_rules(spark, monkeypatch):
+    plans = planned(monkeypatch, line_rules)
+    df = spark.createDataFrame([(i, f"one {i}\ntwo\nthree", "s") for i in range(30)], "doc_id long, text string, source string")
+    table = line_rules.line_table(df)
+    places = line_rules.frequent_lines(table, 20)
+    assert places.count() == 29 * 2
+    (exploded,) = [p for p in plans if "Generate explode" in p]
+    assert "SortMergeJoin" in exploded and "BroadcastHashJoin" not in exploded
+    assert "BroadcastHashJoin" not in places._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_near_odd(odd, none):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id or -1, r.kept) for r in near_duplicates(odd).collect())
     assert got == [(-1, -1, True), (-1, -1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True)]
