@@ -12,7 +12,7 @@ import millrace.functions.quantiles as Q
 from millrace.functions import numeric as N
 from millrace.functions import ranking
 from millrace.functions import values as V
-from millrace.operators import checks
+from millrace.operators import checks, correlate
 
 
 def column(spark, values, kind="string"):
@@ -75,6 +75,22 @@ def test_moments_of_constant_and_short_columns(spark):
         assert tuple(df.agg(N.skew_corrected(F.col("v")), N.kurtosis_corrected(F.col("v"))).first()) == (None, None)
 
 
+def test_few_filled_columns_take_one_aggregate(spark, monkeypatch):
+    """As products of whole rows give it, without a pass over vectors."""
+    rng = random.Random(3)
+    table = [(a := rng.gauss(0, 1), a + rng.gauss(0, 0.2), rng.random() * 1e6, float(i % 2), 4.0) for i in range(500)]
+    df, columns = spark.createDataFrame(table, "a double, near double, `b.c` double, flag double, flat double").repartition(3), ["a", "near", "b.c", "flag", "flat"]
+    with monkeypatch.context() as few:
+        few.setattr(correlate, "FEW_COLUMNS", 0)
+        want = correlate.filled_matrix(df, columns)
+    monkeypatch.setattr(correlate.Correlation, "corr", None)
+    got = correlate.filled_matrix(df, columns)
+    assert np.allclose(got, want, rtol=0, atol=1e-9, equal_nan=True)
+    assert math.isnan(got[0][4]) and got[4][4] == 1.0 and got[0][1] > 0.95
+    with pytest.raises(ValueError, match="two rows"):
+        correlate.filled_matrix(df.limit(1), columns)
+
+
 def test_corr_of_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (None, 6.0)], "a double, b double")
     assert df.agg(N.guarded_corr(F.col("a"), F.col("b"))).first()[0] is None
